@@ -2,58 +2,19 @@
 
 from __future__ import annotations
 
-import gc
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import Tables
+
+__all__ = ["Tables", "at", "count_at_most", "documents", "longs", "words_of"]
+
 #: Bytes that end a word: space and the control characters 0x09 to 0x0D.
 SPACES = " \t\n\x0b\f\r"
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 
-_own_folder: str | None = None
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
-    global _own_folder
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if _own_folder is None:
-        _own_folder = "file://" + tempfile.mkdtemp(prefix="seqframe-")
-        spark.sparkContext.setCheckpointDir(_own_folder)
-    return _own_folder
-
-
-class Tables:
-    """Written intermediate tables of one operator run; they cut lineage and survive lost executors."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.at = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.at}/{name}"
-        schema = df.schema
-        df.write.parquet(path)
-        out = self.spark.read.schema(schema).parquet(path)
-        return out
-
-    def drop(self, name: str) -> None:
-        """Deletes a table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    def tidy(self) -> None:
-        """Lets the context cleaner remove shuffle files whose data has been written out."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
-
 def longs(values: list[int]) -> Column:
     """A constant array; one literal after constant folding."""
     return F.from_json(F.lit(json.dumps([int(x) for x in values])), "array<bigint>")

@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+from .arrow_output import op4_arrow_stream
+from .crf_langid import op1_crf_language
 from .decision_list import op3_decision_list
 from .sharding import op2_sampled_splitters
+from .simhash import op5_simhash_blocks
 
-QUERIES = {f.__name__: f for f in (op2_sampled_splitters, op3_decision_list)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_crf_language,
+        op2_sampled_splitters,
+        op3_decision_list,
+        op4_arrow_stream,
+        op5_simhash_blocks,
+    )
+}
 
 ORACLES: dict[str, str] = {}
