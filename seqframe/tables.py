@@ -32,7 +32,7 @@ class Tables:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and reads it back."""
         path, schema = f"{self.at}/{name}", df.schema
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:
