@@ -30,8 +30,10 @@ INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
 
 
-def sequence_schema(seq_len: int) -> pa.Schema:
-    return pa.schema([pa.field("ids", pa.list_(pa.field("item", pa.uint32(), False), seq_len), False), pa.field("mask", pa.list_(pa.field("item", pa.uint8(), False), seq_len), False)])
+def sequence_schema(seq_len: int, vocabulary: int = 1 << 16) -> pa.Schema:
+    """ids: the narrowest unsigned type that holds the vocabulary; mask: a bit for each id."""
+    ids = pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
+    return pa.schema([pa.field("ids", pa.list_(pa.field("item", ids, False), seq_len), False), pa.field("mask", pa.list_(pa.field("item", pa.bool_(), False), seq_len), False)])
 
 
 def list_batch(ids: np.ndarray, mask: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
@@ -55,6 +57,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.vocabulary = max(self.tokenizer.get_vocab_size(), END_ID + 1)
         self.known: tuple[dict, dict] = ({}, {})  # at the start of a line, after a space
         self.newline = self.encode(["\n"])[0]
 
@@ -102,9 +105,10 @@ def encoder(path: str) -> PieceEncoder:
 class Writer:
     """One sequence file and its index. Memory: one batch of sequences."""
 
-    def __init__(self, uri: str, seq_len: int, batch_rows: int):
+    def __init__(self, uri: str, seq_len: int, batch_rows: int, vocabulary: int):
         store, path = fs.FileSystem.from_uri(uri)
-        self.schema, self.rows = sequence_schema(seq_len), batch_rows
+        self.schema, self.rows = sequence_schema(seq_len, vocabulary), batch_rows
+        self.dtype = self.schema.field("ids").type.value_type.to_pandas_dtype()
         self.sinks = [store.open_output_stream(f"{path}.arrows"), store.open_output_stream(f"{path}.index.arrows")]
         self.out, self.index = ipc.new_stream(self.sinks[0], self.schema), ipc.new_stream(self.sinks[1], INDEX)
         self.full, self.pending, self.held, self.total = seq_len * batch_rows, [], 0, 0
@@ -128,9 +132,9 @@ class Writer:
         n = -(-len(x) // self.full) if last else len(x) // self.full
         for k in range(n):
             ids = x[k * self.full : (k + 1) * self.full]
-            mask = np.zeros(self.full, np.uint8)
-            mask[: len(ids)] = 1
-            self.out.write_batch(list_batch(np.pad(ids, (0, self.full - len(ids))), mask, self.schema))
+            mask = np.zeros(self.full, bool)
+            mask[: len(ids)] = True
+            self.out.write_batch(list_batch(np.pad(ids, (0, self.full - len(ids))).astype(self.dtype), mask, self.schema))
         self.pending = [x[n * self.full :]]
         self.held = len(self.pending[0])
 
@@ -147,7 +151,7 @@ class Writer:
 
 
 class SequenceFile:
-    """Zero-copy random access to the rows of one sequence file: file[i] gives views of ids and mask."""
+    """Zero-copy random access to the rows of one sequence file: file[i] gives views of ids and mask as Arrow arrays."""
 
     def __init__(self, uri: str):
         store, path = fs.FileSystem.from_uri(uri)
@@ -168,12 +172,11 @@ class SequenceFile:
         self.source.seek(self.first + k * self.length)
         return ipc.read_record_batch(ipc.read_message(self.source), self.schema)
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, i: int) -> tuple[pa.Array, pa.Array]:
         if not 0 <= i < len(self):
             raise IndexError(i)
-        b, r = self.batch(i // self.rows), i % self.rows
-        n = self.schema.field("ids").type.list_size
-        return tuple(b.column(c).flatten().to_numpy()[r * n : (r + 1) * n] for c in (0, 1))
+        b = self.batch(i // self.rows)
+        return tuple(b.column(c)[i % self.rows].values for c in (0, 1))
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, at: str, tables: Tables, seq_len: int = SEQ_LEN, batch_rows: int = BATCH_ROWS, end_id: int = END_ID) -> DataFrame:
@@ -194,7 +197,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, at: str, tables: Tables, seq_l
                     uri = f"{at}/part-{task.partitionId():06d}-{task.taskAttemptId()}"
                     store, path = fs.FileSystem.from_uri(at)
                     store.create_dir(path, recursive=True)
-                    writer = Writer(uri, seq_len, batch_rows)
+                    writer = Writer(uri, seq_len, batch_rows, code.vocabulary)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 for d, ids in zip(part.column("doc_id").to_pylist(), code.ids(texts), strict=True):
                     writer.add(d, ids + end)
@@ -205,7 +208,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, at: str, tables: Tables, seq_l
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = rows.repartitionByRange(n, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return tables.keep(ranged.mapInArrow(write, MANIFEST), "manifest")
+    out = tables.keep(ranged.mapInArrow(write, MANIFEST), "manifest")
+    tables.tidy()
+    return out
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
@@ -238,8 +243,8 @@ def read_file(uri: str, base: int) -> Iterator[pa.RecordBatch]:
                 have = at + len(held)
                 while have < s + n:
                     b = file.batch(k)
-                    ids, mask = (b.column(c).flatten().to_numpy() for c in (0, 1))
-                    parts.append(ids[mask == 1])
+                    ids, mask = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in (0, 1))
+                    parts.append(ids[mask].astype("<u4"))
                     have += len(parts[-1])
                     k += 1
                 if len(parts) > 1:
