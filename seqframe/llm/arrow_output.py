@@ -60,6 +60,7 @@ class PieceEncoder:
         self.vocabulary = max(self.tokenizer.get_vocab_size(), END_ID + 1)
         self.known: tuple[dict, dict] = ({}, {})  # at the start of a line, after a space
         self.newline = self.encode(["\n"])[0]
+        self.marks = dict(zip(".,", self.encode([".", ","]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -70,12 +71,19 @@ class PieceEncoder:
         for known, prefix, pieces in ((self.known[0], "", {p[0] for p in lines}), (self.known[1], " ", {w for p in lines for w in p[1:]})):
             new = sorted(w for w in pieces if w not in known)
             plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-            found = dict.fromkeys(new) | dict(zip(plain, self.encode([prefix + w for w in plain]), strict=True))
+            # A letter and the mark after it never share a token, so a word's ids serve with and without the mark.
+            marked = {w for w in plain if w[-1] in self.marks and w[-2:-1].isalpha()}
+            bare = {w[:-1] for w in marked}
+            todo = sorted((bare | {w for w in plain if w not in marked}) - known.keys())
+            fresh = dict(zip(todo, self.encode([prefix + w for w in todo]), strict=True))
+            found = dict.fromkeys(new) | fresh
+            for w in marked:
+                found[w] = (fresh[w[:-1]] if w[:-1] in fresh else known[w[:-1]]) + self.marks[w[-1]]
             if len(known) + len(found) <= REMEMBERED:
                 known.update(found)
                 out.append(known)
             else:
-                out.append({w: known[w] if w in known else found[w] for w in pieces})
+                out.append({w: known[w] if w in known else found[w] for w in pieces})  # the first ones seen stay
         return out[0], out[1]
 
     def ids(self, texts: list[str]) -> list[bytes]:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .arrow_output import op4_arrow_stream
+from .cover_tree import op9_cover_tree
 from .crf_langid import op1_crf_language
 from .decision_list import op3_decision_list
 from .sharding import op2_sampled_splitters
 from .simhash import op5_simhash_blocks
+from .suffix_dedup import op10_suffix_array
 
 QUERIES = {
     f.__name__: f
@@ -16,6 +18,8 @@ QUERIES = {
         op3_decision_list,
         op4_arrow_stream,
         op5_simhash_blocks,
+        op9_cover_tree,
+        op10_suffix_array,
     )
 }
 
