@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..tables import Tables
 
-__all__ = ["Tables", "at", "count_at_most", "documents", "longs", "words_of"]
+__all__ = ["Tables", "at", "count_at_most", "documents", "fresh", "longs", "words_of"]
 
 #: Bytes that end a word: space and the control characters 0x09 to 0x0D.
 SPACES = " \t\n\x0b\f\r"
@@ -45,3 +45,11 @@ def words_of(text: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have (names are compared without regard to case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, words_of
+from .common import documents, fresh, words_of
 
 #: The model is fitted on at most MAX_LANGS * DOCS_PER_LANG documents, WINDOWS windows of WINDOW_WORDS words each.
 MAX_LANGS, DOCS_PER_LANG, WINDOWS, WINDOW_WORDS = 64, 300, 6, 32
@@ -266,6 +266,17 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", into: str =
     return docs.withColumn(into, label(F.col(text_col)))
 
 
+def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows whose text has a language with at least this score; the columns stay as they are. Where nothing can be
+    learned (no row has a text, an id and a language) all rows stay."""
+    model = fit(docs)
+    if not model.langs:
+        return docs
+    into = fresh(docs, "language")
+    known = identify(docs, model, into=into)
+    return known.where((F.col(f"{into}.lang_pred") != "und") & (F.col(f"{into}.score") >= least)).drop(into)
+
+
 def op1_crf_language(spark, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those not held out."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")

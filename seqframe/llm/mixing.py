@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_PATTERN, Tables, documents, words_of
+from .common import SPACE_PATTERN, Tables, documents, fresh, words_of
 
 #: A category's target share is in proportion to its tokens to this power (below 1: small categories gain).
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.9}
@@ -75,6 +75,13 @@ def draw(id_col: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+def cell_table(slim: DataFrame, powers: dict[str, float], budget: float, sweeps: int, tables: Tables) -> DataFrame:
+    """weight (wanted tokens for each token) and probability of every (source, lang, topic)."""
+    cells = slim.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"))
+    done = calibrate(rake(cells, powers, sweeps, tables), budget)
+    return tables.keep(done.select("source", "lang", "topic", F.col("rate").alias("weight"), F.when(F.col("tokens") > 0, F.col("probability")).otherwise(1.0).alias("probability")), "cells")
+
+
 def mix(docs: DataFrame, powers: dict[str, float] = POWERS, budget: float = BUDGET, sweeps: int = SWEEPS) -> DataFrame:
     """One row per document: doc_id, source, lang, topic, n_tokens, weight (wanted tokens for each token of the cell),
     probability and kept.
@@ -84,12 +91,21 @@ def mix(docs: DataFrame, powers: dict[str, float] = POWERS, budget: float = BUDG
     """
     tables = Tables(docs.sparkSession, "mixing")
     slim = tables.keep(with_categories(docs), "slim")
-    cells = slim.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"))
-    done = tables.keep(calibrate(rake(cells, powers, sweeps, tables), budget).select("source", "lang", "topic", F.col("rate").alias("weight"), F.when(F.col("tokens") > 0, F.col("probability")).otherwise(1.0).alias("probability")), "cells")
-    out = slim.join(done, ["source", "lang", "topic"])
+    out = slim.join(cell_table(slim, powers, budget, sweeps, tables), ["source", "lang", "topic"])
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", (draw(F.col("doc_id")) < F.col("probability")).alias("kept"))
 
 
+def sample(docs: DataFrame, powers: dict[str, float] = POWERS, budget: float = BUDGET, sweeps: int = SWEEPS) -> DataFrame:
+    """The rows of docs that are drawn, with their columns as they are."""
+    tables = Tables(docs.sparkSession, "mixing")
+    cells = cell_table(tables.keep(with_categories(docs), "slim"), powers, budget, sweeps, tables)
+    n, t, s, k, p = (fresh(docs, f"mix_{x}") for x in ("tokens", "topic", "source", "lang", "chance"))
+    held = docs.withColumn(n, F.size(words_of(F.col("text"))).cast("long")).withColumn(t, topic_of(F.col("text"), F.col(n)))
+    named = cells.select(F.col("source").alias(s), F.col("lang").alias(k), F.col("topic").alias(f"{t}_"), F.col("probability").alias(p))
+    met = held.join(named, (F.coalesce(held["source"], F.lit(NONE)) == F.col(s)) & (F.coalesce(held["lang"], F.lit(NONE)) == F.col(k)) & (F.col(t) == F.col(f"{t}_")))
+    return met.where(draw(F.col("doc_id")) < F.col(p)).select(*docs.columns)
+
+
 def op7_raking(spark, sf_dir: str) -> DataFrame:
     """Every document with its raked weight, probability and whether it is drawn."""
     out = mix(documents(spark, sf_dir).select("doc_id", "text", "source", "lang"))

@@ -6,6 +6,9 @@ from .arrow_output import op4_arrow_stream
 from .cover_tree import op9_cover_tree
 from .crf_langid import op1_crf_language
 from .decision_list import op3_decision_list
+from .mixing import op7_raking
+from .mixing import oracle as raking_sql
+from .piece_scan import op6_piece_scan
 from .sharding import op2_sampled_splitters
 from .simhash import op5_simhash_blocks
 from .suffix_dedup import op10_suffix_array
@@ -18,9 +21,11 @@ QUERIES = {
         op3_decision_list,
         op4_arrow_stream,
         op5_simhash_blocks,
+        op6_piece_scan,
+        op7_raking,
         op9_cover_tree,
         op10_suffix_array,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_raking": raking_sql()}

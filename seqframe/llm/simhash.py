@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import Tables, documents
+from .common import Tables, documents, fresh
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
 #: A group of more distinct fingerprints than this is divided again.
@@ -154,6 +154,15 @@ def links(prints: DataFrame, tables: Tables, group: int = GROUP) -> DataFrame:
         level += 1
 
 
+def components_of(prints: DataFrame, tables: Tables) -> DataFrame:
+    """(fp, component) of rows (id, fp): the component is the smallest id that links reach."""
+    nodes = tables.keep(prints.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
+    comps = connected_components(links(nodes.select("fp"), tables)).withColumnRenamed("id", "fp")
+    named = tables.keep(nodes.join(comps, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named")
+    least = named.groupBy("component").agg(F.min("first").alias("least"))
+    return tables.keep(named.join(least, "component").select("fp", F.col("component").alias("node"), F.col("least").alias("component")), "of")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component): each row's fingerprint and the smallest id that links of <= MAX_BITS bits reach.
 
@@ -162,12 +171,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     tables = Tables(docs.sparkSession, "simhash")
     rows = tables.keep(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "fp").select("id", "fp"), "prints")
-    nodes = tables.keep(rows.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    comps = connected_components(links(nodes.select("fp"), tables)).withColumnRenamed("id", "fp")
-    named = nodes.join(comps, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("first").alias("least"))
-    of = named.join(least, "component").select("fp", F.col("least").alias("component"))
-    return rows.join(tables.keep(of, "of"), "fp").select("id", "fp", "component")
+    return rows.join(components_of(rows, tables), "fp").select("id", "fp", "component")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with one row of each component: that of the smallest id (null only where there is no other; of
+    equal ids, the smallest fingerprint; of rows equal in both, any one). All columns stay as they are."""
+    tables = Tables(docs.sparkSession, "simhash")
+    fp = fresh(docs, "fp")
+    held = tables.keep(with_fingerprint(docs, text_col, fp), "held")
+    keys = tables.keep(held.select(F.col(id_col).alias("id"), F.col(fp).alias("fp")).groupBy("id", "fp").agg(F.count(F.lit(1)).alias("n")), "keys")
+    least = keys.join(components_of(keys, tables), "fp").groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "fp", "n")).alias("x"))
+    winners = tables.keep(least.select(F.col("x.id").alias("_win_id"), F.col("x.fp").alias("_win_fp"), F.col("x.n").alias("_win_n")), "winners")
+
+    def chosen(of: DataFrame) -> DataFrame:
+        return held.alias("d").join(of.alias("w"), F.col(f"d.{id_col}").eqNullSafe(F.col("w._win_id")) & (F.col(f"d.{fp}") == F.col("w._win_fp")), "left_semi")
+
+    out = chosen(winners.where(F.col("_win_n") == 1))
+    if winners.where(F.col("_win_n") > 1).take(1):
+        out = out.union(chosen(winners.where(F.col("_win_n") > 1)).dropDuplicates([id_col, fp]))
+    return out.drop(fp)
 
 
 def op5_simhash_blocks(spark, sf_dir: str) -> DataFrame:

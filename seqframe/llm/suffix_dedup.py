@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, documents
+from .common import Tables, documents, fresh
 from .suffix_sort import common, neighbours
 
 LENGTH = 400
@@ -355,6 +355,20 @@ def repeated(docs: DataFrame, tables: Tables, length: int = LENGTH, text_col: st
     return tables.keep(cut.union(copied), "cut")
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with the repeated strings cut out of their texts, and n_chars set anew where a text is cut. Rows of which
+    nothing but white space is left go; other rows and columns stay as they are."""
+    tables = Tables(docs.sparkSession, "suffix")
+    cut = repeated(docs, tables, length).select(F.col("cls").alias("_cut_cls"), F.col("kept_text").alias("_cut_text"))
+    key = fresh(docs, "cls")
+    met = docs.withColumn(key, text_class()).join(cut, F.col(key) == F.col("_cut_cls"), "left")
+    met = met.where(F.col("_cut_cls").isNull() | (F.trim(F.translate("_cut_text", "\t\n\x0b\f\r", "     ")) != ""))
+    new = {"text": F.when(F.col("_cut_cls").isNull(), F.col("text")).otherwise(F.col("_cut_text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_cut_cls").isNull(), F.col("n_chars")).otherwise(F.char_length("_cut_text")).cast(docs.schema["n_chars"].dataType)
+    return met.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
 def op10_suffix_array(spark, sf_dir: str) -> DataFrame:
     """What every document loses and the hash of what is left."""
     tables = Tables(spark, "suffix")
