@@ -24,7 +24,7 @@ from .common import Tables, documents
 END_ID = 2
 SEQ_LEN, BATCH_ROWS = 1024, 64
 #: Distinct pieces of text whose ids a worker remembers; further ones are encoded each time.
-REMEMBERED = 600_000
+REMEMBERED = 1_300_000
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
@@ -199,8 +199,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, at: str, tables: Tables, seq_l
         task, writer, uri = TaskContext.get(), None, ""
         code = encoder(tokenizer)
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
+            for i in range(0, b.num_rows, 2048):
+                part = b.slice(i, 2048)
                 if writer is None:
                     uri = f"{at}/part-{task.partitionId():06d}-{task.taskAttemptId()}"
                     store, path = fs.FileSystem.from_uri(at)
