@@ -6,6 +6,7 @@ from .arrow_output import op4_arrow_stream
 from .cover_tree import op9_cover_tree
 from .crf_langid import op1_crf_language
 from .decision_list import op3_decision_list
+from .kneser_ney import op8_kneser_ney
 from .mixing import op7_raking
 from .mixing import oracle as raking_sql
 from .piece_scan import op6_piece_scan
@@ -23,6 +24,7 @@ QUERIES = {
         op5_simhash_blocks,
         op6_piece_scan,
         op7_raking,
+        op8_kneser_ney,
         op9_cover_tree,
         op10_suffix_array,
     )
