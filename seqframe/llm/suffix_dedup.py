@@ -28,7 +28,9 @@ from .suffix_sort import common, neighbours
 
 LENGTH = 400
 #: Sets of at most so many distinct contexts are settled within one task.
-SMALL = 256
+SMALL = 512
+#: Parts that a large set that isn't settled is divided into, by how the shared bytes fall to the two sides.
+WAYS = 8
 #: Bytes of a text that are hashed at a time.
 PIECE = 1 << 21
 
@@ -246,11 +248,11 @@ def reach_of_large(spark, rows: DataFrame, tables: Tables, side: int) -> DataFra
     def shared(a: bytes, b: bytes) -> int:
         return common(bytes(a), bytes(b))
 
+    strings = rows.select("context", "left", "right")
     while True:
         sets = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("left", "right") for f in (F.min, F.max)])
         sets = sets.where(F.col("n") > 1).select("gram", "n", shared("min_left", "max_left").alias("l"), shared("min_right", "max_right").alias("r"))
-        sets = tables.keep(sets, f"sets{level}")
-        joined = rows.join(sets, "gram")
+        joined = tables.keep(rows.join(tables.keep(sets, f"sets{level}"), "gram"), f"joined{level}")
         settled = joined.where(F.col("l") + F.col("r") >= side)
         both = settled.select("gram", "context", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("string")), F.struct(F.lit(1).alias("side"), F.col("right").alias("string")))).alias("x"))
         ranged = both.select("gram", "context", "x.*").repartitionByRange(parts, "gram", "side", "string")
@@ -263,19 +265,28 @@ def reach_of_large(spark, rows: DataFrame, tables: Tables, side: int) -> DataFra
                 more.extend((bytes(x["context"]), x["side"], max(0, n)) for x in (a, b))
         sides = best.select("context", "side", "n").union(spark.createDataFrame(more, "context binary, side int, n int"))
         most = sides.groupBy("context").agg(F.max(F.when(F.col("side") == 0, F.col("n"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("n"))).alias("r"))
-        out.append(most.select("context", (side - F.least(F.lit(side), "r")).alias("lo"), F.least(F.lit(side), "l").alias("hi")))
-        left = joined.where((F.col("l") + F.col("r") < side) & (F.col("n") > SMALL))
         few = joined.where((F.col("l") + F.col("r") < side) & (F.col("n") <= SMALL)).select("gram", "context", "left", "right")
-        out.append(few.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(settle_small(side), REACH))
-        half = ((side - F.col("l") - F.col("r") + 1) / 2).cast("int")
-        keys = F.array(*[
-            F.when(F.octet_length(c) >= F.col(k) + half, F.unhex(F.substring(F.sha2(F.concat("gram", F.lit(c).cast("binary"), F.substring(F.col(c), F.lit(1), F.col(k) + half)), 256), 1, 32)))
-            for c, k in (("left", "l"), ("right", "r"))
-        ])
-        rows = tables.keep(left.select(F.explode(keys).alias("gram"), "context", "left", "right").where(F.col("gram").isNotNull()), f"rows{level}")
-        level += 1
-        if not rows.take(1):
+        few = few.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(settle_small(side), REACH)
+        found = most.select("context", (side - F.least(F.lit(side), "r")).alias("lo"), F.least(F.lit(side), "l").alias("hi")).union(few)
+        out.append(tables.keep(found, f"reach{level}"))
+        left = joined.where((F.col("l") + F.col("r") < side) & (F.col("n") > SMALL))
+        if not left.take(1):
             break
+        # A pair that shares s more bytes in total shares at least p_t to the left and s + 1 - p_(t+1) to the right for one t
+        # (p: WAYS + 1 even steps from 0 to s + 1). Keys alone are counted first; strings follow those that come twice.
+        s = side - F.col("l") - F.col("r")
+        step = lambda t: F.floor((s + 1) * t / WAYS).cast("int")
+        keys = []
+        for t in range(WAYS):
+            a, b = F.col("l") + step(t), F.col("r") + s + 1 - step(t + 1)
+            key = F.concat("gram", F.lit(str(t)).cast("binary"), F.substring("left", F.lit(1), a), F.substring("right", F.lit(1), b))
+            keys.append(F.when((step(t) < step(t + 1)) & (F.octet_length("left") >= a) & (F.octet_length("right") >= b), F.unhex(F.substring(F.sha2(key, 256), 1, 32))))
+        child = tables.keep(left.select("context", F.explode(F.array(*keys)).alias("gram")).where(F.col("gram").isNotNull()), f"keys{level}")
+        twice = child.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("gram")
+        rows = tables.keep(child.join(twice, "gram", "left_semi").join(strings, "context").select("gram", "context", "left", "right"), f"rows{level}")
+        tables.drop(f"joined{level}", f"sorted{level}", f"keys{level}")
+        tables.tidy()
+        level += 1
     found = out[0]
     for x in out[1:]:
         found = found.union(x)
