@@ -28,8 +28,9 @@ def canonical(seq: Column) -> Column:
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """All k-mers in order; an empty array for shorter sequences."""
-    return F.when(F.length(seq) >= k, F.transform(F.sequence(F.lit(1), F.length(seq) - (k - 1)), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """All k-mers in order; an empty array for shorter sequences. A lookahead finds them in one pass; a lambda over places
+    would hold the sequence's own expression, which the optimizer may evaluate again for every place."""
+    return F.regexp_extract_all(seq, F.lit(f"(?=(.{{{k}}}))"), F.lit(1))
 
 
 def n_kmers(seq: Column, k: int) -> Column:

@@ -13,6 +13,12 @@ def kmer_rows(reads: DataFrame, k: int, id_col: str = "read_id", seq_col: str =
     return reads.select(F.col(id_col), F.posexplode(kmers(F.col(seq_col), k)).alias("pos", "kmer")).withColumn("pos", F.col("pos").cast("long"))
 
 
+def unnest(df: DataFrame, array: str, into: str) -> DataFrame:
+    """A row for each element. Unlike a plain explode, this infers no filter on the array's size, for which the optimizer
+    would write the array's expression into its own lambdas and evaluate it for every element."""
+    return df.withColumn(into, F.explode_outer(array)).drop(array).where(F.col(into).isNotNull())
+
+
 def spectrum(reads: DataFrame, k: int, stranded: bool = False, seq_col: str = "seq") -> DataFrame:
     """(kmer, cov): canonical (or stranded) k-mers and how often they come. Counts are partial before the shuffle."""
     one = reads.select(F.explode(kmers(F.col(seq_col), k)).alias("kmer"))
@@ -92,7 +98,9 @@ def trim_edges(cov_rows: DataFrame, least: int) -> DataFrame:
 def kmer_pairs(reads: DataFrame, k: int, distance: int) -> DataFrame:
     """Distinct pairs of k-mers `distance` apart; a pair and its reverse-complement mirror are one (the smaller)."""
     l = kmers(F.col("seq"), k)
-    rows = reads.select(l.alias("l")).select(F.explode(F.when(F.size("l") > distance, F.transform(F.sequence(F.lit(0), F.size("l") - distance - 1), lambda i: F.struct(F.get("l", i).alias("a"), F.get("l", i + distance).alias("b")))).otherwise(F.array().cast("array<struct<a:string,b:string>>"))).alias("p"))
+    held = reads.select(l.alias("l")).where(F.size("l") > distance)
+    made = F.transform(F.sequence(F.lit(0), F.size("l") - distance - 1), lambda i: F.struct(F.get("l", i).alias("a"), F.get("l", i + distance).alias("b")))
+    rows = unnest(held.select(made.alias("x")), "x", "p")
     return rows.select(*mirror(F.col("p.a"), F.col("p.b"))).distinct()
 
 
@@ -107,7 +115,7 @@ def minimizers(reads: DataFrame, k: int, w: int) -> DataFrame:
     """(read_id, minimizer): distinct minima of w neighbouring canonical k-mers of each read, in lexicographic order."""
     l = reads.select("read_id", F.transform(kmers(F.col("seq"), k), canonical).alias("l"))
     least = F.transform(F.sequence(F.lit(1), F.size("l") - w + 1), lambda i: F.array_min(F.slice("l", i, w)))
-    return l.where(F.size("l") >= w).select("read_id", F.explode(F.array_distinct(least)).alias("minimizer"))
+    return unnest(l.where(F.size("l") >= w).select("read_id", F.array_distinct(least).alias("m")), "m", "minimizer")
 
 
 def bottom_sketch(seq: Column, k: int, s: int) -> Column:

@@ -111,7 +111,7 @@ def polya_tail(reads):
 
 @query(READ + f"SELECT read_id, CAST(i AS BIGINT) AS pos FROM (SELECT read_id, seq, unnest(range(0, len - 5)) AS i FROM reads WHERE len >= 6) WHERE substring(seq, CAST(i + 1 AS BIGINT), 6) IN ({MOTIFS})")
 def pas_signal(reads):
-    return reads.where(C("len") >= 6).select("read_id", F.explode(S.signal_positions(C("seq"))).alias("pos")).withColumn("pos", C("pos").cast("long"))
+    return kmers.unnest(reads.where(C("len") >= 6).select("read_id", S.signal_positions(C("seq")).alias("p")), "p", "pos").withColumn("pos", C("pos").cast("long"))
 
 
 @query(RAWS + f"SELECT read_id, round(list_sum(list_transform(range(0, length(raw_seq)), lambda i: (read_id * 7 + i * 13) % 42)) / length(raw_seq), 6) AS mean_q, list_sum(list_transform(range(0, length(raw_seq)), lambda i: (read_id * 7 + i * 13) % 42)) / length(raw_seq) < 20.5 AS blank FROM raw_reads WHERE length(raw_seq) > 0", "raw_reads")
@@ -297,14 +297,14 @@ DUCK_SKETCH = ", sk AS (SELECT read_id, ckmer FROM (SELECT read_id, ckmer, row_n
 
 @query(KM + DUCK_SKETCH + "SELECT read_id, ckmer AS kmer FROM sk")
 def bottom_sketch(reads):
-    return reads.select("read_id", F.explode(kmers.bottom_sketch(C("seq"), K, 20)).alias("kmer"))
+    return kmers.unnest(reads.select("read_id", kmers.bottom_sketch(C("seq"), K, 20).alias("s")), "s", "kmer")
 
 
 @query(KM + DUCK_SKETCH + ", first AS (SELECT min(read_id) AS read_id FROM reads GROUP BY seq), s AS (SELECT sk.* FROM sk SEMI JOIN first USING (read_id)), n AS (SELECT read_id, count(*) AS n FROM s GROUP BY read_id) SELECT a.read_id AS a, b.read_id AS b, count(*) AS shared, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS jaccard, round(count(*) / any_value(y.n), 6) AS containment FROM s a JOIN s b ON a.ckmer = b.ckmer AND a.read_id < b.read_id JOIN n x ON x.read_id = a.read_id JOIN n y ON y.read_id = b.read_id GROUP BY a.read_id, b.read_id HAVING count(*) >= 10")
 def sketch_similarity(reads):
     """Different sequences that share ten or more sketch k-mers. Copies are represented by their first read."""
     first = reads.groupBy("seq").agg(F.min("read_id").alias("read_id"))
-    sk = first.select("read_id", kmers.bottom_sketch(C("seq"), K, 20).alias("s")).select("read_id", F.size("s").alias("n"), F.explode("s").alias("kmer"))
+    sk = kmers.unnest(first.select("read_id", kmers.bottom_sketch(C("seq"), K, 20).alias("s")).withColumn("n", F.size("s")), "s", "kmer")
     a, b = (sk.select(C("read_id").alias(x), C("n").alias(f"n{x}"), "kmer") for x in "ab")
     shared = a.join(b, "kmer").where(C("a") < C("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     return shared.where(C("shared") >= 10).select("a", "b", "shared", F.round(C("shared") / (C("na") + C("nb") - C("shared")), 6).alias("jaccard"), F.round(C("shared") / C("nb"), 6).alias("containment"))
@@ -476,7 +476,7 @@ def interval_overlap_join(rows):
     return intervals.overlap_join(r, r, "name", 256).where(C("id1") < C("id2")).select("id1", "id2", C("overlap").cast("int").alias("overlap"))
 
 
-@query(IV + ", s AS (SELECT name, at, sum(d) AS d FROM (SELECT name, start_pos AS at, 1 AS d FROM intervals UNION ALL SELECT name, end_pos, -1 FROM intervals) GROUP BY ALL), t AS (SELECT name, at, sum(d) OVER w AS depth, lead(at) OVER w AS nx FROM s WINDOW w AS (PARTITION BY name ORDER BY at)), u AS (SELECT *, CASE WHEN depth >= 2 AND NOT coalesce(lag(depth >= 2) OVER (PARTITION BY name ORDER BY at), false) THEN 1 ELSE 0 END AS new FROM t), v AS (SELECT *, sum(new) OVER (PARTITION BY name ORDER BY at) AS g FROM u) SELECT name, min(at) AS start_pos, max(nx) AS end_pos FROM v WHERE depth >= 2 GROUP BY name, g HAVING max(nx) - min(at) >= 30", "intervals")
+@query(IV + ", s AS (SELECT name, p, sum(d) AS d FROM (SELECT name, start_pos AS p, 1 AS d FROM intervals UNION ALL SELECT name, end_pos, -1 FROM intervals) GROUP BY ALL), t AS (SELECT name, p, sum(d) OVER w AS depth, lead(p) OVER w AS nx FROM s WINDOW w AS (PARTITION BY name ORDER BY p)), u AS (SELECT *, CASE WHEN depth >= 2 AND NOT coalesce(lag(depth >= 2) OVER (PARTITION BY name ORDER BY p), false) THEN 1 ELSE 0 END AS new FROM t), v AS (SELECT *, sum(new) OVER (PARTITION BY name ORDER BY p) AS g FROM u) SELECT name, min(p) AS start_pos, max(nx) AS end_pos FROM v WHERE depth >= 2 GROUP BY name, g HAVING max(nx) - min(p) >= 30", "intervals")
 def effective_intervals(rows):
     return intervals.depth_runs(rows, "name", "start_pos", "end_pos", 2, 30)
 
