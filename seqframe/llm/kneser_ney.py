@@ -136,14 +136,30 @@ def make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, k = z, k + 1
 
 
+def pack_counts(ids: np.ndarray) -> bytes:
+    """Distinct numbers and how often they come, as byte planes of their differences and counts (zlib follows)."""
+    distinct, n = np.unique(ids, return_counts=True)
+    both = np.concatenate([np.diff(distinct, prepend=0), n]).astype("<u4")
+    return both.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpack_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :]
+
+
 def one_block(part: pa.RecordBatch, block: int) -> Iterator[pa.RecordBatch]:
     import zlib
 
     words, ids, of = words_counts(part.column("text").cast(pa.large_string()))
-    names = words.to_pylist()
+    # Words are numbered by falling frequency, so that the numbers of a document's words lie close together.
+    order = np.argsort(-np.bincount(ids, minlength=len(words)), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    ids, names = rank[ids], words.take(pa.array(order)).to_pylist()
     grams = sorted({g for w in names if w for g in grams_of(w)})
     ends = np.searchsorted(of, np.arange(part.num_rows + 1))
-    per_doc = [zlib.compress(ids[ends[i] : ends[i + 1]].astype("<u4").tobytes(), 1) for i in range(part.num_rows)]
+    per_doc = [zlib.compress(pack_counts(ids[ends[i] : ends[i + 1]]), 6) for i in range(part.num_rows)]
     listed = zlib.compress("\n".join(names).encode("utf-8", "surrogatepass"), 1)
 
     def rows(n: int, kind: int, gram=None, doc_id=None, lang=None, trusted=None, data=None) -> pa.RecordBatch:
@@ -171,8 +187,8 @@ def score_block(key, block: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
     docs = block[block["kind"] == 2]
     out = []
     for words in docs["words"]:
-        ids = np.frombuffer(zlib.decompress(words), "<u4")
-        out.append((int(lengths[ids].sum()), float(np.bincount(ids, minlength=len(names)) @ logs) if len(ids) else 0.0))
+        ids, n = unpack_counts(zlib.decompress(words))
+        out.append((int(lengths[ids] @ n), float(logs[ids] @ n)))
     return pd.DataFrame({
         "doc_id": docs["doc_id"].astype("Int64"), "lang": docs["lang"], "trusted": docs["trusted"],
         "n_chars": [n for n, _ in out], "log_prob": [x for _, x in out],
@@ -184,8 +200,12 @@ def perplexities(docs: DataFrame, model: Model, tables: Tables) -> DataFrame:
     parts = tables.keep(docs.select("doc_id", "text", "lang", "trusted").mapInArrow(make_blocks, BLOCKS), "blocks")
     asked = parts.where(F.col("kind") == 0).select("block", "gram")
     logs = resolve(tables.keep(asked.select("gram").distinct(), f"wanted{ORDER}"), model, tables)
+    tables.tidy()
     answers = asked.join(logs, "gram").select(F.col("block").alias("of"), "gram", "logp")
     blocks = parts.where(F.col("kind") != 0).select("block", "kind", "doc_id", "lang", "trusted", "words")
+    # Answers are written first, so that their join's shuffle is gone when the blocks are dealt.
+    answers = tables.keep(answers, "answers")
+    tables.tidy()
     return blocks.groupBy("block").cogroup(answers.groupBy("of")).applyInPandas(score_block, SCORES)
 
 
