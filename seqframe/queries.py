@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import complexity
 from .functions import sequence as S
 from .operators import graph, intervals, kmers, overlaps
 from .operators.components import connected_components
@@ -487,3 +488,16 @@ BIN = "CASE WHEN tlen <= 250 THEN 25 WHEN tlen <= 500 THEN 50 WHEN tlen <= 1000
 @query(PAF + f", b AS (SELECT tname, tlen, tstart, tend, {BIN} AS w, CAST(ceil(tlen / ({BIN})) AS INT) AS bars FROM paf), c AS (SELECT tname, bars, CASE WHEN tstart > 0 THEN CAST(floor(tstart / w + 0.5) AS INT) + 1 ELSE 0 END AS s, CASE WHEN tend < tlen THEN CAST(floor(tend / w + 0.5) AS INT) - 1 ELSE bars END AS e FROM b) SELECT tname, bin, count(*) AS n FROM (SELECT tname, CAST(unnest(range(s, e)) AS INT) AS bin FROM c WHERE s < e AND s < bars AND e > 0 AND e <= bars) GROUP BY ALL", "paf")
 def coverage_histogram(paf):
     return intervals.covered_bins(paf, 150)
+
+
+# Complexity (checked by tests).
+
+
+@query()
+def repeat_reads(reads):
+    return reads.select("read_id", complexity.flag(complexity.is_repeat, C("seq")).alias("repeat"))
+
+
+@query()
+def low_complexity_reads(reads):
+    return reads.select("read_id", complexity.flag(complexity.low_complexity_short, C("seq")).alias("short"), complexity.flag(complexity.low_complexity_windowed, C("seq")).alias("windowed"))
