@@ -27,7 +27,7 @@ SPACE = "▁"
 #: Characters of a chunk; longer texts are cut.
 CHUNK = 1 << 15
 #: Distinct units and pairs that a worker remembers.
-REMEMBERED_UNITS, REMEMBERED_PAIRS = 500_000, 1_000_000
+REMEMBERED_UNITS, REMEMBERED_PAIRS = 1_200_000, 500_000
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]*")
 #: A state: a piece (-1 - code point: a character outside the vocabulary) and the place where it ends.
 State = tuple[int, int]
@@ -48,6 +48,7 @@ class Pieces:
         raw = {i: bytes([b]) for b, i in self.byte.items()}
         self.raw = [raw[i] if i in raw else b"" if special[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(self.text)]
         self.longest = max(map(len, self.ids))
+        self.adjacent = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         assert all(SPACE not in p.lstrip(SPACE) for p in self.ids), "pieces with a space after another character"
         self.pairs: dict[tuple[int, int], bool] = {}
         self.units: dict[str, bytes] = {}
@@ -131,6 +132,13 @@ class Pieces:
         """Ids of a run of spaces and the word after it. No piece crosses its ends."""
         found = self.units.get(unit)
         if found is None:
+            # Two characters that no piece holds side by side are never in one piece: the parts are encoded on their own.
+            at = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in self.adjacent]
+            if at:
+                found = b"".join([self.unit(unit[i:j]) for i, j in zip([0, *at], [*at, len(unit)])])
+                if len(self.units) < REMEMBERED_UNITS:
+                    self.units[unit] = found
+                return found
             n = len(unit)
             lengths: dict[int, int] = {}
             last = self.reach(unit, 0, None, n, lengths)
