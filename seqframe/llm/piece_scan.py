@@ -49,6 +49,12 @@ class Pieces:
         self.raw = [raw[i] if i in raw else b"" if special[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(self.text)]
         self.longest = max(map(len, self.ids))
         self.adjacent = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        # Lengths of the pieces that end in two given characters, longest first.
+        by_end: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) > 1:
+                by_end.setdefault(p[-2:], set()).add(len(p))
+        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in by_end.items()}
         assert all(SPACE not in p.lstrip(SPACE) for p in self.ids), "pieces with a space after another character"
         self.pairs: dict[tuple[int, int], bool] = {}
         self.units: dict[str, bytes] = {}
@@ -89,14 +95,13 @@ class Pieces:
 
     def ending(self, text: str, i: int, start: int) -> Iterator[tuple[int, int]]:
         """Pieces that end at i and start at `start` or later, longest first: (piece, its start)."""
-        some = False
-        for j in range(max(start, i - self.longest), i):
-            p = self.ids.get(text[j:i])
-            if p is not None:
-                some = some or j == i - 1
-                yield p, j
-        if not some and i > start:
-            yield -1 - ord(text[i - 1]), i - 1
+        if i - start > 1:
+            for n in self.lengths.get(text[i - 2 : i], ()):
+                if i - n >= start and (p := self.ids.get(text[i - n : i])) is not None:
+                    yield p, i - n
+        if i > start:
+            p = self.ids.get(text[i - 1])
+            yield (p if p is not None else -1 - ord(text[i - 1])), i - 1
 
     def reach(self, text: str, start: int, first: int | None, stop: int, lengths: dict[int, int]) -> dict[int, int]:
         """From a piece `first` ending at start (None: nothing before it): the last piece of the stable sequence that
