@@ -1,10 +1,10 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model over the characters of words.
+"""Quality classifier: an interpolated modified Kneser-Ney model over the characters of texts.
 
-The model is counted on trusted text. N-grams run over the characters of a word with its edges, so a document's
-log-probability is a sum over its distinct words. Counts, continuation counts and discounts are tables; the n-grams that
-the documents need are resolved by joins on their keys, from the longest order down to single characters, and come back to
-blocks of documents, where perplexities are summed. A document is kept if its perplexity is within a quantile of the
-trusted documents of its language.
+The model is counted on trusted text. N-grams run over all characters of a text, across word borders, so word order and
+repetition count; white space between words counts as one space. Counts, continuation counts and discounts are tables;
+the n-grams that the documents need are resolved by joins on their keys, from the longest order down to single
+characters, and come back to blocks of documents, where perplexities are summed. A document is kept if its perplexity is
+within a quantile of the trusted documents of its language.
 """
 
 from __future__ import annotations
@@ -22,25 +22,66 @@ from pyspark.sql import functions as F
 from .common import Tables, documents
 
 ORDER = 5
-#: Edges of a word in n-grams. White space can't be part of a word.
+#: What comes before a text, and what ends each word of it. White space can't be part of a word.
 START, END = "\n", " "
 #: Bytes of text in a block of documents, about.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Numbers below this are ranked by a table, others by sorting.
+TABLE = 1 << 25
 #: Kept: perplexity up to this quantile of the trusted documents of the language, times the margin.
 QUANTILE, MARGIN = 0.99, 1.25
 
 
-def words_counts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct words, and for each word occurrence its number and the place of its text."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    coded = lists.flatten().dictionary_encode()
-    return coded.dictionary, coded.indices.to_numpy(), pc.list_parent_indices(lists).to_numpy()
+def lines(texts: pa.Array) -> list[str]:
+    """Each text as n-grams see it: its words, each followed by END; empty without words."""
+    words = pc.binary_join(pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(texts, ""))), END)
+    return [t + END if t else "" for t in words.to_pylist()]
 
 
-def grams_of(word: str) -> list[str]:
-    """The ORDER-grams that predict each character of the word and its end."""
-    padded = START * (ORDER - 1) + word + END
-    return [padded[i : i + ORDER] for i in range(len(word) + 1)]
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of BLOCK_BYTES of text, about; at least one row each."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
+        a = 0
+        while a < b.num_rows:
+            z, total = a, 0
+            while z < b.num_rows and (z == a or total + sizes[z] <= BLOCK_BYTES):
+                total += int(sizes[z])
+                z += 1
+            yield b.slice(a, z - a)
+            a = z
+
+
+def ranked(x: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many distinct numbers there are, and for each number how many distinct ones are smaller."""
+    top = int(x.max()) + 1 if len(x) else 0
+    if top > TABLE:
+        distinct, ranks = np.unique(x, return_inverse=True)
+        return len(distinct), ranks.astype(np.int32)
+    seen = np.zeros(top, bool)
+    seen[x] = True
+    place = np.cumsum(seen, dtype=np.int32)
+    return int(place[-1]) if top else 0, (place - 1)[x]
+
+
+def grams_of(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The distinct ORDER-grams that predict each character of the texts, in the order of their characters, and for each
+    character of the texts, one text after the other, the number of its n-gram."""
+    codes = np.frombuffer("".join(START * (ORDER - 1) + t for t in texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    if len(codes) < ORDER:
+        return [], np.zeros(0, np.int32)
+    n, chars = ranked(codes)
+    at = np.flatnonzero(codes != ord(START)).astype(np.int32)
+    ranks = chars[at - (ORDER - 1)]
+    for k in range(ORDER - 2, -1, -1):
+        longer = ranks.astype(np.int64)
+        longer *= n
+        longer += chars[at - k]
+        many, ranks = ranked(longer)
+    place = np.empty(many if len(at) else 0, np.int32)
+    place[ranks] = at
+    joined = codes[place[:, None] + np.arange(1 - ORDER, 1)].tobytes().decode("utf-32-le", "surrogatepass")
+    return [joined[i : i + ORDER] for i in range(0, len(joined), ORDER)], ranks
 
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,12 +91,10 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         return pa.record_batch([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
 
-    for b in batches:
-        words, ids, _ = words_counts(b.column("text").cast(pa.large_string()))
-        for w, n in zip(words.to_pylist(), np.bincount(ids, minlength=len(words)).tolist(), strict=True):
-            if w:
-                for g in grams_of(w):
-                    total[g] += n
+    for b in slices(batches):
+        grams, ranks = grams_of(lines(b.column("text").cast(pa.string())))
+        for g, n in zip(grams, np.bincount(ranks, minlength=len(grams)).tolist(), strict=True):
+            total[g] += n
         if len(total) > 2_000_000:
             yield out()
             total.clear()
@@ -113,96 +152,65 @@ def resolve(needed: DataFrame, model: Model, tables: Tables) -> DataFrame:
     return lower.select("gram", F.ln("p").alias("logp"))
 
 
-BLOCKS = "block long, kind int, gram string, doc_id long, lang string, trusted boolean, words binary"
+BLOCKS = "block long, kind int, gram string, number int, doc_id long, lang string, n_chars long, texts binary"
 
 
 def make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cuts a task's documents into blocks. A block is: its distinct words (kind 1: one row), each document's words by
-    number (kind 2), and the n-grams that its words need (kind 0)."""
+    """Cuts a task's documents into blocks. A block is: its texts (kind 1: one row), its documents in the order of their
+    texts (kind 2, by number), and the n-grams that its texts need (kind 0, by number)."""
     from pyspark import TaskContext
 
-    task, k = TaskContext.get().partitionId(), 0
-    for b in batches:
-        sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
-        a = 0
-        while a < b.num_rows:
-            z, total = a, 0
-            while z < b.num_rows and (z == a or total + sizes[z] <= BLOCK_BYTES):
-                total += int(sizes[z])
-                z += 1
-            part = b.slice(a, z - a)
-            block = (task << 32) | k
-            yield from one_block(part, block)
-            a, k = z, k + 1
-
-
-def pack_counts(ids: np.ndarray) -> bytes:
-    """Distinct numbers and how often they come, as byte planes of their differences and counts (zlib follows)."""
-    distinct, n = np.unique(ids, return_counts=True)
-    both = np.concatenate([np.diff(distinct, prepend=0), n]).astype("<u4")
-    return both.view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def unpack_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-    return np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :]
+    task = TaskContext.get().partitionId()
+    for k, part in enumerate(slices(batches)):
+        yield from one_block(part, (task << 32) | k)
 
 
 def one_block(part: pa.RecordBatch, block: int) -> Iterator[pa.RecordBatch]:
-    import zlib
-
-    words, ids, of = words_counts(part.column("text").cast(pa.large_string()))
-    # Words are numbered by falling frequency, so that the numbers of a document's words lie close together.
-    order = np.argsort(-np.bincount(ids, minlength=len(words)), kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    ids, names = rank[ids], words.take(pa.array(order)).to_pylist()
-    grams = sorted({g for w in names if w for g in grams_of(w)})
-    ends = np.searchsorted(of, np.arange(part.num_rows + 1))
-    per_doc = [zlib.compress(pack_counts(ids[ends[i] : ends[i + 1]]), 6) for i in range(part.num_rows)]
-    listed = zlib.compress("\n".join(names).encode("utf-8", "surrogatepass"), 1)
-
-    def rows(n: int, kind: int, gram=None, doc_id=None, lang=None, trusted=None, data=None) -> pa.RecordBatch:
-        cols = [pa.array([block] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(gram or [None] * n, pa.string())]
-        cols += [x if x is not None else pa.nulls(n, t) for x, t in ((doc_id, pa.int64()), (lang, pa.string()), (trusted, pa.bool_()))]
-        return pa.record_batch([*cols, pa.array(data or [None] * n, pa.binary())], names=["block", "kind", "gram", "doc_id", "lang", "trusted", "words"])
-
-    yield rows(1, 1, data=[listed])
-    yield rows(part.num_rows, 2, doc_id=part.column("doc_id"), lang=part.column("lang"), trusted=part.column("trusted"), data=per_doc)
+    texts = lines(part.column("text").cast(pa.string()))
+    grams, _ = grams_of(texts)
+    packed = "".join(texts).encode("utf-8", "surrogatepass")
+    size = len(packed).to_bytes(8, "little")
+
+    def rows(n: int, kind: int, **columns) -> pa.RecordBatch:
+        made = {"block": pa.array([block] * n, pa.int64()), "kind": pa.array([kind] * n, pa.int32()), "number": pa.array(np.arange(n), pa.int32())}
+        kinds = (("gram", pa.string()), ("doc_id", pa.int64()), ("lang", pa.string()), ("n_chars", pa.int64()), ("texts", pa.binary()))
+        made |= {c: columns[c] if c in columns else pa.nulls(n, t) for c, t in kinds}
+        names = ["block", "kind", "gram", "number", "doc_id", "lang", "n_chars", "texts"]
+        return pa.record_batch([made[c] for c in names], names=names)
+
+    yield rows(1, 1, texts=pa.array([size + pa.Codec("zstd", compression_level=6).compress(packed, asbytes=True)], pa.binary()))
+    yield rows(part.num_rows, 2, doc_id=part.column("doc_id"), lang=part.column("lang"), n_chars=pa.array([len(t) for t in texts], pa.int64()))
     if grams:
-        yield rows(len(grams), 0, gram=grams)
+        yield rows(len(grams), 0, gram=pa.array(grams, pa.string()))
 
 
-SCORES = "doc_id long, lang string, trusted boolean, n_chars long, log_prob double"
+SCORES = "doc_id long, lang string, n_chars long, log_prob double"
 
 
 def score_block(key, block: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
-    import zlib
-
-    known = dict(zip(grams["gram"], grams["logp"], strict=True))
-    listed = block[block["kind"] == 1]["words"].iloc[0]
-    names = zlib.decompress(listed).decode("utf-8", "surrogatepass").split("\n")
-    logs = np.array([sum(known[g] for g in grams_of(w)) if w else 0.0 for w in names])
-    lengths = np.array([len(w) + 1 if w else 0 for w in names], dtype=np.int64)
-    docs = block[block["kind"] == 2]
-    out = []
-    for words in docs["words"]:
-        ids, n = unpack_counts(zlib.decompress(words))
-        out.append((int(lengths[ids] @ n), float(logs[ids] @ n)))
+    data = block[block["kind"] == 1]["texts"].iloc[0]
+    joined = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True).decode("utf-8", "surrogatepass")
+    docs = block[block["kind"] == 2].sort_values("number")
+    lengths = docs["n_chars"].to_numpy(np.int64)
+    ends = np.cumsum(lengths)
+    _, ranks = grams_of([joined[z - n : z] for n, z in zip(lengths.tolist(), ends.tolist(), strict=True)])
+    logs = np.full(len(grams), np.nan)
+    logs[grams["number"].to_numpy()] = grams["logp"].to_numpy()
+    each = logs[ranks]
     return pd.DataFrame({
-        "doc_id": docs["doc_id"].astype("Int64"), "lang": docs["lang"], "trusted": docs["trusted"],
-        "n_chars": [n for n, _ in out], "log_prob": [x for _, x in out],
+        "doc_id": docs["doc_id"].astype("Int64"), "lang": docs["lang"], "n_chars": lengths,
+        "log_prob": [float(each[z - n : z].sum()) for n, z in zip(lengths.tolist(), ends.tolist(), strict=True)],
     })
 
 
 def perplexities(docs: DataFrame, model: Model, tables: Tables) -> DataFrame:
-    """docs has doc_id, text, lang and trusted; each row gets n_chars (with word ends) and log_prob."""
-    parts = tables.keep(docs.select("doc_id", "text", "lang", "trusted").mapInArrow(make_blocks, BLOCKS), "blocks")
-    asked = parts.where(F.col("kind") == 0).select("block", "gram")
+    """docs has doc_id, text and lang; each row gets n_chars (with word ends) and log_prob."""
+    parts = tables.keep(docs.select("doc_id", "text", "lang").mapInArrow(make_blocks, BLOCKS), "blocks")
+    asked = parts.where(F.col("kind") == 0).select("block", "gram", "number")
     logs = resolve(tables.keep(asked.select("gram").distinct(), f"wanted{ORDER}"), model, tables)
     tables.tidy()
-    answers = asked.join(logs, "gram").select(F.col("block").alias("of"), "gram", "logp")
-    blocks = parts.where(F.col("kind") != 0).select("block", "kind", "doc_id", "lang", "trusted", "words")
+    answers = asked.join(logs, "gram").select(F.col("block").alias("of"), "number", "logp")
+    blocks = parts.where(F.col("kind") != 0).select("block", "kind", "number", "doc_id", "lang", "n_chars", "texts")
     # Answers are written first, so that their join's shuffle is gone when the blocks are dealt.
     answers = tables.keep(answers, "answers")
     tables.tidy()
@@ -219,11 +227,11 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, ma
     tables = Tables(docs.sparkSession, "kneser_ney")
     marks = trusted.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().withColumn("_mark", F.lit(True))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    slim = base.select("doc_id").join(marks, "doc_id", "left_semi").distinct()
-    known = base.join(slim.withColumn("_mark", F.lit(True)), "doc_id", "left").select("doc_id", "text", "lang", F.coalesce("_mark", F.lit(False)).alias("trusted"))
-    model = train(known.where("trusted").select("text"), tables)
+    model = train(base.join(marks, "doc_id", "left_semi").select("text"), tables)
     tables.tidy()
-    scored = tables.keep(perplexities(known, model, tables), "scored")
+    # Marks are joined to scores: texts are not shuffled for them.
+    scored = perplexities(base, model, tables).join(marks, "doc_id", "left")
+    scored = tables.keep(scored.withColumn("trusted", F.coalesce("_mark", F.lit(False))).drop("_mark"), "scored")
     p = F.when(F.col("n_chars") > 0, F.exp(-F.col("log_prob") / F.col("n_chars")))
     scored = scored.withColumn("perplexity", p).withColumn("_lang", F.coalesce("lang", F.lit("")))
     good = scored.where(F.col("trusted") & F.col("perplexity").isNotNull())

@@ -263,6 +263,30 @@ def test_kneser_ney_sums_to_one(spark):
     assert total == pytest.approx(1, abs=1e-9)
 
 
+def test_kneser_ney_across_words(spark):
+    """Against the n-grams of the whole texts one by one; word order and repetition count."""
+    trained = ["the cat sat on the mat", "a cat  and\ta \u00e9t\u00e9 mat"]
+    asked = ["the cat sat", "sat the cat", "the the the the", " the\n\ncat sat ", "", None, "zzz \U0001f600", "the cat sat on the mat"]
+    tables = Tables(spark, "t")
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in trained], "text string"), tables)
+    rows = [(i, t, "en") for i, t in enumerate(asked)]
+    scored = kneser_ney.perplexities(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model, tables)
+    got = {r["doc_id"]: (r["n_chars"], r["log_prob"]) for r in scored.collect()}
+
+    def grams(text):
+        padded = "\n" * 4 + "".join(w + " " for w in (text or "").split())
+        return [padded[i : i + 5] for i in range(len(padded) - 4)]
+
+    counted = {r["gram"]: r["n"] for r in spark.read.parquet(f"{tables.at}/count5").collect()}
+    every = [g for t in trained for g in grams(t)]
+    assert counted == {g: every.count(g) for g in every}
+    needed = spark.createDataFrame([(g,) for g in sorted({g for t in asked for g in grams(t)})], "gram string")
+    logp = {r["gram"]: r["logp"] for r in kneser_ney.resolve(needed, model, Tables(spark, "t")).collect()}
+    for i, t in enumerate(asked):
+        assert got[i][0] == len(grams(t)) and got[i][1] == pytest.approx(sum(logp[g] for g in grams(t)), abs=1e-9)
+    assert got[0] == got[3] and got[0][1] > got[1][1] + 0.1
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(12, 8))
