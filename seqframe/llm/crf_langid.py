@@ -14,13 +14,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, fresh, words_of
 
-#: The model is fitted on at most MAX_LANGS * DOCS_PER_LANG documents, WINDOWS windows of WINDOW_WORDS words each.
-MAX_LANGS, DOCS_PER_LANG, WINDOWS, WINDOW_WORDS = 64, 300, 6, 32
+#: The model is fitted on at most DOCS_PER_LANG documents of each language, WINDOWS windows of WINDOW_WORDS words each.
+DOCS_PER_LANG, WINDOWS, WINDOW_WORDS = 300, 6, 32
 LEXICON_WORDS = 400
 BUCKETS = 1 << 16
 #: Texts are labelled in groups of about so many bytes, which bounds memory; a longer text makes a group of its own.
@@ -225,19 +225,15 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit(docs: DataFrame) -> Model:
-    """Learns from text and lang of a bounded sample of the documents that are not held out, by the hash of doc_id."""
+    """Learns from text and lang of a bounded sample of each language's documents that are not held out, by the hash of doc_id."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
-        return train([])
-    chance = F.lit(-1.0)
-    for r in counts:
-        chance = F.when(F.col("lang") == r["lang"], F.lit(1.5 * DOCS_PER_LANG / r["count"])).otherwise(chance)
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # a row for each language
     u = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = known.where(u < chance).select("doc_id", "lang", words_of(F.col("text")).alias("w"))
+    drawn = known.join(F.broadcast(counts), "lang").where(u < 1.5 * DOCS_PER_LANG / F.col("n")).select("doc_id", "lang", words_of(F.col("text")).alias("w"))
     start = [F.pmod(F.xxhash64("doc_id", F.lit(j)), F.greatest(F.lit(1), F.size("w") - WINDOW_WORDS + 1)) for j in range(WINDOWS)]
     cut = drawn.select("doc_id", "lang", F.array(*[F.slice("w", (s + 1).cast("int"), WINDOW_WORDS) for s in start]).alias("w"))
-    rows = cut.orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id", "lang").limit(DOCS_PER_LANG * len(counts)).collect()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id"))
+    rows = cut.withColumn("place", place).where(F.col("place") <= DOCS_PER_LANG).collect()
     return train([(r["lang"], list(w)) for r in rows for w in r["w"]])
 
 

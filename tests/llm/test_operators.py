@@ -60,6 +60,15 @@ def test_language(spark, empty):
     assert crf_langid.keep_identified(empty).count() == 0
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    rows = [(i, words(40), f"l{i % 90}") for i in range(90 * 8)] + [(10_000 + i, words(40), "rare") for i in range(8)]
+    monkeypatch.setattr(crf_langid, "train", lambda samples: samples)
+    monkeypatch.setattr(crf_langid, "DOCS_PER_LANG", 3)
+    got = crf_langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    n = [sum(s[0] == x for s in got) for x in {r[2] for r in rows}]
+    assert min(n) >= crf_langid.WINDOWS and max(n) <= 3 * crf_langid.WINDOWS
+
+
 def test_forward_backward():
     rng = np.random.default_rng(0)
     e, t, f = rng.normal(size=(4, 2)).astype(np.float32), rng.normal(size=(2, 2)).astype(np.float32), rng.normal(size=2).astype(np.float32)
