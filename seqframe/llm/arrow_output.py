@@ -47,7 +47,8 @@ class PieceEncoder:
     """Ids of whole texts with the tokenizers library, remembering those of pieces between single spaces and newlines.
 
     A byte-level BPE splits texts before a space or newline that stands alone between two other characters, so ids of
-    the pieces add up to those of the text. Other texts are cut at such spaces only.
+    the pieces add up to those of the text. Other texts are cut at such spaces only. Texts that contain an added token
+    (like <|endoftext|>) are encoded whole, as the library does by default: the token becomes its id.
     """
 
     CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -56,7 +57,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
         self.vocabulary = max(self.tokenizer.get_vocab_size(), END_ID + 1)
         self.known: tuple[dict, dict] = ({}, {})  # at the start of a line, after a space
         self.newline = self.encode(["\n"])[0]
@@ -88,6 +90,11 @@ class PieceEncoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        whole = [i for i, t in enumerate(texts) if self.added and self.added.search(t)]
+        if whole:
+            out = dict(zip(whole, self.encode([texts[i] for i in whole]), strict=True))
+            others = iter(self.ids([t for i, t in enumerate(texts) if i not in out]))
+            return [out[i] if i in out else next(others) for i in range(len(texts))]
         split = [[line.split(" ") for line in t.split("\n")] for t in texts]
         first, after = self.learn([p for t in split for p in t])
         out = []

@@ -154,6 +154,17 @@ def test_arrow_files(spark, docs, texts, empty, tmp_path):
     assert arrow_output.read_tokens(arrow_output.write_tokens(empty, path, f"file://{tmp_path}/e", Tables(spark, "t"))).count() == 0
 
 
+def test_added_tokens_in_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "plain words", "", "x<|endoftext|>.\n<|endoftext|>", "a <|endoftext| > b  c"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in arrow_output.PieceEncoder(path).ids(texts)]
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts] and 50256 in got[0]
+
+
 def brute_print(t):
     w = (t or "").encode().lower().split()
     sh = [b" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))] if w else []
