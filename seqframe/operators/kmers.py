@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import codes
 from ..functions.sequence import canonical, kmers
 
 
 def kmer_rows(reads: DataFrame, k: int, id_col: str = "read_id", seq_col: str = "seq") -> DataFrame:
     """(read_id, pos, kmer): every k-mer of every read."""
-    return reads.select(F.col(id_col), F.posexplode(kmers(F.col(seq_col), k)).alias("pos", "kmer")).withColumn("pos", F.col("pos").cast("long"))
+    return codes.kmer_codes(reads, k, id_col, seq_col).select(id_col, "pos", "kmer")
 
 
 def unnest(df: DataFrame, array: str, into: str) -> DataFrame:
@@ -19,10 +20,20 @@ def unnest(df: DataFrame, array: str, into: str) -> DataFrame:
     return df.withColumn(into, F.explode_outer(array)).drop(array).where(F.col(into).isNotNull())
 
 
+def code_spectrum(reads: DataFrame, k: int, stranded: bool = False, seq_col: str = "seq") -> DataFrame:
+    """(code, cov): canonical (or stranded) k-mers as numbers and how often they come; k-mers with other letters than A, C, G,
+    T and U are left out. Counts are partial before the shuffle, whose keys are numbers."""
+    return codes.code_counts(reads, [k], stranded, seq_col).select("code", "cov")
+
+
 def spectrum(reads: DataFrame, k: int, stranded: bool = False, seq_col: str = "seq") -> DataFrame:
-    """(kmer, cov): canonical (or stranded) k-mers and how often they come. Counts are partial before the shuffle."""
-    one = reads.select(F.explode(kmers(F.col(seq_col), k)).alias("kmer"))
-    return one.groupBy((F.col("kmer") if stranded else canonical(F.col("kmer"))).alias("kmer")).agg(F.count(F.lit(1)).alias("cov"))
+    """(kmer, cov): the same with k-mers as strings."""
+    return decoded(code_spectrum(reads, k, stranded, seq_col), k, code="kmer")
+
+
+def decoded(df: DataFrame, k: int, **names: str) -> DataFrame:
+    """Codes as k-mers: the columns named first, under the names given."""
+    return df.select(*[codes.decode(F.col(c), k).alias(names[c]) if c in names else F.col(c) for c in df.columns])
 
 
 def histogram(spec: DataFrame) -> DataFrame:
@@ -39,8 +50,7 @@ def totals(spec: DataFrame) -> DataFrame:
 def choose_k(reads: DataFrame, sizes: list[int]) -> DataFrame:
     """(k, f0, non_singletons, chosen): sizes are tried in order as long as the distinct k-mers seen twice or more increase;
     the last of these is chosen. All sizes are counted in one pass."""
-    sized = reads.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), kmers(F.col("seq"), k).alias("l")) for k in sizes])).alias("x"))
-    counts = sized.select("x.k", F.explode("x.l").alias("kmer")).groupBy("k", canonical(F.col("kmer")).alias("kmer")).agg(F.count(F.lit(1)).alias("cov"))
+    counts = codes.code_counts(reads, sizes)
     each = counts.groupBy("k").agg(F.count(F.lit(1)).alias("f0"), F.sum(F.when(F.col("cov") > 1, 1).otherwise(0)).alias("non_singletons"))
     order = Window.partitionBy(F.lit(0)).orderBy("k")  # a row for each size
     rising = each.withColumn("_up", (F.col("non_singletons") > F.coalesce(F.lag("non_singletons").over(order), F.lit(0))).cast("int"))
@@ -53,11 +63,25 @@ def with_coverage(rows: DataFrame, spec: DataFrame) -> DataFrame:
     return rows.withColumn("ckmer", canonical(F.col("kmer"))).join(spec.select(F.col("kmer").alias("ckmer"), "cov"), "ckmer", "left").withColumn("cov", F.coalesce("cov", F.lit(0)))
 
 
+def covered(reads: DataFrame, k: int, spec: DataFrame | None = None, stranded: bool = False, text: bool = True) -> DataFrame:
+    """(read_id, pos, kmer, code, cov): every k-mer of every read with its coverage in `spec` (code, cov; the reads' own
+    spectrum if not given), 0 if absent or not valid. Rows meet coverages by number; without `text`, no kmer."""
+    spec = code_spectrum(reads, k, stranded) if spec is None else spec
+    rows = codes.kmer_codes(reads, k, text=text).withColumn("code", F.col("code" if stranded else "ccode")).drop("ccode")
+    return rows.join(spec.select("code", "cov"), "code", "left").withColumn("cov", F.coalesce("cov", F.lit(0)))
+
+
 def coverage_arrays(cov: DataFrame) -> DataFrame:
     """(read_id, covs): coverages of each read in order."""
     return cov.groupBy("read_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "cov"))), lambda x: x["cov"]).alias("covs"))
 
 
+def held_elsewhere(rows: DataFrame, keys: list[str], id_col: str = "read_id") -> DataFrame:
+    """The distinct keys that two or more different reads hold: their least and greatest reads differ."""
+    ends = rows.groupBy(*keys).agg(F.min(id_col).alias("_least"), F.max(id_col).alias("_most"))
+    return ends.where(F.col("_least") != F.col("_most")).select(*keys)
+
+
 def median(values: Column) -> Column:
     s = F.array_sort(values)
     n = F.size(values)
@@ -97,25 +121,12 @@ def trim_edges(cov_rows: DataFrame, least: int) -> DataFrame:
 
 def kmer_pairs(reads: DataFrame, k: int, distance: int) -> DataFrame:
     """Distinct pairs of k-mers `distance` apart; a pair and its reverse-complement mirror are one (the smaller)."""
-    l = kmers(F.col("seq"), k)
-    held = reads.select(l.alias("l")).where(F.size("l") > distance)
-    made = F.transform(F.sequence(F.lit(0), F.size("l") - distance - 1), lambda i: F.struct(F.get("l", i).alias("a"), F.get("l", i + distance).alias("b")))
-    rows = unnest(held.select(made.alias("x")), "x", "p")
-    return rows.select(*mirror(F.col("p.a"), F.col("p.b"))).distinct()
-
-
-def mirror(a: Column, b: Column) -> tuple[Column, Column]:
-    from ..functions.sequence import reverse_complement as rc
-
-    flip = F.concat(a, b) > F.concat(rc(b), rc(a))
-    return F.when(flip, rc(b)).otherwise(a).alias("left"), F.when(flip, rc(a)).otherwise(b).alias("right")
+    return decoded(codes.pair_codes(reads, k, distance).distinct(), k, left="left", right="right")
 
 
 def minimizers(reads: DataFrame, k: int, w: int) -> DataFrame:
     """(read_id, minimizer): distinct minima of w neighbouring canonical k-mers of each read, in lexicographic order."""
-    l = reads.select("read_id", F.transform(kmers(F.col("seq"), k), canonical).alias("l"))
-    least = F.transform(F.sequence(F.lit(1), F.size("l") - w + 1), lambda i: F.array_min(F.slice("l", i, w)))
-    return unnest(l.where(F.size("l") >= w).select("read_id", F.array_distinct(least).alias("m")), "m", "minimizer")
+    return decoded(codes.window_minima(reads, k, w), k, code="minimizer")
 
 
 def bottom_sketch(seq: Column, k: int, s: int) -> Column:
@@ -124,27 +135,27 @@ def bottom_sketch(seq: Column, k: int, s: int) -> Column:
     return F.transform(F.slice(F.array_sort(h), 1, s), lambda x: x["kmer"])
 
 
-def neighbours(spec: DataFrame, forward: bool = True, least: int = 1) -> DataFrame:
-    """(kmer, base, neighbour, cov): extensions of each stranded k-mer by one base that are in the table themselves."""
-    ext = spec.select("kmer", F.explode(F.array(*[F.lit(b) for b in "ACGT"])).alias("base"))
-    k1 = F.length("kmer") - 1
-    made = F.concat(F.substring("kmer", F.lit(2), k1), "base") if forward else F.concat("base", F.substring("kmer", F.lit(1), k1))
-    target = spec.where(F.col("cov") >= least).select(F.col("kmer").alias("neighbour"), F.col("cov"))
-    return ext.withColumn("neighbour", made).join(target, "neighbour").select("kmer", "base", "neighbour", "cov")
+def neighbours(spec: DataFrame, k: int, forward: bool = True, least: int = 1) -> DataFrame:
+    """(code, base, neighbour, cov): extensions of each stranded k-mer (code, cov) by one base (0 to 3) that are in the table
+    themselves, at `least` that coverage."""
+    base = F.explode(F.array(*[F.lit(b).cast("long") for b in range(4)])).alias("base")
+    kept = F.col("code").bitwiseAND(F.lit((1 << (2 * k - 2)) - 1).cast("long"))
+    made = F.shiftleft(kept, 2) + F.col("base") if forward else F.shiftright("code", 2) + F.shiftleft("base", 2 * k - 2)
+    target = spec.where(F.col("cov") >= least).select(F.col("code").alias("neighbour"), F.col("cov"))
+    return spec.select("code", base).withColumn("neighbour", made).join(target, "neighbour").select("code", "base", "neighbour", "cov")
 
 
-def degrees(spec: DataFrame) -> DataFrame:
-    """(kmer, n_in, n_out) of stranded k-mers: one join finds all edges, both counts come from it."""
-    edges = neighbours(spec).select(F.col("kmer").alias("src"), F.col("neighbour").alias("dst"))
-    ends = edges.select(F.col("src").alias("kmer"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(edges.select(F.col("dst"), F.lit(1), F.lit(0)))
-    both = spec.select("kmer", F.lit(0).alias("i"), F.lit(0).alias("o")).union(ends)
-    return both.groupBy("kmer").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
+def degrees(spec: DataFrame, k: int) -> DataFrame:
+    """(code, n_in, n_out) of stranded k-mers: one join finds all edges, both counts come from it."""
+    edges = neighbours(spec, k).select(F.col("code").alias("src"), F.col("neighbour").alias("dst"))
+    ends = edges.select(F.col("src").alias("code"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(edges.select(F.col("dst"), F.lit(1), F.lit(0)))
+    both = spec.select("code", F.lit(0).alias("i"), F.lit(0).alias("o")).union(ends)
+    return both.groupBy("code").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
 
 
-def variants(spec: DataFrame, right: bool = True, least: int = 1) -> DataFrame:
-    """(kmer, variant, cov): k-mers of the table that differ in the last (or first) base only."""
-    k1 = F.length("kmer") - 1
-    stem = F.substring("kmer", F.lit(1), k1) if right else F.substring("kmer", F.lit(2), k1)
-    a = spec.select("kmer", stem.alias("stem"))
-    b = spec.where(F.col("cov") >= least).select(F.col("kmer").alias("variant"), stem.alias("stem"), "cov")
-    return a.join(b, "stem").where(F.col("kmer") != F.col("variant")).select("kmer", "variant", "cov")
+def variants(spec: DataFrame, k: int, right: bool = True, least: int = 1) -> DataFrame:
+    """(code, variant, cov): k-mers of the table that differ in the last (or first) base only."""
+    stem = F.shiftright("code", 2) if right else F.col("code").bitwiseAND(F.lit((1 << (2 * k - 2)) - 1).cast("long"))
+    a = spec.select("code", stem.alias("stem"))
+    b = spec.where(F.col("cov") >= least).select(F.col("code").alias("variant"), stem.alias("stem"), "cov")
+    return a.join(b, "stem").where(F.col("code") != F.col("variant")).select("code", "variant", "cov")

@@ -34,10 +34,16 @@ VIEWS = {"reads": ("documents", READS), "raw_reads": ("documents", RAW), "paf":
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, sql = VIEWS[name]
-    source = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    source = spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
     return spark.sql(sql.format(g="", f="").replace(f"FROM {table}", "FROM {source}"), source=source)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over as many partitions as there are cores, where a small file would give fewer."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def duck(name: str) -> str:
     """The same as a common table expression."""
     sql = VIEWS[name][1].format(g=", 'g'", f=".0").replace("AS STRING", "AS VARCHAR")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import complexity
+from .functions import codes, complexity
 from .functions import sequence as S
 from .operators import graph, intervals, kmers, overlaps
 from .operators.components import connected_components
@@ -126,11 +126,12 @@ def quality_mask(raw):
     return qualities(raw.where(F.length("raw_seq") > 0)).select("read_id", S.mask_low_quality(C("raw_seq"), C("qual"), 10).alias("masked"))
 
 
-@query(READ + "SELECT a.read_id, round(1 - levenshtein(a.seq, b.seq) / greatest(length(a.seq), length(b.seq)), 6) AS identity FROM reads a JOIN reads b ON b.read_id = a.read_id + 1 WHERE a.len BETWEEN 1 AND 400 AND b.len BETWEEN 1 AND 400")
+@query(READ + "SELECT a.read_id, round(1 - levenshtein(a.seq, b.seq) / greatest(length(a.seq), length(b.seq)), 6) AS identity FROM reads a JOIN reads b ON b.read_id = a.read_id + 1 WHERE greatest(a.len, b.len) > 0")
 def edit_identity(reads):
-    a = reads.where(C("len").between(1, 400))
-    b = a.select((C("read_id") - 1).alias("read_id"), C("seq").alias("other"))
-    return a.join(b, "read_id").select("read_id", F.round(S.identity(C("seq"), C("other")), 6).alias("identity"))
+    """Whole reads with whole next reads; the edit distance is the exact one, without the reference's last-column rule."""
+    b = reads.select((C("read_id") - 1).alias("read_id"), C("seq").alias("other"))
+    met = reads.join(b, "read_id").where(F.greatest(F.length("seq"), F.length("other")) > 0)
+    return met.select("read_id", F.round(S.identity(C("seq"), C("other")), 6).alias("identity"))
 
 
 QUART = """list_extract(l, 1) AS min, CASE WHEN n % 4 = 0 THEN (list_extract(l, n // 4) + list_extract(l, n // 4 + 1)) // 2 ELSE list_extract(l, n // 4 + 1) END AS q1,
@@ -183,12 +184,12 @@ def kmer_spectrum(reads):
 
 @query(KM + "SELECT cov AS multiplicity, count(*) AS n_kmers FROM spectrum GROUP BY cov")
 def kmer_histogram(reads):
-    return kmers.histogram(kmers.spectrum(reads, K))
+    return kmers.histogram(kmers.code_spectrum(reads, K))
 
 
 @query(KM + "SELECT CAST(sum(cov) AS BIGINT) AS f1, count(*) AS f0, count(*) FILTER (cov = 1) AS singletons, count(*) FILTER (cov > 1) AS non_singletons FROM spectrum")
 def kmer_distinct_nonsingleton(reads):
-    return kmers.totals(kmers.spectrum(reads, K))
+    return kmers.totals(kmers.code_spectrum(reads, K))
 
 
 SIZES = [7, 9, 11, 13]
@@ -202,19 +203,19 @@ def auto_k(reads):
 
 @query(KM + "SELECT read_id, pos, kmer, cov FROM cov")
 def read_kmer_coverage(reads):
-    return kmers.with_coverage(kmers.kmer_rows(reads, K), kmers.spectrum(reads, K)).select("read_id", "pos", "kmer", "cov")
+    return kmers.covered(reads, K).select("read_id", "pos", "kmer", "cov")
 
 
 COVS = ", covs AS (SELECT read_id, list(cov ORDER BY pos) AS l, list_sort(list(cov)) AS s, count(*) AS n FROM cov GROUP BY read_id)"
 
 
 def covs_of(reads: DataFrame) -> DataFrame:
-    return kmers.coverage_arrays(kmers.with_coverage(kmers.kmer_rows(reads, K), kmers.spectrum(reads, K)))
+    return kmers.coverage_arrays(kmers.covered(reads, K, text=False))
 
 
 @query(KM + COVS + "SELECT read_id, list_extract(s, 1) AS min_cov, CASE WHEN n % 2 = 0 THEN (list_extract(s, n // 2) + list_extract(s, n // 2 + 1)) / 2.0 ELSE CAST(list_extract(s, n // 2 + 1) AS DOUBLE) END AS med_cov, list_extract(s, n) AS max_cov FROM covs")
 def min_med_max_coverage(reads):
-    return covs_of(reads).select("read_id", F.array_min("covs").alias("min_cov"), kmers.median(C("covs")).alias("med_cov"), F.array_max("covs").alias("max_cov"))
+    return kmers.covered(reads, K, text=False).groupBy("read_id").agg(F.min("cov").alias("min_cov"), F.median("cov").alias("med_cov"), F.max("cov").alias("max_cov"))
 
 
 @query(KM + COVS + "SELECT read_id, CASE WHEN n > 3 THEN coalesce(list_extract(s, list_extract(list_filter(list_reverse(range(1, n - 2)), lambda i: list_extract(s, i) < list_extract(s, i + 1) * 0.5), 1) + 1), 0) ELSE 0 END AS dropoff FROM covs")
@@ -224,7 +225,7 @@ def coverage_dropoff(reads):
 
 @query(KM + "SELECT read_id, count(*) FILTER (cov >= 5) AS n_solid, round(sum(CASE WHEN cov >= 5 THEN ln(cov) ELSE 0 END), 6) AS total_log FROM cov GROUP BY read_id")
 def solid_kmers(reads):
-    cov = kmers.with_coverage(kmers.kmer_rows(reads, K), kmers.spectrum(reads, K))
+    cov = kmers.covered(reads, K, text=False)
     return cov.groupBy("read_id").agg(F.sum((C("cov") >= 5).cast("long")).alias("n_solid"), F.round(F.sum(F.when(C("cov") >= 5, F.ln("cov")).otherwise(0.0)), 6).alias("total_log"))
 
 
@@ -233,7 +234,7 @@ MAGNITUDE = "CAST(" + " + ".join(f"CASE WHEN m >= {10**i} THEN 1 ELSE 0 END" for
 
 @query(KM + f", m AS (SELECT read_id, min(cov) AS m, count(*) + {K - 1} AS len FROM cov GROUP BY read_id) SELECT read_id, m AS min_cov, {MAGNITUDE} AS magnitude, CASE WHEN m = 1 THEN '01' ELSE 'e' || CAST({MAGNITUDE} AS VARCHAR) END AS stratum, CASE WHEN len >= 300 THEN 'long' ELSE 'short' END AS kind FROM m")
 def stratify_reads(reads):
-    cov = kmers.with_coverage(kmers.kmer_rows(reads, K), kmers.spectrum(reads, K))
+    cov = kmers.covered(reads, K, text=False)
     m = cov.groupBy("read_id").agg(F.min("cov").alias("min_cov"), (F.count(F.lit(1)) + K - 1).alias("len"))
     mag = S.order_of_magnitude(C("min_cov"))
     return m.select("read_id", "min_cov", mag.alias("magnitude"), F.when(C("min_cov") == 1, "01").otherwise(F.concat(F.lit("e"), mag.cast("string"))).alias("stratum"), F.when(C("len") >= 300, "long").otherwise("short").alias("kind"))
@@ -241,14 +242,14 @@ def stratify_reads(reads):
 
 @query(KM + ", w AS (SELECT read_id, pos, pos - row_number() OVER (PARTITION BY read_id ORDER BY pos) AS g FROM cov WHERE cov < 3) SELECT read_id, min(pos) AS start, max(pos) AS \"end\", count(*) AS n FROM w GROUP BY read_id, g HAVING count(*) >= 4")
 def gap_runs(reads):
-    cov = kmers.with_coverage(kmers.kmer_rows(reads, K), kmers.spectrum(reads, K))
+    cov = kmers.covered(reads, K, text=False)
     return kmers.runs(cov, C("cov") < 3).where(C("n") >= 4)
 
 
 @query(KM + ", w AS (SELECT read_id, pos, pos - row_number() OVER (PARTITION BY read_id ORDER BY pos) AS g FROM cov WHERE cov >= 3), r AS (SELECT read_id, min(pos) AS s, max(pos) AS e FROM w GROUP BY read_id, g), t AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY read_id ORDER BY s) - 1 < 4 THEN 0 ELSE 1 END AS new FROM r), u AS (SELECT *, sum(new) OVER (PARTITION BY read_id ORDER BY s) AS k FROM t) SELECT read_id, min(s) AS start, max(e) AS \"end\" FROM u GROUP BY read_id, k HAVING max(e) - min(s) + 1 >= 10")
 def weak_split(reads):
     """Parts of reads between runs of four or more weak k-mers; parts of under ten k-mers go."""
-    cov = kmers.with_coverage(kmers.kmer_rows(reads, K), kmers.spectrum(reads, K))
+    cov = kmers.covered(reads, K, text=False)
     strong = kmers.runs(cov, C("cov") >= 3)
     order = F.lag("end").over(graph.by("read_id", "start"))
     cut = strong.withColumn("_new", F.when(C("start") - order - 1 < 4, 0).otherwise(1))
@@ -269,19 +270,20 @@ def kmer_pairs(reads):
     return kmers.kmer_pairs(reads, K, PAIR_DISTANCE)
 
 
-@query(KM + DUCK_PAIRS + f", s AS (SELECT l, r FROM pm WHERE read_id % 2 = 0 GROUP BY ALL), f AS (SELECT read_id, pos, pos - row_number() OVER (PARTITION BY read_id ORDER BY pos) AS g FROM pm SEMI JOIN s USING (l, r) WHERE read_id % 2 = 1), t AS (SELECT read_id, min(pos) AS s, max(pos) + {PAIR_DISTANCE} + 1 AS e FROM f GROUP BY read_id, g HAVING count(*) >= 2), u AS (SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY read_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM t), v AS (SELECT *, sum(new) OVER (PARTITION BY read_id ORDER BY s) AS k FROM u) SELECT read_id, min(s) AS start, max(e) AS \"end\" FROM v GROUP BY read_id, k")
+@query(KM + DUCK_PAIRS + f", s AS (SELECT l, r FROM pm GROUP BY ALL HAVING min(read_id) <> max(read_id)), f AS (SELECT read_id, pos, pos - row_number() OVER (PARTITION BY read_id ORDER BY pos) AS g FROM pm SEMI JOIN s USING (l, r)), t AS (SELECT read_id, min(pos) AS s, max(pos) + {PAIR_DISTANCE} + 1 AS e FROM f GROUP BY read_id, g HAVING count(*) >= 2), u AS (SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY read_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM t), v AS (SELECT *, sum(new) OVER (PARTITION BY read_id ORDER BY s) AS k FROM u) SELECT read_id, min(s) AS start, max(e) AS \"end\" FROM v GROUP BY read_id, k")
 def pair_support_segments(reads):
-    """Segments of odd reads that two or more neighbouring pairs of even reads support; segments that overlap are one."""
-    return graph.supported_segments(reads.where(C("read_id") % 2 == 1), kmers.kmer_pairs(reads.where(C("read_id") % 2 == 0), K, PAIR_DISTANCE), K, PAIR_DISTANCE, 2)
+    """Segments that two or more neighbouring pairs support which another read has too; segments that overlap are one."""
+    pairs = kmers.held_elsewhere(codes.pair_codes(reads, K, PAIR_DISTANCE, id_col="read_id"), ["left", "right"])
+    return graph.supported_segments(reads, pairs, K, PAIR_DISTANCE, 2)
 
 
-@query(KM + ", s AS (SELECT DISTINCT ckmer FROM kmers WHERE read_id % 2 = 0) SELECT read_id, count(*) AS n, count(s.ckmer) AS n_seen, count(*) = count(s.ckmer) AS represented FROM kmers LEFT JOIN s USING (ckmer) WHERE read_id % 2 = 1 GROUP BY read_id")
+@query(KM + ", s AS (SELECT ckmer FROM kmers GROUP BY ckmer HAVING min(read_id) <> max(read_id)) SELECT read_id, count(*) AS n, count(s.ckmer) AS n_seen, count(*) = count(s.ckmer) AS represented FROM kmers LEFT JOIN s USING (ckmer) GROUP BY read_id")
 def contains_all_kmers(reads):
-    """How many k-mers of odd reads occur in even ones."""
-    seen = kmers.spectrum(reads.where(C("read_id") % 2 == 0), K)
-    rows = kmers.with_coverage(kmers.kmer_rows(reads.where(C("read_id") % 2 == 1), K), seen)
-    n = F.sum((C("cov") > 0).cast("long"))
-    return rows.groupBy("read_id").agg(F.count(F.lit(1)).alias("n"), n.alias("n_seen"), (F.count(F.lit(1)) == n).alias("represented"))
+    """How many k-mers of each read occur in another one."""
+    rows = codes.kmer_codes(reads, K, text=False).select("read_id", C("ccode").alias("code"))
+    seen = kmers.held_elsewhere(rows, ["code"]).withColumn("seen", F.lit(1).cast("long"))
+    n = F.count("seen")
+    return rows.join(seen, "code", "left").groupBy("read_id").agg(F.count(F.lit(1)).alias("n"), n.alias("n_seen"), (F.count(F.lit(1)) == n).alias("represented"))
 
 
 W = 10
@@ -311,38 +313,45 @@ def sketch_similarity(reads):
     return shared.where(C("shared") >= 10).select("a", "b", "shared", F.round(C("shared") / (C("na") + C("nb") - C("shared")), 6).alias("jaccard"), F.round(C("shared") / C("nb"), 6).alias("containment"))
 
 
-SPEC_F = f"WITH {DUCK_KMERS}, fs AS (SELECT kmer, count(*) AS cov FROM kmers GROUP BY kmer), x AS (SELECT kmer, unnest(['A', 'C', 'G', 'T']) AS base FROM fs) "
+SPEC_F = f"WITH {DUCK_KMERS}, fs AS MATERIALIZED (SELECT kmer, count(*) AS cov FROM kmers GROUP BY kmer), x AS (SELECT kmer, unnest(['A', 'C', 'G', 'T']) AS base FROM fs) "
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """Neighbours as k-mers and letters."""
+    letter = F.substring(F.lit("ACGT"), C("base").cast("int") + 1, F.lit(1))
+    return kmers.decoded(rows.withColumn("base", letter), K, code="kmer", neighbour="neighbour")
 
 
 @query(SPEC_F + "SELECT x.kmer, base, fs.kmer AS neighbour, cov FROM x JOIN fs ON fs.kmer = substring(x.kmer, 2) || base")
 def kmer_successors(reads):
-    return kmers.neighbours(kmers.spectrum(reads, K, stranded=True))
+    return named(kmers.neighbours(kmers.code_spectrum(reads, K, stranded=True), K))
 
 
 @query(SPEC_F + f"SELECT x.kmer, base, fs.kmer AS neighbour, cov FROM x JOIN fs ON fs.kmer = base || substring(x.kmer, 1, {K - 1})")
 def kmer_predecessors(reads):
-    return kmers.neighbours(kmers.spectrum(reads, K, stranded=True), forward=False)
+    return named(kmers.neighbours(kmers.code_spectrum(reads, K, stranded=True), K, forward=False))
 
 
 @query(SPEC_F + f"SELECT kmer, CAST((SELECT count(*) FROM fs b WHERE substring(b.kmer, 1, {K - 1}) = substring(a.kmer, 2)) AS BIGINT) AS n_out, CAST((SELECT count(*) FROM fs b WHERE substring(b.kmer, 2) = substring(a.kmer, 1, {K - 1})) AS BIGINT) AS n_in FROM fs a")
 def branch_degree(reads):
-    return kmers.degrees(kmers.spectrum(reads, K, stranded=True))
+    return kmers.decoded(kmers.degrees(kmers.code_spectrum(reads, K, stranded=True), K), K, code="kmer")
 
 
 @query(SPEC_F + f"SELECT a.kmer, b.kmer AS variant, b.cov FROM fs a JOIN fs b ON substring(a.kmer, 1, {K - 1}) = substring(b.kmer, 1, {K - 1}) AND a.kmer <> b.kmer")
 def right_variants(reads):
-    return kmers.variants(kmers.spectrum(reads, K, stranded=True))
+    return kmers.decoded(kmers.variants(kmers.code_spectrum(reads, K, stranded=True), K), K, code="kmer", variant="variant")
 
 
 @query(SPEC_F + "SELECT a.kmer, b.kmer AS variant, b.cov FROM fs a JOIN fs b ON substring(a.kmer, 2) = substring(b.kmer, 2) AND a.kmer <> b.kmer")
 def left_variants(reads):
-    return kmers.variants(kmers.spectrum(reads, K, stranded=True), right=False)
+    return kmers.decoded(kmers.variants(kmers.code_spectrum(reads, K, stranded=True), K, right=False), K, code="kmer", variant="variant")
 
 
 @query(SPEC_F + "SELECT kmer, arg_max(nb, (cov, nb)) AS best, max(cov) AS cov FROM (SELECT x.kmer, fs.kmer AS nb, cov FROM x JOIN fs ON fs.kmer = substring(x.kmer, 2) || base) GROUP BY kmer")
 def max_cov_successor(reads):
-    n = kmers.neighbours(kmers.spectrum(reads, K, stranded=True))
-    return n.groupBy("kmer").agg(F.max_by("neighbour", F.struct("cov", "neighbour")).alias("best"), F.max("cov").alias("cov"))
+    n = kmers.neighbours(kmers.code_spectrum(reads, K, stranded=True), K)
+    best = n.groupBy("code").agg(F.max_by("neighbour", F.struct("cov", "neighbour")).alias("best"), F.max("cov").alias("cov"))
+    return kmers.decoded(best, K, code="kmer", best="best")
 
 
 @query()
@@ -440,13 +449,13 @@ def transitive_edges(paf):
 
 
 @query(
-    f"WITH RECURSIVE {duck('paf')}, g AS (SELECT DISTINCT CAST(substring(qname, 2) AS BIGINT) AS x, CAST(substring(tname, 2) AS BIGINT) AS y FROM paf WHERE qname <> tname AND (({OUT}) OR ({SINK})) AND nmatch >= 630), "
+    f"WITH RECURSIVE {duck('paf')}, g AS (SELECT DISTINCT CAST(substring(qname, 2) AS BIGINT) AS x, CAST(substring(tname, 2) AS BIGINT) AS y FROM paf WHERE qname <> tname AND (({OUT}) OR ({SINK}))), "
     "b AS (SELECT x, y FROM g UNION SELECT y, x FROM g), walk AS (SELECT x, y FROM b UNION SELECT w.x, b.y FROM walk w JOIN b ON w.y = b.x) SELECT x AS id, least(x, min(y)) AS component FROM walk GROUP BY x",
     "paf",
 )
 def overlap_components(paf):
-    """Components of sequences by dovetails of 630 or more matches."""
-    rows = paf.where((C("qname") != C("tname")) & overlaps.dovetail(CLIP) & (C("nmatch") >= 630))
+    """Components of sequences by dovetails."""
+    rows = paf.where((C("qname") != C("tname")) & overlaps.dovetail(CLIP))
     return connected_components(rows.select(F.substring("qname", 2, 9).cast("long").alias("a"), F.substring("tname", 2, 9).cast("long").alias("b")))
 
 

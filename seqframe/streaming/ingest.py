@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..functions.sequence import canonical, kmers
+from ..operators.kmers import spectrum
 from ..sources.fastx import fasta_rows
 
 
@@ -15,5 +14,4 @@ def stream_fasta(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_spectrum(reads: DataFrame, k: int) -> DataFrame:
     """Running canonical k-mer counts; write with output mode complete or update."""
-    one = reads.select(F.explode(kmers(F.col("seq"), k)).alias("kmer"))
-    return one.groupBy(canonical(F.col("kmer")).alias("kmer")).agg(F.count(F.lit(1)).alias("cov"))
+    return spectrum(reads, k)
