@@ -159,3 +159,12 @@ def variants(spec: DataFrame, k: int, right: bool = True, least: int = 1) -> Dat
     a = spec.select("code", stem.alias("stem"))
     b = spec.where(F.col("cov") >= least).select(F.col("code").alias("variant"), stem.alias("stem"), "cov")
     return a.join(b, "stem").where(F.col("code") != F.col("variant")).select("code", "variant", "cov")
+
+
+def united_sketch(reads: DataFrame, group: str, k: int, s: int) -> DataFrame:
+    """(group, kmer): the s least distinct canonical k-mers of a group's reads by hash. Each read gives its s least ones; they
+    are ranked in parts before groups are, so a group that holds most reads is no bottleneck."""
+    each = unnest(reads.select(group, bottom_sketch(F.col("seq"), k, s).alias("l")), "l", "kmer").distinct()
+    h = each.withColumn("h", F.md5(F.col("kmer").cast("binary"))).withColumn("part", F.pmod(F.xxhash64("kmer"), F.lit(64)))
+    few = h.withColumn("r", F.row_number().over(Window.partitionBy(group, "part").orderBy("h"))).where(F.col("r") <= s)
+    return few.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy("h"))).where(F.col("r") <= s).select(group, "kmer")
