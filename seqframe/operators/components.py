@@ -37,6 +37,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if row == mark:
             break
         mark = row
+    else:
+        raise RuntimeError("components did not end")
     return nodes.join(now.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select(
         "id", F.coalesce("component", "id").alias("component")
     )

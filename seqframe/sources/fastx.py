@@ -5,7 +5,7 @@ Paths may be files, folders or patterns in any store that Spark reads; .gz is ha
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 C = F.col
@@ -33,18 +33,53 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return fasta_rows(spark.read.option("lineSep", "\n>").text(path))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of files with their numbers from 0. Files are split; lines are numbered within each split,
+    and a table with a row for each split tells how many lines lie before it. What is gzipped is one split."""
+    lines = spark.read.text(path).select(C("_metadata.file_path").alias("file"), C("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.rtrim("value", F.lit("\r")).alias("value"))
+    splits = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = splits.select("file", "block", (F.coalesce(F.sum("n").over(order), F.lit(0)) - C("first")).alias("shift"))
+    return lines.join(F.broadcast(before), ["file", "block"]).select("file", (C("id") + C("shift")).alias("line"), "value")
+
+
 def read_fastq(spark: SparkSession, path: str, least_mean: float = 0.0) -> DataFrame:
-    """(file, record, name, seq, qual) of strict four-line records. Reads whose mean quality is below least_mean stay, with an
-    empty sequence. A file is one record stream, as a quality line may start like a header; use several files for parallel reading."""
-    files = spark.read.text(path, wholetext=True).select(C("_metadata.file_path").alias("file"), F.split(F.regexp_replace(F.rtrim("value"), "\r", ""), "\n").alias("l")).where(F.size("l") >= 4)
-    rows = files.select("file", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size("l") / 4).cast("int") - 1), lambda i: F.slice("l", i * 4 + 1, 4))).alias("record", "r"))
-    checked = rows.withColumn("r", F.when(F.get("r", F.lit(0)).startswith("@") & F.get("r", F.lit(2)).startswith("+"), C("r")).otherwise(F.raise_error(F.lit("not a FASTQ record"))))
+    """(file, record, name, seq, qual) of strict four-line records; empty lines at the end of a file don't count. Reads whose mean
+    quality is below least_mean stay, with an empty sequence. A record's lines meet by their number, so files are split
+    anywhere: a quality line may start like a header."""
     from ..functions.sequence import mean_phred
 
-    out = checked.select("file", "record", read_name(F.substring(F.get("r", F.lit(0)), 2, 1 << 30)).alias("name"), F.get("r", F.lit(1)).alias("seq"), F.get("r", F.lit(3)).alias("qual"))
+    lines = numbered_lines(spark, path).select("file", F.floor(C("line") / 4).alias("record"), (C("line") % 4).alias("part"), "value")
+    part = lambda i: F.max(F.when(C("part") == i, C("value"))).alias(f"l{i}")
+    rows = lines.groupBy("file", "record").agg(*[part(i) for i in range(4)])
+    rows = rows.where(F.coalesce(F.length("l0") + F.coalesce(F.length("l1"), F.lit(0)), F.lit(0)) > 0)
+    good = C("l0").startswith("@") & C("l2").startswith("+") & C("l3").isNotNull()
+    checked = rows.withColumn("l0", F.when(F.coalesce(good, F.lit(False)), C("l0")).otherwise(F.raise_error(F.lit("not a FASTQ record"))))
+    out = checked.select("file", "record", read_name(F.substring("l0", 2, 1 << 30)).alias("name"), C("l1").alias("seq"), C("l3").alias("qual"))
     return out.withColumn("seq", F.when(mean_phred(C("qual")) < least_mean, F.lit("")).otherwise(C("seq"))) if least_mean > 0 else out
 
 
+def read_reads(spark: SparkSession, paths: dict[str, str], least_mean: float = 0.0) -> DataFrame:
+    """(orientation, name, seq, qual): the union of files under their orientation ('forward' or 'reverse'), FASTA or FASTQ by
+    their first line; reverse reads are turned to the other strand, with their qualities."""
+    from ..functions.sequence import reverse_complement as rc
+    from .stores import sniff
+
+    out = None
+    for orientation, path in paths.items():
+        if sniff(spark, path) == "fastq":
+            rows = read_fastq(spark, path, least_mean).select("name", "seq", "qual")
+        else:
+            rows = read_fasta(spark, path).select("name", "seq", F.lit(None).cast("string").alias("qual"))
+        if orientation == "reverse":
+            rows = rows.select("name", rc(C("seq")).alias("seq"), F.reverse("qual").alias("qual"))
+        rows = rows.select(F.lit(orientation).alias("orientation"), "name", "seq", "qual")
+        out = rows if out is None else out.union(rows)
+    if out is None:
+        raise ValueError("no files")
+    return out
+
+
 def read_pairs(left: DataFrame, right: DataFrame, left_rc: bool = False, right_rc: bool = True) -> DataFrame:
     """(name, left, right): mates by name; either side may be turned to the other strand."""
     from ..functions.sequence import reverse_complement as rc
@@ -54,6 +89,24 @@ def read_pairs(left: DataFrame, right: DataFrame, left_rc: bool = False, right_r
     return l.join(r, "name")
 
 
+def pair_segments(left: DataFrame, right: DataFrame, k: int, orientation: str = "FR", least: int | None = None) -> DataFrame:
+    """(name, left, right): mates by name as arrays of runs of k or more valid bases with gaps of N between them; with `least`, of
+    good qualities first. A side whose letter is R is turned: its order, and each segment to the other strand. A name that
+    only one side has is an error where both are read in full, so such rows are kept with an empty array on the other side."""
+    from ..functions.sequence import quality_segments, reverse_complement, segments
+
+    def side(df: DataFrame, letter: str, into: str) -> DataFrame:
+        made = quality_segments(C("seq"), C("qual"), least, k) if least is not None else segments(C("seq"), k)
+        turned = F.transform(F.reverse(made), lambda x: F.when(F.replace(x, F.lit("N"), F.lit("")) == "", x).otherwise(reverse_complement(x)))
+        return df.select("name", (turned if letter == "R" else made).alias(into))
+
+    if len(orientation) != 2 or set(orientation) - {"F", "R"}:
+        raise ValueError("orientation is FF, FR, RF or RR")
+    met = side(left, orientation[0], "left").join(side(right, orientation[1], "right"), "name", "full")
+    none = F.array().cast("array<string>")
+    return met.select("name", F.coalesce("left", none).alias("left"), F.coalesce("right", none).alias("right"))
+
+
 def read_paf(spark: SparkSession, path: str) -> DataFrame:
     """The twelve columns, and the tags NM (nm), cg (cigar) and tp (is_primary)."""
     f = F.split("value", "\t")

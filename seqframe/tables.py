@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -12,11 +13,14 @@ _own_folder: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one, in local runs only:
+    on a cluster each machine would have its own."""
     global _own_folder
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_folder is None:
         _own_folder = "file://" + tempfile.mkdtemp(prefix="seqframe-")
         spark.sparkContext.setCheckpointDir(_own_folder)
