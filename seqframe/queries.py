@@ -257,7 +257,10 @@ def weak_split(reads):
     return part.groupBy("read_id", "_k").agg(F.min("start").alias("start"), F.max("end").alias("end")).where(C("end") - C("start") + 1 >= 10).drop("_k")
 
 
-@query()
+@query(
+    KM + COVS + ", t AS (SELECT read_id, len(l) AS n, list_filter(range(0, len(l) - 1), lambda i: list_extract(l, i + 1) >= 3 AND list_extract(l, i + 2) >= 3) AS p FROM covs), u AS (SELECT read_id, n, coalesce(list_min(p) + 1, 0) AS f, list_max(p) AS z FROM t), "
+    "v AS (SELECT read_id, n, f, CASE WHEN z >= f THEN z + 2 ELSE n END AS e FROM u) SELECT read_id, f AS \"from\", e AS \"to\" FROM v WHERE (f > 0 OR e < n) AND e - f > 1"
+)
 def trim_low_cov_edges(reads):
     return kmers.trim_edges(covs_of(reads), 3)
 
@@ -354,7 +357,15 @@ def max_cov_successor(reads):
     return kmers.decoded(best, K, code="kmer", best="best")
 
 
-@query()
+#: Chains of ch (src, dst): every node with its head and place; a cycle begins at its smallest node.
+DUCK_CHAINS = """cn AS (SELECT src AS node FROM ch UNION SELECT dst FROM ch), ln AS (SELECT node AS head, node, 0 AS rank FROM cn WHERE node NOT IN (SELECT dst FROM ch) UNION ALL SELECT head, ch.dst, rank + 1 FROM ln JOIN ch ON ch.src = ln.node),
+rg AS (SELECT node AS first, node, [node] AS path FROM cn WHERE node NOT IN (SELECT node FROM ln) UNION ALL SELECT first, ch.dst, list_append(path, ch.dst) FROM rg JOIN ch ON ch.src = rg.node WHERE NOT list_contains(path, ch.dst)),
+rw AS (SELECT first AS node, arg_max(path, len(path)) AS path FROM rg GROUP BY first),
+placed AS (SELECT node, head, rank FROM ln UNION ALL SELECT node, list_min(path) AS head, (len(path) - list_position(path, list_min(path)) + 1) % len(path) AS rank FROM rw)"""
+UNITIGS = f"WITH RECURSIVE {DUCK_KMERS}, fs AS MATERIALIZED (SELECT kmer, count(*) AS cov FROM kmers GROUP BY kmer HAVING count(*) >= 3), ed AS MATERIALIZED (SELECT a.kmer AS src, b.kmer AS dst FROM fs a JOIN fs b ON substring(a.kmer, 2) = left(b.kmer, {K - 1})), oo AS (SELECT src, min(dst) AS dst FROM ed GROUP BY src HAVING count(*) = 1), ii AS (SELECT dst FROM ed GROUP BY dst HAVING count(*) = 1), ch AS MATERIALIZED (SELECT src, dst FROM oo SEMI JOIN ii USING (dst) WHERE src <> dst), "
+
+
+@query(UNITIGS + DUCK_CHAINS + ", e AS (SELECT coalesce(head, kmer) AS head, coalesce(rank, 0) AS rank, kmer, cov FROM fs LEFT JOIN placed ON node = kmer) SELECT head, count(*) AS n_kmers, head || coalesce(string_agg(right(kmer, 1), '' ORDER BY rank) FILTER (rank > 0), '') AS seq, round(avg(cov), 6) AS mean_cov FROM e GROUP BY head")
 def unitigs(reads):
     """Maximal unbranched sequences of the graph of k-mers seen three times or more."""
     return graph.unitigs(kmers.spectrum(reads, K, stranded=True).where(C("cov") >= 3), K)
@@ -465,7 +476,10 @@ def log_magnitude_edge_filter(paf):
     return overlaps.drop_unlike_edges(overlaps.best_edges(overlaps.edges(paf, CLIP)), counts, 0.4).select("src", "dst", "size2")
 
 
-@query(source="paf")
+@query(
+    (PAF + f", {EDGES}, ch AS MATERIALIZED (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY size2 DESC, dst) AS o, row_number() OVER (PARTITION BY dst ORDER BY size2 DESC, src) AS i FROM be) WHERE o = 1 AND i = 1 AND src <> dst), {DUCK_CHAINS} SELECT node, head, CAST(rank AS BIGINT) AS rank FROM placed").replace("WITH ", "WITH RECURSIVE ", 1),
+    "paf",
+)
 def unambiguous_paths(paf):
     """Chains of the edges that are best at both ends."""
     e = overlaps.resolve_junctions(overlaps.best_edges(overlaps.edges(paf, CLIP)))
@@ -499,14 +513,30 @@ def coverage_histogram(paf):
     return intervals.covered_bins(paf, 150)
 
 
-# Complexity (checked by tests).
+# Complexity.
+
+TILES = "tl AS (SELECT read_id, len, n, st, count(*) AS c FROM (SELECT read_id, len, n, st, substring(seq, i, n) AS t FROM (SELECT *, unnest(range(st + 1, len - n + 2, n)) AS i FROM reads, (VALUES (1, 0), (2, 0), (2, 1), (3, 0), (3, 1), (3, 2)) v(n, st))) GROUP BY read_id, len, n, st, t)"
 
 
-@query()
+@query(READ + f", {TILES} SELECT read_id, coalesce(repeat, false) AS repeat FROM reads LEFT JOIN (SELECT read_id, bool_or(c >= floor((len // n) * 0.9::DOUBLE + 0.5)) AS repeat FROM tl GROUP BY read_id) USING (read_id)")
 def repeat_reads(reads):
     return reads.select("read_id", complexity.flag(complexity.is_repeat, C("seq")).alias("repeat"))
 
 
-@query()
+#: Windows of a read (the whole of it if there are fewer than four), their bases by place, and counts of bases, pairs and triples.
+WINDOWS = """wn AS (SELECT read_id, 0 AS w, seq AS s FROM reads WHERE len // 50 < 4 UNION ALL SELECT read_id, w, substring(seq, (len % 50) // 2 + w * 50 + 1, 50) FROM (SELECT *, unnest(range(0, len // 50)) AS w FROM reads WHERE len // 50 >= 4)),
+ch AS MATERIALIZED (SELECT read_id, w, len(s) AS n, i, substring(s, i, 1) AS a, substring(s, i + 1, 1) AS b, substring(s, i + 2, 1) AS c, substring(s, i - 1, 1) AS z, i = 1 AS first FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM wn)),
+b2 AS (SELECT read_id, w, list_sum(list_slice(list_reverse_sort(list(k)), 1, 2)) AS two FROM (SELECT read_id, w, a, count(*) AS k FROM ch GROUP BY ALL) GROUP BY ALL),
+tr AS (SELECT read_id, w, max(k) AS tri FROM (SELECT read_id, w, a, b, c, count(*) AS k FROM ch WHERE i <= n - 2 AND NOT (a = b AND b = c) GROUP BY ALL) GROUP BY ALL),
+pr AS MATERIALIZED (SELECT read_id, w, a, b, count(*) AS k FROM ch WHERE i <= n - 1 AND CASE WHEN first THEN n < 3 OR NOT (a = b AND b = c) ELSE NOT (z = a AND a = b) END GROUP BY ALL),
+pp AS (SELECT x.read_id, x.w, max(x.k + coalesce(y.k, 0)) AS pair FROM pr x LEFT JOIN pr y ON x.read_id = y.read_id AND x.w = y.w AND y.a >= x.a AND y.b >= x.b AND (y.a <> x.a OR y.b <> x.b) GROUP BY ALL),
+lw AS (SELECT wn.read_id, wn.w, len(s) > 6 AND (coalesce(two, 0) >= floor(len(s) * 0.89::DOUBLE + 0.5) OR coalesce(tri, 0) >= floor(len(s) * 0.89::DOUBLE / 3 + 0.5) OR coalesce(pair, 0) >= floor(len(s) * 0.89::DOUBLE / 2 + 0.5)) AS low FROM wn LEFT JOIN b2 USING (read_id, w) LEFT JOIN tr USING (read_id, w) LEFT JOIN pp USING (read_id, w)),
+wd AS (SELECT read_id, CASE WHEN len // 50 < 4 THEN bool_or(low) ELSE count(*) FILTER (low) >= floor(0.75::DOUBLE * (len // 50)) END AS windowed FROM lw JOIN reads USING (read_id) GROUP BY read_id, len)"""
+SHORT = """g AS MATERIALIZED (SELECT read_id, len, i, substring(seq, i, 1) AS a, substring(seq, i, 2) AS b, substring(seq, i, 3) AS c FROM (SELECT *, unnest(range(1, len + 1)) AS i FROM reads)),
+g1 AS (SELECT read_id, list_sum(list_slice(list_reverse_sort(list(k)), 1, 2)) AS x FROM (SELECT read_id, a, count(*) AS k FROM g GROUP BY ALL) GROUP BY ALL), g2 AS (SELECT read_id, max(k) AS x FROM (SELECT read_id, b, count(*) AS k FROM g WHERE i < len GROUP BY ALL) GROUP BY ALL), g3 AS (SELECT read_id, max(k) AS x FROM (SELECT read_id, c, count(*) AS k FROM g WHERE i < len - 1 GROUP BY ALL) GROUP BY ALL),
+sh AS (SELECT read_id, len >= 4 AND (coalesce(g1.x, 0) >= floor(len * 0.95::DOUBLE + 0.5) OR coalesce(g2.x, 0) >= floor((len // 2) * 0.95::DOUBLE + 0.5) OR coalesce(g3.x, 0) >= floor((len // 3) * 0.95::DOUBLE + 0.5)) AS short FROM reads LEFT JOIN g1 USING (read_id) LEFT JOIN g2 USING (read_id) LEFT JOIN g3 USING (read_id))"""
+
+
+@query(READ + f", {WINDOWS}, {SHORT} SELECT read_id, short, windowed FROM sh JOIN wd USING (read_id)")
 def low_complexity_reads(reads):
     return reads.select("read_id", complexity.flag(complexity.low_complexity_short, C("seq")).alias("short"), complexity.flag(complexity.low_complexity_windowed, C("seq")).alias("windowed"))

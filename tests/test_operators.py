@@ -46,6 +46,9 @@ def test_components_and_chains(spark):
     line = [("a", "b"), ("b", "c"), ("x", "y"), ("y", "z"), ("z", "x")]
     got = {r["node"]: (r["head"], r["rank"]) for r in graph.chains(spark.createDataFrame(line, "src string, dst string")).collect()}
     assert got == {"a": ("a", 0), "b": ("a", 1), "c": ("a", 2), "x": ("x", 0), "y": ("x", 1), "z": ("x", 2)}
+    ring = [(i, (i + 1) % 8) for i in range(8)] + [(20, 21), (21, 20)]
+    got = {r["node"]: (r["head"], r["rank"]) for r in graph.chains(spark.createDataFrame(ring, "src long, dst long")).collect()}
+    assert got == {i: (0, i) for i in range(8)} | {20: (20, 0), 21: (20, 1)}
 
 
 def brute_unitigs(counts, k):
