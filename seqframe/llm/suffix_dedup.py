@@ -6,9 +6,12 @@ right. Anchors whose k-gram comes once are done with. For the others the context
 right and (reversed) to the left, by deep-shallow sorting; neighbours in the order give the longest repeats on either
 side, and from these follows the run of bytes around each anchor that repeated strings cover.
 
-A set of contexts whose common left and right parts make up a whole string is settled by its neighbours alone. Other sets
-are divided: a pair that shares s more bytes in total shares at least s / 2 on one side. Small sets are divided in memory,
-large ones as tables; settled large sets are sorted over ranges, so none is gathered in one task.
+Contexts are sorted over ranges of (set, side, string, context), so neither a large set nor equal strings are gathered in
+one task; the ends of the ranges are compared afterwards. A set whose common left and right parts make up a whole string
+is settled by its neighbours alone. In the other sets, contexts whose longest repeats to the left and right don't make up
+a string are done with, as are those whose neighbours show that they reach as far as their longest repeats allow. The
+rest is divided, with what it may share strings with, by how the shared bytes fall to the two sides, and sorted again.
+Sets of any size go the same way.
 """
 
 from __future__ import annotations
@@ -17,7 +20,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -27,9 +29,9 @@ from .common import Tables, documents, fresh
 from .suffix_sort import common, neighbours
 
 LENGTH = 400
-#: Sets of at most so many distinct contexts are settled within one task.
-SMALL = 512
-#: Parts that a large set that isn't settled is divided into, by how the shared bytes fall to the two sides.
+#: The length for training text: about 50 tokens or 30 words, so that any passage of over 50 words is found.
+PASSAGE = 200
+#: Parts that a set that isn't settled is divided into, by how the shared bytes fall to the two sides.
 WAYS = 8
 #: Bytes of a text that are hashed at a time.
 PIECE = 1 << 21
@@ -142,149 +144,148 @@ def pack(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["cls", "place", "gram", "context", "left", "right"])
 
 
-def longest(strings: list[bytes]) -> list[int]:
-    """For each string, its longest common prefix with any other: that with a neighbour in sorted order."""
-    order, lcp = neighbours(strings)
-    out = [0] * len(strings)
-    for i, w in enumerate(order):
-        out[w] = max(lcp[i], lcp[i + 1] if i + 1 < len(order) else 0)
-    return out
-
-
-def settle(lefts: list[bytes], rights: list[bytes], side: int) -> dict[int, tuple[int, int]]:
-    """For contexts of one k-gram, all different: place -> (from, to), the least and greatest number of bytes before the
-    anchor at which a string shared with another context starts."""
-    out: dict[int, tuple[int, int]] = {}
-    stack = [list(range(len(lefts)))]
-    done: set[tuple[int, ...]] = set()
-    while stack:
-        which = stack.pop()
-        ls, rs = [lefts[i] for i in which], [rights[i] for i in which]
-        l, r = common(min(ls), max(ls)), common(min(rs), max(rs))
-        if l + r >= side:
-            for i, a, b in zip(which, longest(ls), longest(rs), strict=True):
-                lo, hi = side - min(side, b), min(side, a)
-                old = out.get(i, (lo, hi))
-                out[i] = (min(lo, old[0]), max(hi, old[1]))
-            continue
-        half = (side - l - r + 1) // 2
-        for strings, n in ((lefts, l + half), (rights, r + half)):
-            sets: dict[bytes, list[int]] = {}
-            for i in which:
-                if len(strings[i]) >= n:
-                    sets.setdefault(strings[i][:n], []).append(i)
-            for s in sets.values():
-                if len(s) > 1 and (mark := tuple(s)) not in done:
-                    done.add(mark)
-                    stack.append(s)
-    return out
-
-
-def settle_small(side: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for b in batches:
-            out: list[tuple] = []
-            for row in zip(*(b.column(c).to_pylist() for c in ("gram", "context", "left", "right")), strict=True):
-                if held and held[0][0] != row[0]:
-                    out.extend(one(held))
-                    held = []
-                held.append(row)
-            yield batch(out)
-        yield batch(one(held))
-
-    def one(rows: list[tuple]) -> list[tuple]:
-        if len(rows) < 2:
-            return []
-        found = settle([r[2] for r in rows], [r[3] for r in rows], side)
-        return [(rows[i][1], lo, hi) for i, (lo, hi) in found.items()]
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) or [(), (), ()]
-        return pa.record_batch([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["context", "lo", "hi"])
-
-    return run
+REACH = "context binary, lo int, hi int"
+SORTED = "gram binary, context binary, klo int, khi int, side int, best int, shared int, lo int, hi int, part int, role int, string binary"
+#: Places of a row in its range: first, end of the first set, start of the last set, last.
+FIRST, FIRST_END, LAST_START, LAST = 1, 2, 4, 8
 
 
-REACH = "context binary, lo int, hi int"
+def sort_range(side: int):
+    """Sorts one range of (set, side, string, context). For each string: its longest prefix shared with a neighbour of its
+    set and side, the prefix shared by all of the set's strings in this range, and the reach (lo, hi) that its neighbours
+    show. Four rows at most keep their string, for what lies in other ranges."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = list(batches)
+        if not sum(b.num_rows for b in read):
+            return
+        held = pa.Table.from_batches(read)
+        del read
+        sides, others = (held.column(c).to_pylist() for c in ("side", "other"))
+        strings = [g + bytes([s]) + x for g, s, x in zip(held.column("gram").to_pylist(), sides, held.column("string").to_pylist())]
+        held = held.select(["gram", "context", "klo", "khi", "side"])
+        order, lcp = neighbours(strings)
+        n, head = len(order), HEAD
+        starts = [i for i in range(n) if not i or lcp[i] < head]
+        best, shared, role, lo, hi = [0] * n, [0] * n, [0] * n, [None] * n, [None] * n
+        for a, z in zip(starts, [*starts[1:], n]):
+            for i in range(a + 1, z):
+                own = lcp[i] - head
+                best[i - 1], best[i] = max(best[i - 1], own), own
+                if own and own + (other := common(others[order[i - 1]], others[order[i]])) >= side:
+                    low, high = (side - other, own) if sides[order[i]] == 0 else (side - own, other)
+                    for j in (i - 1, i):
+                        lo[j] = low if lo[j] is None else min(lo[j], low)
+                        hi[j] = high if hi[j] is None else max(hi[j], high)
+            shared[a:z] = [common(strings[order[a]], strings[order[z - 1]]) - head] * (z - a)
+        role[0] |= FIRST
+        role[(starts[1] if len(starts) > 1 else n) - 1] |= FIRST_END
+        role[starts[-1]] |= LAST_START
+        role[n - 1] |= LAST
+        part = TaskContext.get().partitionId()
+        made = held.take(pa.array(order))
+        whole = [strings[x] if r else None for x, r in zip(order, role)]
+        for name, values in (("best", best), ("shared", shared), ("lo", lo), ("hi", hi), ("part", [part] * n), ("role", role)):
+            made = made.append_column(name, pa.array(values, pa.int32()))
+        yield from made.append_column("string", pa.array(whole, pa.binary())).to_batches(8192)
 
-def sort_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorts one range of (set, side, string) and gives each string's longest prefix shared with a neighbour. The range's
-    first and last strings come along, for the neighbours in other ranges."""
-    sets, sides, strings, contexts = [], [], [], []
-    for b in batches:
-        for a, s, x, c in zip(*(b.column(n).to_pylist() for n in ("gram", "side", "string", "context")), strict=True):
-            sets.append(a)
-            sides.append(s)
-            strings.append(a + bytes([s]) + x)
-            contexts.append(c)
-    if not strings:
-        return
-    order, lcp = neighbours(strings)
-    head = len(sets[0]) + 1
-    lcp = [max(0, x - head) for x in lcp]
-    n = len(order)
-    best = [max(lcp[i], lcp[i + 1] if i + 1 < n else 0) for i in range(n)]
-    part = TaskContext.get().partitionId()
-    edge = [strings[w] if i in (0, n - 1) else None for i, w in enumerate(order)]
-    for i in range(0, n, 8192):
-        w = order[i : i + 8192]
-        yield pa.record_batch(
-            [
-                pa.array([contexts[x] for x in w], pa.binary()), pa.array([sides[x] for x in w], pa.int32()), pa.array(best[i : i + 8192], pa.int32()),
-                pa.array([part] * len(w), pa.int32()), pa.array(range(i, i + len(w)), pa.int32()), pa.array(edge[i : i + 8192], pa.binary()),
-            ],
-            names=["context", "side", "n", "part", "rank", "edge"],
-        )
+    return run
 
 
-def reach_of_large(spark, rows: DataFrame, tables: Tables, side: int) -> DataFrame:
-    """(context, lo, hi) for contexts of large sets: divides the sets until they are settled or small."""
+#: Bytes before a context's own in a sorted string: the set and the side.
+HEAD = 17
+
+
+def across(ends: list) -> tuple[list[tuple], list[tuple]]:
+    """From the marked rows of all ranges: (gram, context, side, best) for neighbours in different ranges, and (gram, side,
+    shared) for sets that lie in several ranges."""
+    best, spans = [], []
+    parts: dict[int, dict[int, object]] = {}
+    for r in ends:
+        for role in (FIRST, FIRST_END, LAST_START, LAST):
+            if r["role"] & role:
+                parts.setdefault(r["part"], {})[role] = r
+    before, opened, ranges = None, None, 0
+    for p in sorted(parts):
+        now = parts[p]
+        first, last = bytes(now[FIRST]["string"]), bytes(now[LAST]["string"])
+        if before is not None:
+            n = common(bytes(before["string"]), first) - HEAD
+            if n >= 0:
+                best.extend((bytes(x["gram"]), bytes(x["context"]), x["side"], n) for x in (before, now[FIRST]))
+        if opened is not None and opened[:HEAD] == first[:HEAD]:
+            ranges += 1
+            end = bytes(now[FIRST_END]["string"])
+            if ranges > 1:
+                if spans and spans[-1][:2] == (first[: HEAD - 1], first[HEAD - 1]):
+                    spans.pop()
+                spans.append((first[: HEAD - 1], first[HEAD - 1], common(opened, end) - HEAD))
+        if opened is None or opened[:HEAD] != last[:HEAD]:
+            opened, ranges = bytes(now[LAST_START]["string"]), 1
+        before = now[LAST]
+    return best, spans
+
+
+def reach_of(rows: DataFrame, tables: Tables, side: int) -> DataFrame:
+    """(context, lo, hi) for contexts (gram, context, left, right; no context twice): the least and greatest number of
+    bytes before the anchor at which a string shared with another context of its set starts."""
+    spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out, level = [], 0
-
-    @F.udf("int")
-    def shared(a: bytes, b: bytes) -> int:
-        return common(bytes(a), bytes(b))
-
     strings = rows.select("context", "left", "right")
+    # What is known of each context's reach so far (klo, khi): nothing.
+    rows = rows.withColumn("klo", F.lit(side + 1)).withColumn("khi", F.lit(-1))
     while True:
-        sets = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("left", "right") for f in (F.min, F.max)])
-        sets = sets.where(F.col("n") > 1).select("gram", "n", shared("min_left", "max_left").alias("l"), shared("min_right", "max_right").alias("r"))
-        joined = tables.keep(rows.join(tables.keep(sets, f"sets{level}"), "gram"), f"joined{level}")
-        settled = joined.where(F.col("l") + F.col("r") >= side)
-        both = settled.select("gram", "context", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("string")), F.struct(F.lit(1).alias("side"), F.col("right").alias("string")))).alias("x"))
-        ranged = both.select("gram", "context", "x.*").repartitionByRange(parts, "gram", "side", "string")
-        best = tables.keep(ranged.mapInArrow(sort_range, "context binary, side int, n int, part int, rank int, edge binary"), f"sorted{level}")
-        ends = sorted((r for r in best.where(F.col("edge").isNotNull()).collect()), key=lambda r: (r["part"], r["rank"]))  # two rows a range at most
-        more = []
-        for a, b in zip(ends, ends[1:]):
-            if a["part"] != b["part"]:
-                n = common(bytes(a["edge"]), bytes(b["edge"])) - 17
-                more.extend((bytes(x["context"]), x["side"], max(0, n)) for x in (a, b))
-        sides = best.select("context", "side", "n").union(spark.createDataFrame(more, "context binary, side int, n int"))
-        most = sides.groupBy("context").agg(F.max(F.when(F.col("side") == 0, F.col("n"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("n"))).alias("r"))
-        few = joined.where((F.col("l") + F.col("r") < side) & (F.col("n") <= SMALL)).select("gram", "context", "left", "right")
-        few = few.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(settle_small(side), REACH)
-        found = most.select("context", (side - F.least(F.lit(side), "r")).alias("lo"), F.least(F.lit(side), "l").alias("hi")).union(few)
-        out.append(tables.keep(found, f"reach{level}"))
-        left = joined.where((F.col("l") + F.col("r") < side) & (F.col("n") > SMALL))
-        if not left.take(1):
+        one = lambda n, own, other: F.struct(F.lit(n).alias("side"), F.col(own).alias("string"), F.col(other).alias("other"))
+        each = rows.select("gram", "context", "klo", "khi", F.explode(F.array(one(0, "left", "right"), one(1, "right", "left"))).alias("x"))
+        dealt = each.select("gram", "context", "klo", "khi", "x.*").repartitionByRange(parts, "gram", "side", "string", "context")
+        ordered = tables.keep(dealt.mapInArrow(sort_range(side), SORTED), f"sorted{level}")
+        tables.tidy()
+        best, spans = across(ordered.where(F.col("role") > 0).collect())  # four rows a range at most
+        wide = spark.createDataFrame(spans, "gram binary, side int, wide int")  # a row for two ranges at most
+        known = ["gram", "context", "klo", "khi", "side", "best", "lo", "hi"]
+        found = ordered.select(*known, "shared").join(F.broadcast(wide), ["gram", "side"], "left").select(*known, F.coalesce("wide", "shared").alias("shared"))
+        border = spark.createDataFrame(best, "gram binary, context binary, side int, best int")
+        found = found.unionByName(border, allowMissingColumns=True)
+        pick = lambda s, c: F.when(F.col("side") == s, F.col(c))
+        met = found.groupBy("gram", "context").agg(
+            F.max(pick(0, "best")).alias("bl"), F.max(pick(1, "best")).alias("br"), F.max(pick(0, "shared")).alias("l"), F.max(pick(1, "shared")).alias("r"),
+            F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("klo").alias("klo"), F.max("khi").alias("khi"),
+        )
+        # A shared string is at most as long as what is shared on the two sides.
+        met = tables.keep(met.where(F.col("bl") + F.col("br") >= side), f"met{level}")
+        tables.drop(f"sorted{level}")
+        settled = F.col("l") + F.col("r") >= side
+        most, least = F.least(F.lit(side), "bl"), side - F.least(F.lit(side), "br")
+        out.append(met.where(settled).select("context", least.alias("lo"), most.alias("hi")))
+        out.append(met.where(~settled & F.col("lo").isNotNull()).select("context", "lo", "hi"))
+        met = met.withColumn("klo", F.least("klo", "lo")).withColumn("khi", F.greatest("khi", "hi"))
+        open_hi, open_lo = F.col("khi") < most, F.col("klo") > least
+        left = met.where(~settled)
+        if not left.where(open_hi | open_lo).take(1):
             break
         # A pair that shares s more bytes in total shares at least p_t to the left and s + 1 - p_(t+1) to the right for one t
-        # (p: WAYS + 1 even steps from 0 to s + 1). Keys alone are counted first; strings follow those that come twice.
+        # (p: WAYS + 1 even steps from 0 to s + 1), within the longest repeats of each. What reaches farther to the left than
+        # is known falls to the greater t, what reaches farther to the right to the smaller ones. Keys are counted first;
+        # strings follow those that come twice and that something looks for.
         s = side - F.col("l") - F.col("r")
         step = lambda t: F.floor((s + 1) * t / WAYS).cast("int")
         keys = []
         for t in range(WAYS):
             a, b = F.col("l") + step(t), F.col("r") + s + 1 - step(t + 1)
             key = F.concat("gram", F.lit(str(t)).cast("binary"), F.substring("left", F.lit(1), a), F.substring("right", F.lit(1), b))
-            keys.append(F.when((step(t) < step(t + 1)) & (F.octet_length("left") >= a) & (F.octet_length("right") >= b), F.unhex(F.substring(F.sha2(key, 256), 1, 32))))
-        child = tables.keep(left.select("context", F.explode(F.array(*keys)).alias("gram")).where(F.col("gram").isNotNull()), f"keys{level}")
-        twice = child.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("gram")
-        rows = tables.keep(child.join(twice, "gram", "left_semi").join(strings, "context").select("gram", "context", "left", "right"), f"rows{level}")
-        tables.drop(f"joined{level}", f"sorted{level}", f"keys{level}")
+            to_left = open_hi & ((F.col("l") + step(t + 1) > F.col("khi") + 1) | (step(t + 1) == s + 1))
+            to_right = open_lo & ((step(t) == 0) | (step(t) < F.col("r") + s + F.col("klo") - side))
+            made = F.struct(F.unhex(F.substring(F.sha2(key, 256), 1, 32)).alias("gram"), (to_left | to_right).alias("wanted"))
+            keys.append(F.when((step(t) < step(t + 1)) & (a <= F.col("bl")) & (b <= F.col("br")), made))
+        # What isn't open is only met by others.
+        done = ~(open_hi | open_lo)
+        klo, khi = F.when(done, -1).otherwise(F.col("klo")).alias("klo"), F.when(done, side + 1).otherwise(F.col("khi")).alias("khi")
+        child = left.join(strings, "context").select("context", klo, khi, F.explode(F.array(*keys)).alias("x")).where(F.col("x").isNotNull()).select("context", "klo", "khi", "x.*")
+        child = tables.keep(child, f"keys{level}")
+        twice = child.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.bool_or("wanted").alias("wanted")).where((F.col("c") > 1) & F.col("wanted")).select("gram")
+        rows = tables.keep(child.join(twice, "gram", "left_semi").join(strings, "context").select("gram", "context", "left", "right", "klo", "khi"), f"rows{level}")
+        tables.drop(f"keys{level}", *([f"rows{level - 1}"] if level else []))
         tables.tidy()
         level += 1
     found = out[0]
@@ -347,26 +348,21 @@ def repeated(docs: DataFrame, tables: Tables, length: int = LENGTH, text_col: st
     tables.drop("anchors", "twice", "again")
     tables.tidy()
     times = tables.keep(rows.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("times"), F.max(F.octet_length("left")).alias("l"), F.max(F.octet_length("right")).alias("r")), "times")
-    large = tables.keep(times.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL).select("gram"), "large")
-    strings = rows.where(F.col("left").isNotNull()).select("gram", "context", "left", "right")
-    small = strings.join(large, "gram", "left_anti").dropDuplicates(["context"]).repartition(parts, "gram").sortWithinPartitions("gram")
-    reach = tables.keep(small.mapInArrow(settle_small(side), REACH), "reach_small")
+    strings = tables.keep(rows.where(F.col("left").isNotNull()).select("gram", "context", "left", "right").dropDuplicates(["context"]), "strings")
     tables.tidy()
-    if large.take(1):
-        big = tables.keep(strings.join(large, "gram", "left_semi").dropDuplicates(["context"]), "big")
-        reach = reach.union(tables.keep(reach_of_large(spark, big, tables, side), "reach_large"))
+    reach = reach_of(strings, tables, side)
     same = times.where((F.col("times") > 1) & (F.col("l") + F.col("r") >= side)).select("context", (side - F.col("r")).alias("lo"), F.col("l").alias("hi"))
     reach = tables.keep(reach.union(same).groupBy("context").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "reach")
     runs = rows.select("cls", "place", "context").join(reach, "context").select("cls", F.struct((F.col("place") - F.col("hi")).alias("a"), (F.col("place") - F.col("lo") + length).alias("b")).alias("run"))
     runs = tables.keep(runs.groupBy("cls").agg(F.collect_list("run").alias("runs")), "runs")  # of one text
-    tables.drop("contexts", "times")
+    tables.drop("contexts", "times", "strings")
     tables.tidy()
     copied = texts.where(F.col("copies") > 1).select("cls", F.octet_length("text").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(EMPTY_SHA).alias("kept_sha256"), F.lit("").alias("kept_text"))
     cut = texts.where(F.col("copies") == 1).select("cls", "text").join(runs, "cls").mapInArrow(cut_texts, CUT)
     return tables.keep(cut.union(copied), "cut")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = PASSAGE) -> DataFrame:
     """docs with the repeated strings cut out of their texts, and n_chars set anew where a text is cut. Rows of which
     nothing but white space is left go; other rows and columns stay as they are."""
     tables = Tables(docs.sparkSession, "suffix")
