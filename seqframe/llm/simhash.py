@@ -8,20 +8,28 @@ distinct fingerprints is divided by blocks of its remaining bits, which loses no
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.components import connected_components
-from .common import Tables, documents, fresh
+from .common import Tables, documents, freeing, fresh
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
+#: Near copies: words in a shingle of the wide fingerprint, bits that differ at most, sets of blocks; words in a shingle of
+#: the sets that are compared, and their least Jaccard similarity.
+NEAR_WORDS, NEAR_BITS, NEAR_KEYS = 2, 20, 64
+SIMILAR_WORDS, SIMILAR = 5, 0.8
 #: A group of more distinct fingerprints than this is divided again.
 GROUP = 1024
 #: Bytes of a text that are hashed at a time.
@@ -81,6 +89,13 @@ def divide(mask: int) -> list[int]:
     return [signed(mask | sum(1 << int(i) for i in p)) for p in parts if len(p)]
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def divided(masks: pd.Series) -> pd.Series:
+    """Each mask's divisions; masks repeat, so each is divided once for a batch."""
+    each = {m: divide(int(m)) for m in masks.unique()}
+    return masks.map(each)
+
+
 def forest(prints: np.ndarray) -> list[tuple[int, int]]:
     """Links between distinct fingerprints: a spanning forest of the graph of distances up to MAX_BITS."""
     x = prints.view(np.uint64)
@@ -142,14 +157,9 @@ def links(prints: DataFrame, tables: Tables, group: int = GROUP) -> DataFrame:
         found = now if found is None else found.union(now)
         if not some:
             return found
-        # Masks repeat, so the table of their divisions is small: one row for each mask on each path.
         more = keyed.join(large, ["path", "key"], "left_semi")
-        known = [r[0] for r in more.select("mask").distinct().collect()]  # masks alone; their number depends on the level only
-        parted = F.lit(None).cast("array<long>")
-        for m in known:
-            parted = F.when(F.col("mask") == m, F.array(*[F.lit(x).cast("long") for x in divide(m)])).otherwise(parted)
         rows = tables.keep(
-            more.select("fp", "path", "key", F.posexplode(parted).alias("p", "mask")).select("fp", "mask", F.xxhash64("path", "key", "p").alias("path")), f"rows{level}"
+            more.select("fp", "path", "key", F.posexplode(divided(F.col("mask"))).alias("p", "mask")).select("fp", "mask", F.xxhash64("path", "key", "p").alias("path")), f"rows{level}"
         )
         level += 1
 
@@ -174,23 +184,220 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(components_of(rows, tables), "fp").select("id", "fp", "component")
 
 
+def mix(h: np.ndarray) -> np.ndarray:
+    """64 more bits of each hash."""
+    x = h + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingles(text: str | None, n: int, digest=None) -> np.ndarray:
+    """The distinct hashes of the text's shingles of n words, ascending. A-Z count as a-z; a text of fewer words is one
+    shingle, one without words has none. `digest` is updated with the words."""
+    data = (text or "").encode("utf-8", "surrogatepass").lower()
+    held, carried, at, short = [], [], 0, True
+    while at < len(data):
+        end = at + PIECE
+        while end < len(data) and data[end] not in b" \t\n\x0b\f\r":
+            end += 1
+        words = data[at:end].split()
+        at = end
+        if digest is not None and words:
+            digest.update(b" ".join(words) + b" ")
+        words = carried + words
+        if len(words) >= n:
+            short = False
+            held.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + n]), SEED) for i in range(len(words) - n + 1)], dtype="<u8")))
+        carried = words[-(n - 1) :] if n > 1 else []
+    if short and carried:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(carried), SEED)], dtype="<u8")
+    return np.unique(np.concatenate(held)) if held else np.zeros(0, "<u8")
+
+
+def wide_print(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits, as two signed numbers: a bit is 1 if set in over half of the hashes; 0 without any."""
+    ones = np.zeros(128, np.int64)
+    for i in range(0, len(hashes), 1 << 15):
+        part = hashes[i : i + (1 << 15)]
+        both = np.stack([part, mix(part)], axis=1)
+        ones += np.unpackbits(both.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    a, b = np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")
+    return int(a), int(b)
+
+
+@F.pandas_udf(T.StructType([T.StructField("cls", T.BinaryType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+def near_prints(texts: pd.Series) -> pd.DataFrame:
+    out = []
+    for t in texts:
+        digest = hashlib.blake2b(digest_size=16)
+        prints = wide_print(shingles(t, NEAR_WORDS, digest))
+        out.append((digest.digest(), *prints))
+    return pd.DataFrame(out, columns=["cls", "a", "b"])
+
+
+def block_sets(size: int, many: int) -> list[tuple[int, ...]]:
+    """`many` sets of `size` of the 16 blocks of eight bits, spread evenly: no two blocks are together much more often than others."""
+    together, every = np.zeros((16, 16), int), list(itertools.combinations(range(16), size))
+    out = []
+    for _ in range(min(many, len(every))):
+        best = min(every, key=lambda c: (sum(int(together[i, j]) ** 2 for i, j in itertools.combinations(c, 2)) + sum(int(together[i, i]) for i in c), c))
+        every.remove(best)
+        for i in best:
+            for j in best:
+                together[i, j] += 1
+        out.append(best)
+    return out
+
+
+def near_keys(sets: list[tuple[int, ...]]):
+    """One row for each fingerprint and set of blocks: the key is the set's number and its blocks' bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, z, node = (b.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "node"))
+            blocks = np.stack([a, z], axis=1).astype("<i8").view(np.uint8).reshape(-1, 16)
+            for i, chosen in enumerate(sets):
+                key = np.full(len(a), i, np.int64)
+                for c in chosen:
+                    key = (key << 8) | blocks[:, c]
+                yield pa.record_batch([pa.array(key), pa.array(a), pa.array(z), pa.array(node)], names=["key", "a", "b", "node"])
+
+    return run
+
+
+def nearest_first(prints: np.ndarray) -> list[tuple[int, int]]:
+    """A forest of least distances among fingerprints (rows of two numbers), of links up to NEAR_BITS."""
+    n = len(prints)
+    best, parent = np.full(n, 255, np.int64), np.full(n, -1, np.int64)
+    todo, i, out = np.ones(n, bool), 0, []
+    while True:
+        todo[i] = False
+        d = np.bitwise_count(prints ^ prints[i]).sum(axis=1, dtype=np.int64)
+        closer = todo & (d < best)
+        best[closer], parent[closer] = d[closer], i
+        if not todo.any():
+            return out
+        i = int(np.where(todo, best, 256).argmin())
+        if best[i] <= NEAR_BITS:
+            out.append((int(parent[i]), i))
+
+
+PAIRS = "x long, y long, part int, key long"
+
+
+@freeing
+def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes from rows ordered by key. A group of more than GROUP rows is taken in pieces, each together with the
+    group's first row here. The first rows of the first and the last group come along with their key, for groups that go
+    on in the next range."""
+    part = TaskContext.get().partitionId()
+    key = np.zeros(0, np.int64)
+    prints, node = np.zeros((0, 2), np.uint64), key
+    hub: tuple[int, np.ndarray, int] | None = None
+    first = last = None
+
+    def groups(key, prints, node):
+        nonlocal hub, first, last
+        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+        ends = np.append(cuts[1:], len(key)) if len(cuts) else cuts
+        x, y = [], []
+        for a, z in zip(cuts[ends - cuts > 1].tolist(), ends[ends - cuts > 1].tolist()):
+            if z - a == 2:
+                if int(np.bitwise_count(prints[a] ^ prints[a + 1]).sum()) <= NEAR_BITS:
+                    x.append(int(node[a]))
+                    y.append(int(node[a + 1]))
+            for s in range(a, z, GROUP) if z - a > 2 else ():
+                which = np.arange(s, min(z, s + GROUP))
+                if s > a:
+                    which = np.append(which, a)
+                found = nearest_first(prints[which])
+                x.extend(int(node[which[i]]) for i, _ in found)
+                y.extend(int(node[which[j]]) for _, j in found)
+        if len(cuts):
+            if hub is not None and hub[0] == key[0] and int(np.bitwise_count(prints[0] ^ hub[1]).sum()) <= NEAR_BITS:
+                x.append(hub[2])
+                y.append(int(node[0]))
+            if hub is None or hub[0] != key[-1]:
+                at = cuts[-1]
+                hub = (int(key[at]), prints[at], int(node[at]))
+            if first is None:
+                first = (int(key[0]), int(node[0]))
+            last = (hub[0], hub[2])
+        return pairs(x, y)
+
+    def pairs(x, y, keys=None):
+        return pa.record_batch([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array([part] * len(x), pa.int32()), pa.array(keys or [None] * len(x), pa.int64())], names=["x", "y", "part", "key"])
+
+    for b in batches:
+        key = np.concatenate([key, b.column("key").to_numpy(zero_copy_only=False)])
+        node = np.concatenate([node, b.column("node").to_numpy(zero_copy_only=False)])
+        both = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")], axis=1).astype(np.int64).view(np.uint64)
+        prints = np.concatenate([prints, both])
+        # All but the last group, which may go on; of a large group, whole pieces.
+        start = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        done = start + (len(key) - start) // GROUP * GROUP
+        if done:
+            yield groups(key[:done], prints[:done], node[:done])
+            key, prints, node = key[done:], prints[done:], node[done:]
+    yield groups(key, prints, node)
+    if first is not None:
+        yield pairs([first[1], last[1]], [first[1], last[1]], [first[0], last[0]])
+
+
+@freeing
+def near_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, 256):
+            part = b.slice(i, 256)
+            made = [shingles(t, SIMILAR_WORDS).view("<i8") for t in part.column("text").to_pylist()]
+            yield pa.record_batch([part.column("node"), pa.array(made, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+
+def near_copies(nodes: DataFrame, texts: DataFrame, tables: Tables) -> DataFrame:
+    """(x, y): links between nodes (node, cls, a, b) whose texts (cls, text) have a Jaccard similarity of SIMILAR or more."""
+    spark = nodes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = next(k for k in (3, 4, 5, 6) if 8 * k >= math.log2(max(1, nodes.count())) or k == 6)
+    keyed = nodes.select("node", "a", "b").mapInArrow(near_keys(block_sets(size, NEAR_KEYS)), "key long, a long, b long, node long")
+    turned = F.when(F.col("key").bitwiseAND(F.lit(1 << (8 * size))) == 0, F.col("a")).otherwise(F.col("b"))
+    dealt = keyed.withColumn("turned", turned).repartitionByRange(parts, "key", "turned", "node").sortWithinPartitions("key", "turned", "node")
+    found = tables.keep(dealt.drop("turned").mapInArrow(near_pairs, PAIRS), "pairs")
+    tables.tidy()
+    ends = sorted(found.where(F.col("key").isNotNull()).collect(), key=lambda r: r["part"])  # two rows a range
+    on = [(p["x"], q["x"]) for p, q in zip(ends[1::2], ends[2::2]) if p["key"] == q["key"] and p["x"] != q["x"]]
+    edges = found.where(F.col("key").isNull()).select("x", "y").union(spark.createDataFrame(on, "x long, y long"))
+    edges = tables.keep(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "edges")
+    met = edges.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(nodes.select("node", "cls"), "node")
+    one = texts.join(met, "cls").groupBy("node").agg(F.first("text").alias("text"))
+    sets = tables.keep(one.mapInArrow(near_sets, "node long, hashes array<long>"), "sets")
+    tables.tidy()
+    both = edges.join(sets.select(F.col("node").alias("x"), F.col("hashes").alias("p")), "x").join(sets.select(F.col("node").alias("y"), F.col("hashes").alias("q")), "y")
+    shared = F.size(F.array_intersect("p", "q"))
+    return tables.keep(both.select("x", "y", shared.alias("n"), (F.size("p") + F.size("q")).alias("m")).where(F.col("n") >= SIMILAR * (F.col("m") - F.col("n"))).select("x", "y"), "near")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with one row of each component: that of the smallest id (null only where there is no other; of
-    equal ids, the smallest fingerprint; of rows equal in both, any one). All columns stay as they are."""
-    tables = Tables(docs.sparkSession, "simhash")
-    fp = fresh(docs, "fp")
-    held = tables.keep(with_fingerprint(docs, text_col, fp), "held")
-    keys = tables.keep(held.select(F.col(id_col).alias("id"), F.col(fp).alias("fp")).groupBy("id", "fp").agg(F.count(F.lit(1)).alias("n")), "keys")
-    least = keys.join(components_of(keys, tables), "fp").groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "fp", "n")).alias("x"))
-    winners = tables.keep(least.select(F.col("x.id").alias("_win_id"), F.col("x.fp").alias("_win_fp"), F.col("x.n").alias("_win_n")), "winners")
-
-    def chosen(of: DataFrame) -> DataFrame:
-        return held.alias("d").join(of.alias("w"), F.col(f"d.{id_col}").eqNullSafe(F.col("w._win_id")) & (F.col(f"d.{fp}") == F.col("w._win_fp")), "left_semi")
-
-    out = chosen(winners.where(F.col("_win_n") == 1))
-    if winners.where(F.col("_win_n") > 1).take(1):
-        out = out.union(chosen(winners.where(F.col("_win_n") > 1)).dropDuplicates([id_col, fp]))
-    return out.drop(fp)
+    """The rows of docs with one row of each group of near copies: that of the smallest id (null only where there is no
+    other; of equal ids, any one). All columns stay as they are.
+
+    Texts whose words are equal without regard to A-Z and white space (null, empty and wordless ones too) are copies. Other
+    texts are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more, and groups follow links.
+    Candidates come from 128-bit fingerprints of two-word shingles, NEAR_BITS apart at most, that agree on one of NEAR_KEYS
+    sets of blocks; in each set of blocks a text meets its nearest ones. Every link is verified; a pair that no set brings
+    together is missed, unless other texts link it.
+    """
+    tables = Tables(docs.sparkSession, "near")
+    fp, row = fresh(docs, "_fp"), fresh(docs, "_row")
+    held = tables.keep(docs.withColumn(fp, near_prints(F.col(text_col))).withColumn(row, F.monotonically_increasing_id()), "held")
+    ids = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    nodes = held.groupBy(F.col(f"{fp}.cls").alias("cls")).agg(F.min(ids).alias("least"), F.first(f"{fp}.a").alias("a"), F.first(f"{fp}.b").alias("b"))
+    nodes = tables.keep(nodes.withColumn("node", F.col("least.row")), "nodes")
+    links = near_copies(nodes, held.select(F.col(f"{fp}.cls").alias("cls"), F.col(text_col).alias("text")), tables)
+    comps = connected_components(links, "x", "y").withColumnRenamed("id", "node")
+    named = nodes.join(comps, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("least").alias("least"))
+    winners = tables.keep(named.select(F.col("least.row").alias(row)), "winners")
+    return held.join(winners, row, "left_semi").drop(fp, row)
 
 
 def op5_simhash_blocks(spark, sf_dir: str) -> DataFrame:
