@@ -74,12 +74,33 @@ def build(x: np.ndarray) -> Node:
     return node(0, members, distances(x, x[:1])[:, 0])
 
 
+class Forest:
+    """Links that join parts which were apart: those that were together already are dropped as they are found."""
+
+    def __init__(self, n: int):
+        self.up, self.links = list(range(n)), []
+
+    def top(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def add(self, i: int, j: int) -> None:
+        a, b = self.top(i), self.top(j)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+            self.links.append((i, j))
+
+
 def dual(x: np.ndarray, y: np.ndarray, tx: Node, ty: Node, cosine: float, same: bool, size_x: np.ndarray, size_y: np.ndarray):
-    """Numbers of linked vectors for each of x and of y (weighted by class sizes), and links that keep components."""
+    """Numbers of linked vectors for each of x and of y (weighted by class sizes), and a spanning forest of the links. In it
+    y's vectors come after x's."""
     limit = math.sqrt(max(0.0, 2 - 2 * cosine))
     nx = np.zeros(len(x), np.int64)
     ny = nx if same else np.zeros(len(y), np.int64)
-    found: list[tuple[int, int]] = []
+    shift = 0 if same else len(x)
+    found = Forest(shift + len(y))
     stack = [(tx, ty)]
     while stack:
         a, b = stack.pop()
@@ -94,9 +115,10 @@ def dual(x: np.ndarray, y: np.ndarray, tx: Node, ty: Node, cosine: float, same:
             else:
                 ny[b.members] += size_x[a.members].sum()
             first = int(a.members[0])
-            found.extend((first, int(j)) for j in b.members)
-            if not own:
-                found.extend((int(i), int(b.members[0])) for i in a.members[1:])
+            for j in b.members.tolist():
+                found.add(first, j + shift)
+            for i in [] if own else a.members[1:].tolist():
+                found.add(i, int(b.members[0]) + shift)
             continue
         open_a, open_b = bool(a.children), bool(b.children)
         if not open_a and not open_b:
@@ -107,14 +129,15 @@ def dual(x: np.ndarray, y: np.ndarray, tx: Node, ty: Node, cosine: float, same:
             if not own:
                 ny[b.members] += link.T @ size_x[a.members]
             i, j = np.nonzero(link)
-            found.extend(zip(a.members[i].tolist(), b.members[j].tolist(), strict=True))
+            for p, q in zip(a.members[i].tolist(), b.members[j].tolist(), strict=True):
+                found.add(p, q + shift)
         elif own:
             stack.extend((p, q) for k, p in enumerate(a.children) for q in a.children[k:])
         elif open_a and (not open_b or a.radius >= b.radius):
             stack.extend(near_children(x, y, a, b, limit, False))
         else:
             stack.extend(near_children(y, x, b, a, limit, True))
-    return nx, ny, found
+    return nx, ny, found.links
 
 
 def near_children(x: np.ndarray, y: np.ndarray, a: Node, b: Node, limit: float, turned: bool) -> list[tuple[Node, Node]]:
@@ -125,25 +148,6 @@ def near_children(x: np.ndarray, y: np.ndarray, a: Node, b: Node, limit: float,
     return [(b, c) if turned else (c, b) for c in kept]
 
 
-def span(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """A spanning forest of the links."""
-    up: dict[int, int] = {}
-
-    def top(i: int) -> int:
-        while up.setdefault(i, i) != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    out = []
-    for i, j in pairs:
-        a, b = top(i), top(j)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-            out.append((i, j))
-    return out
-
-
 def join_blocks(cosine: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
@@ -154,11 +158,8 @@ def join_blocks(cosine: float):
         trees = [build(v) for v in vectors]
         sizes = [s["n"].to_numpy(np.int64) for s in sides]
         ids = [s["id"].to_numpy(np.int64) for s in sides]
-        nx, ny, found = dual(vectors[0], vectors[-1], trees[0], trees[-1], cosine, i == j, sizes[0], sizes[-1])
-        # Places in one sequence, so that the forest covers both sides.
-        shift = 0 if i == j else len(ids[0])
+        nx, ny, kept = dual(vectors[0], vectors[-1], trees[0], trees[-1], cosine, i == j, sizes[0], sizes[-1])
         every = ids[0] if i == j else np.concatenate(ids)
-        kept = span([(p, q + shift) for p, q in found])
         counts = nx if i == j else np.concatenate([nx, ny])
         linked = np.flatnonzero(counts)
         return pd.DataFrame({
@@ -189,16 +190,17 @@ def near_vectors(df: DataFrame, cosine: float = COSINE, id_col: str = "vec_id",
     doubles = F.col(vector_col).cast("array<double>")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), doubles.alias("v"))
     ok = F.col("label").isNotNull() & usable(F.col("v"))
-    rows = rows.withColumn("hash", F.when(ok, F.xxhash64("label", "v")))
+    # Two hashes of 64 bits name a vector.
+    rows = rows.withColumn("hash", F.when(ok, F.xxhash64("label", "v"))).withColumn("more", F.when(ok, F.xxhash64("v", "label", F.lit(1))))
     # Scaled before squaring, so that huge and tiny components neither overflow nor vanish.
     scaled = rows.where(ok).withColumn("v", F.transform("v", lambda e: e / F.array_max(F.transform("v", lambda x: F.abs(x)))))
     unit = scaled.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e)))
-    unit = unit.select("id", "label", "hash", F.transform("v", lambda e: e / F.col("norm")).alias("v"), F.size("v").alias("dim"))
+    unit = unit.select("id", "label", "hash", "more", F.transform("v", lambda e: e / F.col("norm")).alias("v"), F.size("v").alias("dim"))
     # One node for equal vectors; node is its number.
-    nodes = unit.groupBy("label", "hash").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"), F.first("dim").alias("dim"))
+    nodes = unit.groupBy("label", "hash", "more").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"), F.first("dim").alias("dim"))
     along = F.aggregate(F.col("v"), F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("s")), lambda a, e: F.struct((a["i"] + 1).alias("i"), (a["s"] + e * F.cos(a["i"] * 2.399963 + 0.5)).alias("s")), lambda a: a["s"])
     scale = F.sqrt(F.aggregate(F.sequence(F.lit(0), F.col("dim") - 1), F.lit(0.0), lambda s, i: s + F.pow(F.cos(i * 2.399963 + 0.5), 2)))
-    nodes = tables.keep(nodes.withColumn("p", along / scale).withColumnRenamed("hash", "node"), "nodes")
+    nodes = tables.keep(nodes.withColumn("p", along / scale).withColumn("node", F.monotonically_increasing_id()), "nodes")
     # Blocks: quantiles of the projection within each label (and length).
     sizes = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("total"), F.percentile_approx("p", [k / 256 for k in range(1, 256)], 4096).alias("q"))
     cuts = sizes.withColumn("k", F.least(F.lit(256), F.ceil(F.col("total") / block)).cast("int")).select(
@@ -224,10 +226,10 @@ def near_vectors(df: DataFrame, cosine: float = COSINE, id_col: str = "vec_id",
     found = tables.keep(found, "found")
     comps = connected_components(found.where(F.col("a") != F.col("b"))).withColumnRenamed("id", "node")
     counts = found.where(F.col("a") == F.col("b")).groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
-    named = nodes.select("node", "first", "n").join(counts, "node", "left").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = nodes.select("node", "hash", "more", "first", "n").join(counts, "node", "left").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first").alias("least"))
-    of = named.join(least, "component").select(F.col("node").alias("hash"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "least")
-    out = rows.select("id", "hash").join(tables.keep(of, "of"), "hash", "left")
+    of = named.join(least, "component").select("hash", "more", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "least")
+    out = rows.select("id", "hash", "more").join(tables.keep(of, "of"), ["hash", "more"], "left")
     component = F.coalesce("least", "id")
     return out.select(
         F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
