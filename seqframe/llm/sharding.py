@@ -51,7 +51,8 @@ def shard(df: DataFrame, n_shards: int, law: str = "bytes", id_col: str = "doc_i
         (F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 8).alias("_size"),
         F.coalesce(F.crc32(text_col), F.lit(0)).cast("long").alias("_crc"),
         F.xxhash64(text_col).alias("_key"),
-        F.xxhash64(F.col(id_col), F.lit("slice")).alias("_slice"),
+        # Rows without an id are told apart by their place, so that many of one text are divided like others.
+        F.when(F.col(id_col).isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64(F.col(id_col), F.lit("slice"))).alias("_slice"),
     )
     slim = tables.keep(slim.withColumn("_w", F.col("_size") if law == "bytes" else F.lit(1).cast("long")), "slim")
     total, rows = slim.agg(F.coalesce(F.sum("_w"), F.lit(0)), F.count(F.lit(1))).first()
