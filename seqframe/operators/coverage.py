@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import quartiles
 from .kmers import runs
 
 C = F.col
@@ -73,5 +74,32 @@ def widened_to_bounds(found: DataFrame, reach: DataFrame, name: str, length: str
     return met.select(name, start.cast("long").alias("start_pos"), end.cast("long").alias("end_pos"))
 
 
-def weighted(value: Column, weight: Column) -> Column:
-    return F.sum(value * weight) / F.sum(weight)
+def solid(cov: DataFrame, least: int) -> DataFrame:
+    """(read_id, n_solid, total_log): k-mers of at least this coverage, and the sum of their coverages' logarithms."""
+    good = C("cov") >= least
+    return cov.groupBy("read_id").agg(F.sum(good.cast("long")).alias("n_solid"), F.sum(F.when(good, F.ln("cov")).otherwise(0.0)).alias("total_log"))
+
+
+def weak_split(cov: DataFrame, least: int, longest_gap: int, shortest: int) -> DataFrame:
+    """(read_id, start, end): parts of reads between runs of longest_gap or more k-mers below this coverage, of at least
+    `shortest` k-mers; end included."""
+    strong = runs(cov, C("cov") >= least)
+    order = Window.partitionBy("read_id").orderBy("start")
+    cut = strong.withColumn("_new", F.when(C("start") - F.lag("end").over(order) - 1 < longest_gap, 0).otherwise(1))
+    part = cut.withColumn("_k", F.sum("_new").over(order))
+    return part.groupBy("read_id", "_k").agg(F.min("start").alias("start"), F.max("end").alias("end")).where(C("end") - C("start") + 1 >= shortest).drop("_k")
+
+
+def length_quartiles(reads: DataFrame, group: str) -> DataFrame:
+    """(group, bytes, min, q1, median, q3, max) of the column len. Lengths are counted before they are gathered: a group's list
+    has an entry for each different length, as often as it comes."""
+    lengths = reads.groupBy(group, "len").agg(F.count(F.lit(1)).alias("c"))
+    listed = lengths.groupBy(group).agg(F.flatten(F.collect_list(F.array_repeat("len", C("c").cast("int")))).alias("l"), F.sum(C("len") * C("c")).alias("bytes"))
+    return listed.select(group, "bytes", quartiles(C("l")).alias("q")).select(group, "bytes", "q.*")
+
+
+def length_parameters(found: DataFrame, k: int, margin: int) -> DataFrame:
+    """(pair_distance, tip_length, max_distance): what an assembly derives from quartiles of read lengths, weighed by bases and
+    rounded half to even."""
+    w = found.agg(*[F.rint(F.sum(C(c) * C("bytes")) / F.sum("bytes")).cast("long").alias(c) for c in ("q1", "median", "q3")])
+    return w.select(F.greatest(F.lit(1), C("q1") - k - margin).cast("long").alias("pair_distance"), (C("median") - k).alias("tip_length"), (C("q3") + F.floor((C("q3") - C("q1")) * 3 / 2)).cast("long").alias("max_distance"))

@@ -168,3 +168,14 @@ def united_sketch(reads: DataFrame, group: str, k: int, s: int) -> DataFrame:
     h = each.withColumn("h", F.md5(F.col("kmer").cast("binary"))).withColumn("part", F.pmod(F.xxhash64("kmer"), F.lit(64)))
     few = h.withColumn("r", F.row_number().over(Window.partitionBy(group, "part").orderBy("h"))).where(F.col("r") <= s)
     return few.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy("h"))).where(F.col("r") <= s).select(group, "kmer")
+
+
+def sketch_similarity(reads: DataFrame, k: int, s: int, least: int) -> DataFrame:
+    """(a, b, shared, jaccard, containment): pairs of different sequences whose sketches of s k-mers share `least` or more. Copies are
+    represented by their first read."""
+    first = reads.groupBy("seq").agg(F.min("read_id").alias("read_id"))
+    sk = unnest(first.select("read_id", bottom_sketch(F.col("seq"), k, s).alias("s")).withColumn("n", F.size("s")), "s", "kmer")
+    a, b = (sk.select(F.col("read_id").alias(x), F.col("n").alias(f"n{x}"), "kmer") for x in "ab")
+    both = a.join(b, "kmer").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    n = F.col("shared")
+    return both.where(n >= least).select("a", "b", "shared", (n / (F.col("na") + F.col("nb") - n)).alias("jaccard"), (n / F.col("nb")).alias("containment"))

@@ -59,8 +59,8 @@ def inverted_self(clip: int) -> Column:
 
 def near_primary(paf: DataFrame) -> DataFrame:
     """Records whose identity is at least the square of that of their query's best primary record; all records of queries without one."""
-    best = F.max(F.when(C("is_primary"), C("nmatch") / C("blocklen"))).over(Window.partitionBy("qname"))
-    return paf.withColumn("_best", best).where(C("_best").isNull() | (C("nmatch") / C("blocklen") >= C("_best") * C("_best"))).drop("_best")
+    best = paf.groupBy("qname").agg(F.max(F.when(C("is_primary"), C("nmatch") / C("blocklen"))).alias("_best"))
+    return paf.join(best, "qname").where(C("_best").isNull() | (C("nmatch") / C("blocklen") >= C("_best") * C("_best"))).drop("_best")
 
 
 def edges(paf: DataFrame, clip: int) -> DataFrame:

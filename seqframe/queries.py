@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import codes, complexity
 from .functions import sequence as S
-from .operators import graph, intervals, kmers, overlaps
+from .operators import coverage, graph, intervals, kmers, overlaps
 from .operators.components import connected_components
 from .plans.fixtures import DUCK_KMERS, K, duck, view
 
@@ -141,11 +141,7 @@ QUARTS = f"q AS (SELECT sample, bytes, {QUART} FROM (SELECT sample, list_sort(li
 
 
 def sample_quartiles(reads: DataFrame) -> DataFrame:
-    """Length quartiles of each sample, of reads of at least K bases, and the sample's bases. Lengths are counted before
-    they are gathered: a sample's list has an entry for each different length."""
-    lengths = reads.where(C("len") >= K).groupBy("sample", "len").agg(F.count(F.lit(1)).alias("c"))
-    listed = lengths.groupBy("sample").agg(F.flatten(F.collect_list(F.array_repeat("len", C("c").cast("int")))).alias("l"), F.sum(C("len") * C("c")).alias("bytes"))
-    return listed.select("sample", "bytes", S.quartiles(C("l")).alias("q")).select("sample", "bytes", "q.*")
+    return coverage.length_quartiles(reads.where(C("len") >= K), "sample")
 
 
 @query(READ + f", {QUARTS} SELECT sample, min, q1, median, q3, max FROM q")
@@ -155,8 +151,7 @@ def read_length_quartiles(reads):
 
 @query(READ + f", {QUARTS} SELECT CAST(greatest(1, q1 - {K} - 10) AS BIGINT) AS pair_distance, CAST(median - {K} AS BIGINT) AS tip_length, CAST(q3 + (q3 - q1) * 3 // 2 AS BIGINT) AS max_distance FROM (SELECT CAST(round_even(sum(q1 * bytes) / sum(bytes), 0) AS BIGINT) AS q1, CAST(round_even(sum(median * bytes) / sum(bytes), 0) AS BIGINT) AS median, CAST(round_even(sum(q3 * bytes) / sum(bytes), 0) AS BIGINT) AS q3 FROM q)")
 def length_parameters(reads):
-    weighed = sample_quartiles(reads).agg(*[F.rint(F.sum(C(c) * C("bytes")) / F.sum("bytes")).cast("long").alias(c) for c in ("q1", "median", "q3")])
-    return weighed.select(F.greatest(F.lit(1), C("q1") - K - 10).cast("long").alias("pair_distance"), (C("median") - K).alias("tip_length"), (C("q3") + F.floor((C("q3") - C("q1")) * 3 / 2)).cast("long").alias("max_distance"))
+    return coverage.length_parameters(sample_quartiles(reads), K, 10)
 
 
 @query(READ + "SELECT len >= 200 AS long, count(*) AS n_reads, CAST(sum(len) AS BIGINT) AS bases FROM reads GROUP BY 1")
@@ -225,8 +220,7 @@ def coverage_dropoff(reads):
 
 @query(KM + "SELECT read_id, count(*) FILTER (cov >= 5) AS n_solid, round(sum(CASE WHEN cov >= 5 THEN ln(cov) ELSE 0 END), 6) AS total_log FROM cov GROUP BY read_id")
 def solid_kmers(reads):
-    cov = kmers.covered(reads, K, text=False)
-    return cov.groupBy("read_id").agg(F.sum((C("cov") >= 5).cast("long")).alias("n_solid"), F.round(F.sum(F.when(C("cov") >= 5, F.ln("cov")).otherwise(0.0)), 6).alias("total_log"))
+    return coverage.solid(kmers.covered(reads, K, text=False), 5).withColumn("total_log", F.round("total_log", 6))
 
 
 MAGNITUDE = "CAST(" + " + ".join(f"CASE WHEN m >= {10**i} THEN 1 ELSE 0 END" for i in range(1, 6)) + " AS INT)"
@@ -249,12 +243,7 @@ def gap_runs(reads):
 @query(KM + ", w AS (SELECT read_id, pos, pos - row_number() OVER (PARTITION BY read_id ORDER BY pos) AS g FROM cov WHERE cov >= 3), r AS (SELECT read_id, min(pos) AS s, max(pos) AS e FROM w GROUP BY read_id, g), t AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY read_id ORDER BY s) - 1 < 4 THEN 0 ELSE 1 END AS new FROM r), u AS (SELECT *, sum(new) OVER (PARTITION BY read_id ORDER BY s) AS k FROM t) SELECT read_id, min(s) AS start, max(e) AS \"end\" FROM u GROUP BY read_id, k HAVING max(e) - min(s) + 1 >= 10")
 def weak_split(reads):
     """Parts of reads between runs of four or more weak k-mers; parts of under ten k-mers go."""
-    cov = kmers.covered(reads, K, text=False)
-    strong = kmers.runs(cov, C("cov") >= 3)
-    order = F.lag("end").over(graph.by("read_id", "start"))
-    cut = strong.withColumn("_new", F.when(C("start") - order - 1 < 4, 0).otherwise(1))
-    part = cut.withColumn("_k", F.sum("_new").over(graph.by("read_id", "start")))
-    return part.groupBy("read_id", "_k").agg(F.min("start").alias("start"), F.max("end").alias("end")).where(C("end") - C("start") + 1 >= 10).drop("_k")
+    return coverage.weak_split(kmers.covered(reads, K, text=False), 3, 4, 10)
 
 
 @query(
@@ -309,11 +298,8 @@ def bottom_sketch(reads):
 @query(KM + DUCK_SKETCH + ", first AS (SELECT min(read_id) AS read_id FROM reads GROUP BY seq), s AS (SELECT sk.* FROM sk SEMI JOIN first USING (read_id)), n AS (SELECT read_id, count(*) AS n FROM s GROUP BY read_id) SELECT a.read_id AS a, b.read_id AS b, count(*) AS shared, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS jaccard, round(count(*) / any_value(y.n), 6) AS containment FROM s a JOIN s b ON a.ckmer = b.ckmer AND a.read_id < b.read_id JOIN n x ON x.read_id = a.read_id JOIN n y ON y.read_id = b.read_id GROUP BY a.read_id, b.read_id HAVING count(*) >= 10")
 def sketch_similarity(reads):
     """Different sequences that share ten or more sketch k-mers. Copies are represented by their first read."""
-    first = reads.groupBy("seq").agg(F.min("read_id").alias("read_id"))
-    sk = kmers.unnest(first.select("read_id", kmers.bottom_sketch(C("seq"), K, 20).alias("s")).withColumn("n", F.size("s")), "s", "kmer")
-    a, b = (sk.select(C("read_id").alias(x), C("n").alias(f"n{x}"), "kmer") for x in "ab")
-    shared = a.join(b, "kmer").where(C("a") < C("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return shared.where(C("shared") >= 10).select("a", "b", "shared", F.round(C("shared") / (C("na") + C("nb") - C("shared")), 6).alias("jaccard"), F.round(C("shared") / C("nb"), 6).alias("containment"))
+    found = kmers.sketch_similarity(reads, K, 20, 10)
+    return found.withColumn("jaccard", F.round("jaccard", 6)).withColumn("containment", F.round("containment", 6))
 
 
 SPEC_F = f"WITH {DUCK_KMERS}, fs AS MATERIALIZED (SELECT kmer, count(*) AS cov FROM kmers GROUP BY kmer), x AS (SELECT kmer, unnest(['A', 'C', 'G', 'T']) AS base FROM fs) "

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import bases as B
-from .functions import codes, hashing
+from .functions import codes, hashing, tails
 from .functions import sequence as S
 from .operators import coverage, kmers, membership
 from .plans.fixtures import K
@@ -272,3 +272,10 @@ def covered_kmer_set(reads):
 def combined_sketches(reads):
     """The least 50 k-mers by hash of each sample: sketches of its reads, united. Sketches are united in parts first."""
     return kmers.united_sketch(reads, "sample", K, 50)
+
+
+@query()
+def tail_regions(reads):
+    """Poly-A tails and poly-T heads with errors (checked by tests)."""
+    t, h = tails.tail_region(C("seq")), tails.head_region(C("seq"))
+    return reads.select("read_id", t.alias("t"), h.alias("h")).select("read_id", *[C(f"{a}.{b}").alias(f"{n}_{b}") for a, n in (("t", "tail"), ("h", "head")) for b in ("start", "end")])
