@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import json
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import Tables
 
-__all__ = ["Tables", "at", "count_at_most", "documents", "fresh", "longs", "words_of"]
+__all__ = ["Tables", "at", "count_at_most", "documents", "freeing", "fresh", "longs", "words_of"]
 
 #: Bytes that end a word: space and the control characters 0x09 to 0x0D.
 SPACES = " \t\n\x0b\f\r"
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 
+
+def freeing(run):
+    """The pass of Arrow batches, after which a worker, which lives on, gives freed memory back to the system."""
+
+    def passing(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return passing
+
+
 def longs(values: list[int]) -> Column:
     """A constant array; one literal after constant folding."""
     return F.from_json(F.lit(json.dumps([int(x) for x in values])), "array<bigint>")

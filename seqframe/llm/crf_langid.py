@@ -17,14 +17,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, words_of
+from .common import documents, freeing, fresh, words_of
 
 #: The model is fitted on at most DOCS_PER_LANG documents of each language, WINDOWS windows of WINDOW_WORDS words each.
 DOCS_PER_LANG, WINDOWS, WINDOW_WORDS = 300, 6, 32
 LEXICON_WORDS = 400
 BUCKETS = 1 << 16
 #: Texts are labelled in groups of about so many bytes, which bounds memory; a longer text makes a group of its own.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 2 << 20
 MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 EDGE = np.uint64(3)
 
@@ -253,6 +253,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", into: str =
 
     @F.pandas_udf("lang_pred string, score double, n_switches long")
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from freeing(labelled)(batches)
+
+    def labelled(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = pa.array(b, pa.large_string(), from_pandas=True)
             sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, documents, fresh
+from .common import Tables, documents, freeing, fresh
 from .suffix_sort import common, neighbours
 
 LENGTH = 400
@@ -103,7 +103,7 @@ def find_anchors(length: int):
                 hashes = pa.array([h for _, h in found], pa.list_(pa.int64()))
                 yield pa.record_batch([part.column("cls"), places, hashes], names=["cls", "places", "hashes"])
 
-    return run
+    return freeing(run)
 
 
 def cut_contexts(length: int):
@@ -113,7 +113,7 @@ def cut_contexts(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for b in batches:
+        for b in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             out: list[tuple] = []
             for cls, text, places in zip(*(b.column(c).to_pylist() for c in ("cls", "text", "places")), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
@@ -123,7 +123,7 @@ def cut_contexts(length: int):
                     whole = hashlib.blake2b(gram + len(left).to_bytes(2, "big") + left + right, digest_size=16).digest()
                     new = whole not in seen
                     if new:
-                        if len(seen) > 500_000:
+                        if len(seen) > 200_000:
                             seen.clear()
                         seen.add(whole)
                     out.append((cls, p, gram, whole, left if new else None, right if new else None))
@@ -133,7 +133,7 @@ def cut_contexts(length: int):
             if out:
                 yield pack(out)
 
-    return run
+    return freeing(run)
 
 
 CONTEXTS = "cls binary, place long, gram binary, context binary, left binary, right binary"
@@ -145,15 +145,16 @@ def pack(rows: list[tuple]) -> pa.RecordBatch:
 
 
 REACH = "context binary, lo int, hi int"
-SORTED = "gram binary, context binary, klo int, khi int, side int, best int, shared int, lo int, hi int, part int, role int, string binary"
+SORTED = "context binary, klo int, khi int, side int, gram binary, best int, shared int, lo int, hi int, part int, role int, string binary"
 #: Places of a row in its range: first, end of the first set, start of the last set, last.
 FIRST, FIRST_END, LAST_START, LAST = 1, 2, 4, 8
 
 
-def sort_range(side: int):
+def sort_range(side: int, named: bool):
     """Sorts one range of (set, side, string, context). For each string: its longest prefix shared with a neighbour of its
     set and side, the prefix shared by all of the set's strings in this range, and the reach (lo, hi) that its neighbours
-    show. Four rows at most keep their string, for what lies in other ranges."""
+    show. Four rows at most keep their string, for what lies in other ranges. Sets are `named` where a context may lie in
+    several; else only those at the ends of the range are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = list(batches)
@@ -163,7 +164,8 @@ def sort_range(side: int):
         del read
         sides, others = (held.column(c).to_pylist() for c in ("side", "other"))
         strings = [g + bytes([s]) + x for g, s, x in zip(held.column("gram").to_pylist(), sides, held.column("string").to_pylist())]
-        held = held.select(["gram", "context", "klo", "khi", "side"])
+        grams = held.column("gram").to_pylist()
+        held = held.select(["context", "klo", "khi", "side"])
         order, lcp = neighbours(strings)
         n, head = len(order), HEAD
         starts = [i for i in range(n) if not i or lcp[i] < head]
@@ -185,11 +187,13 @@ def sort_range(side: int):
         part = TaskContext.get().partitionId()
         made = held.take(pa.array(order))
         whole = [strings[x] if r else None for x, r in zip(order, role)]
+        ends = {strings[order[i]][:head] for i in (0, n - 1)}
+        made = made.append_column("gram", pa.array([grams[x] if named or strings[x][:head] in ends else None for x in order], pa.binary()))
         for name, values in (("best", best), ("shared", shared), ("lo", lo), ("hi", hi), ("part", [part] * n), ("role", role)):
             made = made.append_column(name, pa.array(values, pa.int32()))
         yield from made.append_column("string", pa.array(whole, pa.binary())).to_batches(8192)
 
-    return run
+    return freeing(run)
 
 
 #: Bytes before a context's own in a sorted string: the set and the side.
@@ -239,7 +243,7 @@ def reach_of(rows: DataFrame, tables: Tables, side: int) -> DataFrame:
         one = lambda n, own, other: F.struct(F.lit(n).alias("side"), F.col(own).alias("string"), F.col(other).alias("other"))
         each = rows.select("gram", "context", "klo", "khi", F.explode(F.array(one(0, "left", "right"), one(1, "right", "left"))).alias("x"))
         dealt = each.select("gram", "context", "klo", "khi", "x.*").repartitionByRange(parts, "gram", "side", "string", "context")
-        ordered = tables.keep(dealt.mapInArrow(sort_range(side), SORTED), f"sorted{level}")
+        ordered = tables.keep(dealt.mapInArrow(sort_range(side, level > 0), SORTED), f"sorted{level}")
         tables.tidy()
         best, spans = across(ordered.where(F.col("role") > 0).collect())  # four rows a range at most
         wide = spark.createDataFrame(spans, "gram binary, side int, wide int")  # a row for two ranges at most
@@ -248,7 +252,8 @@ def reach_of(rows: DataFrame, tables: Tables, side: int) -> DataFrame:
         border = spark.createDataFrame(best, "gram binary, context binary, side int, best int")
         found = found.unionByName(border, allowMissingColumns=True)
         pick = lambda s, c: F.when(F.col("side") == s, F.col(c))
-        met = found.groupBy("gram", "context").agg(
+        keys = ["gram", "context"] if level else ["context"]  # at first each context lies in one set
+        met = found.groupBy(*keys).agg(
             F.max(pick(0, "best")).alias("bl"), F.max(pick(1, "best")).alias("br"), F.max(pick(0, "shared")).alias("l"), F.max(pick(1, "shared")).alias("r"),
             F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("klo").alias("klo"), F.max("khi").alias("khi"),
         )
@@ -270,18 +275,19 @@ def reach_of(rows: DataFrame, tables: Tables, side: int) -> DataFrame:
         # strings follow those that come twice and that something looks for.
         s = side - F.col("l") - F.col("r")
         step = lambda t: F.floor((s + 1) * t / WAYS).cast("int")
-        keys = []
+        ways = []
         for t in range(WAYS):
             a, b = F.col("l") + step(t), F.col("r") + s + 1 - step(t + 1)
             key = F.concat("gram", F.lit(str(t)).cast("binary"), F.substring("left", F.lit(1), a), F.substring("right", F.lit(1), b))
             to_left = open_hi & ((F.col("l") + step(t + 1) > F.col("khi") + 1) | (step(t + 1) == s + 1))
             to_right = open_lo & ((step(t) == 0) | (step(t) < F.col("r") + s + F.col("klo") - side))
             made = F.struct(F.unhex(F.substring(F.sha2(key, 256), 1, 32)).alias("gram"), (to_left | to_right).alias("wanted"))
-            keys.append(F.when((step(t) < step(t + 1)) & (a <= F.col("bl")) & (b <= F.col("br")), made))
+            ways.append(F.when((step(t) < step(t + 1)) & (a <= F.col("bl")) & (b <= F.col("br")), made))
         # What isn't open is only met by others.
         done = ~(open_hi | open_lo)
         klo, khi = F.when(done, -1).otherwise(F.col("klo")).alias("klo"), F.when(done, side + 1).otherwise(F.col("khi")).alias("khi")
-        child = left.join(strings, "context").select("context", klo, khi, F.explode(F.array(*keys)).alias("x")).where(F.col("x").isNotNull()).select("context", "klo", "khi", "x.*")
+        with_strings = left.join(strings if level else rows.select("gram", "context", "left", "right"), "context")
+        child = with_strings.select("context", klo, khi, F.explode(F.array(*ways)).alias("x")).where(F.col("x").isNotNull()).select("context", "klo", "khi", "x.*")
         child = tables.keep(child, f"keys{level}")
         twice = child.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.bool_or("wanted").alias("wanted")).where((F.col("c") > 1) & F.col("wanted")).select("gram")
         rows = tables.keep(child.join(twice, "gram", "left_semi").join(strings, "context").select("gram", "context", "left", "right", "klo", "khi"), f"rows{level}")
@@ -310,8 +316,9 @@ def remove(data: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, spans
 
 
+@freeing
 def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
         out = []
         for cls, text, runs in zip(*(b.column(c).to_pylist() for c in ("cls", "text", "runs")), strict=True):
             kept, removed, spans = remove(text.encode("utf-8", "surrogatepass"), [(r["a"], r["b"]) for r in runs])
@@ -347,15 +354,17 @@ def repeated(docs: DataFrame, tables: Tables, length: int = LENGTH, text_col: st
     rows = tables.keep(texts.join(again, "cls").select("cls", "text", "places").mapInArrow(cut_contexts(length), CONTEXTS), "contexts")
     tables.drop("anchors", "twice", "again")
     tables.tidy()
-    times = tables.keep(rows.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("times"), F.max(F.octet_length("left")).alias("l"), F.max(F.octet_length("right")).alias("r")), "times")
+    # Contexts that come several times share all that they are.
+    times = rows.groupBy("context").agg(F.count(F.lit(1)).alias("times"), F.max(F.octet_length("left")).alias("l"), F.max(F.octet_length("right")).alias("r"))
+    same = times.where((F.col("times") > 1) & (F.col("l") + F.col("r") >= side)).select("context", (side - F.col("r")).alias("lo"), F.col("l").alias("hi"))
+    same = tables.keep(same, "same")
     strings = tables.keep(rows.where(F.col("left").isNotNull()).select("gram", "context", "left", "right").dropDuplicates(["context"]), "strings")
     tables.tidy()
     reach = reach_of(strings, tables, side)
-    same = times.where((F.col("times") > 1) & (F.col("l") + F.col("r") >= side)).select("context", (side - F.col("r")).alias("lo"), F.col("l").alias("hi"))
     reach = tables.keep(reach.union(same).groupBy("context").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "reach")
     runs = rows.select("cls", "place", "context").join(reach, "context").select("cls", F.struct((F.col("place") - F.col("hi")).alias("a"), (F.col("place") - F.col("lo") + length).alias("b")).alias("run"))
     runs = tables.keep(runs.groupBy("cls").agg(F.collect_list("run").alias("runs")), "runs")  # of one text
-    tables.drop("contexts", "times", "strings")
+    tables.drop("contexts", "same", "strings")
     tables.tidy()
     copied = texts.where(F.col("copies") > 1).select("cls", F.octet_length("text").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(EMPTY_SHA).alias("kept_sha256"), F.lit("").alias("kept_text"))
     cut = texts.where(F.col("copies") == 1).select("cls", "text").join(runs, "cls").mapInArrow(cut_texts, CUT)
