@@ -243,7 +243,7 @@ def reach_of(rows: DataFrame, tables: Tables, side: int) -> DataFrame:
         one = lambda n, own, other: F.struct(F.lit(n).alias("side"), F.col(own).alias("string"), F.col(other).alias("other"))
         each = rows.select("gram", "context", "klo", "khi", F.explode(F.array(one(0, "left", "right"), one(1, "right", "left"))).alias("x"))
         dealt = each.select("gram", "context", "klo", "khi", "x.*").repartitionByRange(parts, "gram", "side", "string", "context")
-        ordered = tables.keep(dealt.mapInArrow(sort_range(side, level > 0), SORTED), f"sorted{level}")
+        ordered = tables.keep(dealt.mapInArrow(sort_range(side, level > 0), SORTED), f"sorted{side}_{level}")
         tables.tidy()
         best, spans = across(ordered.where(F.col("role") > 0).collect())  # four rows a range at most
         wide = spark.createDataFrame(spans, "gram binary, side int, wide int")  # a row for two ranges at most
@@ -258,8 +258,8 @@ def reach_of(rows: DataFrame, tables: Tables, side: int) -> DataFrame:
             F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("klo").alias("klo"), F.max("khi").alias("khi"),
         )
         # A shared string is at most as long as what is shared on the two sides.
-        met = tables.keep(met.where(F.col("bl") + F.col("br") >= side), f"met{level}")
-        tables.drop(f"sorted{level}")
+        met = tables.keep(met.where(F.col("bl") + F.col("br") >= side), f"met{side}_{level}")
+        tables.drop(f"sorted{side}_{level}")
         settled = F.col("l") + F.col("r") >= side
         most, least = F.least(F.lit(side), "bl"), side - F.least(F.lit(side), "br")
         out.append(met.where(settled).select("context", least.alias("lo"), most.alias("hi")))
@@ -288,10 +288,10 @@ def reach_of(rows: DataFrame, tables: Tables, side: int) -> DataFrame:
         klo, khi = F.when(done, -1).otherwise(F.col("klo")).alias("klo"), F.when(done, side + 1).otherwise(F.col("khi")).alias("khi")
         with_strings = left.join(strings if level else rows.select("gram", "context", "left", "right"), "context")
         child = with_strings.select("context", klo, khi, F.explode(F.array(*ways)).alias("x")).where(F.col("x").isNotNull()).select("context", "klo", "khi", "x.*")
-        child = tables.keep(child, f"keys{level}")
+        child = tables.keep(child, f"keys{side}_{level}")
         twice = child.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.bool_or("wanted").alias("wanted")).where((F.col("c") > 1) & F.col("wanted")).select("gram")
-        rows = tables.keep(child.join(twice, "gram", "left_semi").join(strings, "context").select("gram", "context", "left", "right", "klo", "khi"), f"rows{level}")
-        tables.drop(f"keys{level}", *([f"rows{level - 1}"] if level else []))
+        rows = tables.keep(child.join(twice, "gram", "left_semi").join(strings, "context").select("gram", "context", "left", "right", "klo", "khi"), f"rows{side}_{level}")
+        tables.drop(f"keys{side}_{level}", *([f"rows{side}_{level - 1}"] if level else []))
         tables.tidy()
         level += 1
     found = out[0]
@@ -337,40 +337,65 @@ def text_class(text_col: str = "text"):
     return F.unhex(F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256))
 
 
-def repeated(docs: DataFrame, tables: Tables, length: int = LENGTH, text_col: str = "text") -> DataFrame:
-    """One row per distinct text that loses bytes: cls, n_removed, n_spans, kept_sha256, kept_text (undecodable rests of
-    cut characters left out). Only texts of at least `length` bytes can lose any; copies lose everything."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    side = length - length // 2
+def distinct_texts(docs: DataFrame, tables: Tables, length: int, text_col: str = "text") -> DataFrame:
+    """(cls, text, copies): the distinct texts of at least `length` bytes; shorter ones hold no string of it."""
     long = docs.where(F.octet_length(text_col) >= length).select(text_class(text_col).alias("cls"), F.col(text_col).alias("text"))
     texts = tables.keep(long.groupBy("cls").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), "texts")
     tables.tidy()
-    found = tables.keep(texts.select("cls", "text").mapInArrow(find_anchors(length), "cls binary, places array<long>, hashes array<long>"), "anchors")
+    return texts
+
+
+def repeated_runs(texts: DataFrame, tables: Tables, length: int) -> DataFrame:
+    """(cls, runs): the bytes [a, b) of distinct texts that strings of `length` bytes cover which start anywhere else too; runs
+    may overlap. Texts without any have no row. Copies of a text don't count here."""
+    side = length - length // 2
+    texts = texts.where(F.octet_length("text") >= length)
+    found = tables.keep(texts.select("cls", "text").mapInArrow(find_anchors(length), "cls binary, places array<long>, hashes array<long>"), f"anchors_{length}")
     each = found.select("cls", F.explode(F.arrays_zip("places", "hashes")).alias("x")).select("cls", F.col("x.places").alias("place"), F.col("x.hashes").alias("h"))
-    twice = tables.keep(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("h"), "twice")
-    again = tables.keep(each.join(twice, "h").groupBy("cls").agg(F.collect_list("place").alias("places")), "again")  # of one text
+    twice = tables.keep(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("h"), f"twice_{length}")
+    again = tables.keep(each.join(twice, "h").groupBy("cls").agg(F.collect_list("place").alias("places")), f"again_{length}")  # of one text
     tables.tidy()
-    rows = tables.keep(texts.join(again, "cls").select("cls", "text", "places").mapInArrow(cut_contexts(length), CONTEXTS), "contexts")
-    tables.drop("anchors", "twice", "again")
+    rows = tables.keep(texts.join(again, "cls").select("cls", "text", "places").mapInArrow(cut_contexts(length), CONTEXTS), f"contexts_{length}")
+    tables.drop(*(f"{n}_{length}" for n in ("anchors", "twice", "again")))
     tables.tidy()
     # Contexts that come several times share all that they are.
     times = rows.groupBy("context").agg(F.count(F.lit(1)).alias("times"), F.max(F.octet_length("left")).alias("l"), F.max(F.octet_length("right")).alias("r"))
     same = times.where((F.col("times") > 1) & (F.col("l") + F.col("r") >= side)).select("context", (side - F.col("r")).alias("lo"), F.col("l").alias("hi"))
-    same = tables.keep(same, "same")
-    strings = tables.keep(rows.where(F.col("left").isNotNull()).select("gram", "context", "left", "right").dropDuplicates(["context"]), "strings")
+    same = tables.keep(same, f"same_{length}")
+    strings = tables.keep(rows.where(F.col("left").isNotNull()).select("gram", "context", "left", "right").dropDuplicates(["context"]), f"strings_{length}")
+    # From here on the strings are held once.
+    placed = tables.keep(rows.select("cls", "place", "context"), f"placed_{length}")
+    tables.drop(f"contexts_{length}")
     tables.tidy()
     reach = reach_of(strings, tables, side)
-    reach = tables.keep(reach.union(same).groupBy("context").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "reach")
-    runs = rows.select("cls", "place", "context").join(reach, "context").select("cls", F.struct((F.col("place") - F.col("hi")).alias("a"), (F.col("place") - F.col("lo") + length).alias("b")).alias("run"))
-    runs = tables.keep(runs.groupBy("cls").agg(F.collect_list("run").alias("runs")), "runs")  # of one text
-    tables.drop("contexts", "same", "strings")
+    reach = tables.keep(reach.union(same).groupBy("context").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), f"reach_{length}")
+    runs = placed.join(reach, "context").select("cls", F.struct((F.col("place") - F.col("hi")).alias("a"), (F.col("place") - F.col("lo") + length).alias("b")).alias("run"))
+    runs = tables.keep(runs.groupBy("cls").agg(F.collect_list("run").alias("runs")), f"runs_{length}")  # of one text
+    tables.drop(*(f"{n}_{length}" for n in ("placed", "same", "strings", "reach")))
     tables.tidy()
-    copied = texts.where(F.col("copies") > 1).select("cls", F.octet_length("text").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(EMPTY_SHA).alias("kept_sha256"), F.lit("").alias("kept_text"))
+    return runs
+
+
+def repeated(docs: DataFrame, tables: Tables, length: int = LENGTH, text_col: str = "text", texts: DataFrame | None = None) -> DataFrame:
+    """One row per distinct text that loses bytes: cls, n_removed, n_spans, kept_sha256, kept_text (undecodable rests of
+    cut characters left out). Only texts of at least `length` bytes can lose any; copies lose everything. `texts`: what
+    distinct_texts has made of docs, with this or a smaller length."""
+    texts = distinct_texts(docs, tables, length, text_col) if texts is None else texts
+    runs = repeated_runs(texts, tables, length)
+    copied = texts.where((F.col("copies") > 1) & (F.octet_length("text") >= length)).select("cls", F.octet_length("text").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(EMPTY_SHA).alias("kept_sha256"), F.lit("").alias("kept_text"))
     cut = texts.where(F.col("copies") == 1).select("cls", "text").join(runs, "cls").mapInArrow(cut_texts, CUT)
     return tables.keep(cut.union(copied), "cut")
 
 
+def covered_bytes(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
+    """(cls, n): how many bytes of each distinct text lie in runs; all of them for texts that come several times."""
+    step = lambda a, r: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), r["b"] - F.greatest(a["end"], r["a"]))).alias("n"), F.greatest(a["end"], r["b"]).alias("end"))
+    zero = F.lit(0).cast("long")
+    some = runs.select("cls", F.aggregate(F.array_sort("runs"), F.struct(zero.alias("n"), zero.alias("end")), step, lambda a: a["n"]).alias("n"))
+    whole = texts.where((F.col("copies") > 1) & (F.octet_length("text") >= length)).select("cls", F.octet_length("text").cast("long").alias("n"))
+    return some.union(whole).groupBy("cls").agg(F.max("n").alias("n"))
+
+
 def without_repeats(docs: DataFrame, length: int = PASSAGE) -> DataFrame:
     """docs with the repeated strings cut out of their texts, and n_chars set anew where a text is cut. Rows of which
     nothing but white space is left go; other rows and columns stay as they are."""
@@ -386,12 +411,15 @@ def without_repeats(docs: DataFrame, length: int = PASSAGE) -> DataFrame:
 
 
 def op10_suffix_array(spark, sf_dir: str) -> DataFrame:
-    """What every document loses and the hash of what is left."""
+    """What every document loses and the hash of what is left. n_in_passages: bytes covered by the shorter strings of PASSAGE
+    bytes that also start elsewhere, which shows passages that the law of LENGTH bytes leaves alone."""
     tables = Tables(spark, "suffix")
     docs = documents(spark, sf_dir)
     slim = docs.select("doc_id", text_class().alias("cls"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    cut = repeated(docs, tables).drop("kept_text")
-    return slim.join(cut, "cls", "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("kept_sha256", F.lower(F.hex("cls"))).alias("kept_sha256"),
+    texts = distinct_texts(docs, tables, PASSAGE)
+    cut = repeated(docs, tables, texts=texts).drop("kept_text")
+    shorter = tables.keep(covered_bytes(texts, repeated_runs(texts, tables, PASSAGE), PASSAGE), "shorter")
+    long = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return slim.join(cut, "cls", "left").join(shorter.withColumnRenamed("n", "n_in_passages"), "cls", "left").select(
+        "doc_id", "n_bytes", long("n_removed"), long("n_spans"), F.coalesce("kept_sha256", F.lower(F.hex("cls"))).alias("kept_sha256"), long("n_in_passages"),
     )

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+from collections import Counter
 import random
 import zlib
 
@@ -95,6 +96,9 @@ def test_shards(docs, texts, empty, law):
     if law == "rows":
         n = [sum(r["shard"] == s for r in rows) for s in range(4)]
         assert max(n) - min(n) <= 1
+    else:
+        n, most = [sum(r["size"] for r in rows if r["shard"] == s) for s in range(4)], max(r["size"] for r in rows)
+        assert all(abs(x - sum(n) / 4) < 2 * most for x in n)
     assert sharding.shard(empty, 4, law).count() == 0
 
 
@@ -110,11 +114,11 @@ def test_statistics(docs, texts):
                 dup += line in seen
                 seen.add(line)
         wins = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
-        cover = {j for i, x in enumerate(wins) if wins.count(x) > 1 for j in range(i, i + 8)} if len(w) < 600 else {j for i, x in enumerate(wins) if False for j in ()}
+        times = Counter(wins)
+        cover = {j for i, x in enumerate(wins) if times[x] > 1 for j in range(i, i + 8)}
         assert (r["n_words"], r["word_chars"], r["n_dup_lines"]) == (len(w), sum(map(len, w)), dup)
         assert r["n_symbols"] == sum(c in "#*$%&|<>" for c in t)
-        if len(w) < 600:
-            assert r["n_repeat_words"] == len(cover)
+        assert r["n_repeat_words"] == len(cover)
 
 
 def test_repeats_inside_a_text(spark):
@@ -172,6 +176,45 @@ def brute_print(t):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def near_groups(words):
+    """{id: least id of its group}: equal words, or a Jaccard similarity of 0.8 of five-word shingles, by brute force."""
+    sets = {i: {w[k : k + 5] for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    out = {}
+    for i in sorted(words):
+        if i not in out:
+            group, queue = {i}, [i]
+            while queue:
+                a = queue.pop()
+                for b in words:
+                    n = len(sets[a] & sets[b])
+                    if b not in group and (words[a] == words[b] or n and n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)):
+                        group.add(b)
+                        queue.append(b)
+            out |= dict.fromkeys(group, i)
+    return out
+
+
+@pytest.mark.parametrize("group", [6, 1024])
+def test_near_copies(spark, monkeypatch, group):
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 6)))
+    texts = []
+    for _ in range(12):
+        first = [word() for _ in range(rng.randint(60, 200))]
+        for copy in range(rng.choice([1, 3, 25])):
+            new = list(first)
+            for _ in range(rng.randint(0, max(1, len(first) // 45))):
+                new[rng.randrange(len(new))] = word()
+            texts.append((" " if copy % 2 else "\n").join(new).title() if copy % 5 == 4 else " ".join(new))
+    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, _row long")
+    kept = simhash.one_of_each(df)
+    assert kept.columns == df.columns
+    want = set(near_groups({i: tuple(t.encode().lower().split()) for i, t in enumerate(texts)}).values())
+    got = {r["doc_id"] for r in kept.collect()}
+    assert want <= got and len(texts) - len(got) >= 0.95 * (len(texts) - len(want))  # a pair may be missed
+
+
 def test_simhash(docs, texts, empty):
     rows = simhash.near_duplicates(docs).collect()
     prints = {i: brute_print(t) for i, t in enumerate(texts)}
@@ -185,7 +228,8 @@ def test_simhash(docs, texts, empty):
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
-    assert len(ids) == len(set(ids)) and ids.count(0) == 1 and set(ids) == {r["component"] for r in rows}
+    words = {i: tuple((t or "").encode().lower().split()) for i, t in enumerate(texts)}
+    assert len(ids) == len(set(ids)) and ids.count(0) == 1 and set(ids) == {*near_groups(words).values(), None}
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
 
 
@@ -297,7 +341,8 @@ def test_kneser_ney_across_words(spark):
         padded = "\n" * 4 + "".join(w + " " for w in (text or "").split())
         return [padded[i : i + 5] for i in range(len(padded) - 4)]
 
-    counted = {r["gram"]: r["n"] for r in spark.read.parquet(f"{tables.at}/count5").collect()}
+    partial = spark.createDataFrame([(t,) for t in trained], "text string").mapInArrow(kneser_ney.count_grams, "gram string, n long")
+    counted = {r["gram"]: r["n"] for r in partial.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
     every = [g for t in trained for g in grams(t)]
     assert counted == {g: every.count(g) for g in every}
     needed = spark.createDataFrame([(g,) for g in sorted({g for t in asked for g in grams(t)})], "gram string")
@@ -305,6 +350,36 @@ def test_kneser_ney_across_words(spark):
     for i, t in enumerate(asked):
         assert got[i][0] == len(grams(t)) and got[i][1] == pytest.approx(sum(logp[g] for g in grams(t)), abs=1e-9)
     assert got[0] == got[3] and got[0][1] > got[1][1] + 0.1
+    direct = direct_kneser_ney(counted)
+    assert all(logp[g] == pytest.approx(math.log(direct(g)), abs=1e-9) for g in logp)
+
+
+def direct_kneser_ney(counts):
+    """The interpolated modified Kneser-Ney probability of an n-gram's last character, from counts of the longest n-grams."""
+    levels = {5: counts}
+    for k in (4, 3, 2, 1):
+        levels[k] = {}
+        for g in levels[k + 1]:
+            levels[k][g[1:]] = levels[k].get(g[1:], 0) + 1
+    off = {}
+    for k, level in levels.items():
+        c = [0] + [sum(1 for n in level.values() if n == i) for i in (1, 2, 3, 4)]
+        y = c[1] / (c[1] + 2 * c[2]) if c[1] and c[2] else 0.5
+        off[k] = [0.0] + [min(max(i - (i + 1) * y * c[i + 1] / c[i], 0.05), i - 0.05) if c[i] else 0.5 * i for i in (1, 2, 3)]
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / (len(levels[1]) + 1)
+        same = {h: n for h, n in levels[k].items() if h[:-1] == g[:-1]}
+        if not same:
+            return p(g[1:])
+        total, cut = sum(same.values()), sum(off[k][min(n, 3)] for n in same.values())
+        mine = same.get(g, 0)
+        return max(mine - off[k][min(mine, 3)], 0) / total + cut / total * p(g[1:])
+
+    return p
+
 
 
 def test_vectors(spark):
@@ -352,9 +427,9 @@ def brute_cut(data, length):
     return out
 
 
-@pytest.mark.parametrize("small", [2, 512])
-def test_repeats(spark, empty, monkeypatch, small):
-    monkeypatch.setattr(suffix_dedup, "SMALL", small)
+@pytest.mark.parametrize("ways", [2, 8])
+def test_repeats(spark, empty, monkeypatch, ways):
+    monkeypatch.setattr(suffix_dedup, "WAYS", ways)
     rng = random.Random(7)
     passage = "".join(rng.choices("abcd ", k=120))
     texts = ["".join(rng.choices("abcé ", k=rng.randint(0, 120))) for _ in range(40)]
@@ -372,3 +447,33 @@ def test_repeats(spark, empty, monkeypatch, small):
     kept = suffix_dedup.without_repeats(df, 40)
     assert kept.columns == df.columns
     assert suffix_dedup.repeated(empty, Tables(spark, "t")).count() == 0
+
+
+def test_suffix_query(spark, tmp_path):
+    """The query's own columns at its own lengths, with a repeat across the pieces of a long text."""
+    rng = random.Random(13)
+    fresh = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    long, short = fresh(450), fresh(300)
+    texts = [fresh(900) + long + fresh(50), fresh(20) + long + short + fresh(400), short + fresh(500), fresh(399), None, "", fresh(700), short * 3]
+    texts += [texts[6], long[:399] + "x" + fresh(300)]
+    make(spark, texts).drop("fp", "_language", "cls").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in suffix_dedup.op10_suffix_array(spark, str(tmp_path)).collect()}
+    every = [(t or "").encode() for t in texts] + [b"lonely words without an id", (texts[0] or "").encode()]
+    want, shorter = brute_cut(every, 400), brute_cut(every, 200)
+    for i in range(len(texts)):
+        r = got[i]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_in_passages"]) == (*want[i], shorter[i][1]), i
+
+
+def test_language_learns_from_its_rows_alone(spark, tmp_path):
+    """Held-out languages, sources and ids that keep the fold move no prediction."""
+    rows = [(i, words(40, "de" if i % 2 else "en"), "de" if i % 2 else "en", f"s{i % 3}", 1) for i in range(60)] + [(60, None, "en", "s", 1), (61, "12 3!", "de", "s", 1)]
+    out = [zlib.crc32(str(r[0]).encode()) % 5 == 0 for r in rows]
+    other = [(i, t, "xx" if held else lang, "t", n) for (i, t, lang, _, n), held in zip(rows, out)]
+    got = []
+    for name, r in (("a", rows), ("b", other)):
+        spark.createDataFrame(r, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / name / "documents.parquet"))
+        got.append({x["doc_id"]: (x["held_out"], x["lang_pred"], round(x["score"], 9)) for x in crf_langid.op1_crf_language(spark, str(tmp_path / name)).collect()})
+    assert got[0] == got[1] and [got[0][r[0]][0] for r in rows] == out
+    assert got[0][60][1:] == got[0][61][1:] == ("und", 0.0)
+    assert all(p == r[2] for r in rows[:60] if (p := got[0][r[0]][1]))

@@ -5,8 +5,8 @@ import random
 import sentencepiece
 
 import corpus_pipeline
-from seqframe.llm import mixing, piece_scan
-from tests.llm.test_operators import brute_cut, brute_print
+from seqframe.llm import mixing, piece_scan, suffix_dedup
+from tests.llm.test_operators import brute_cut, near_groups
 
 RNG = random.Random(21)
 PARTS = {"en": ["th", "ing", "er", "and", "ou"], "de": ["sch", "ung", "ein", "ich", "ü"]}
@@ -30,20 +30,21 @@ def test_pipeline(spark, tmp_path):
     got = {r["doc_id"]: list(r["ids"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
 
     docs = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
-    prints = {r[0]: brute_print(r[1]) for r in docs}
-    docs = [r for r in docs if not any(j < r[0] and (prints[j] ^ prints[r[0]]).bit_count() <= 3 for j in prints)]
+    groups = near_groups({r[0]: tuple(r[1].encode().lower().split()) for r in docs})
+    docs = [r for r in docs if groups[r[0]] == r[0]]
     data = [r[1].encode() for r in docs]
     from collections import Counter
 
-    seen = Counter(t[i : i + 400] for t in data for i in range(len(t) - 399))
+    size = suffix_dedup.PASSAGE
+    seen = Counter(t[i : i + size] for t in data for i in range(len(t) - size + 1))
     cut = []
     for t in data:
         gone = bytearray(len(t))
-        for i in range(len(t) - 399):
-            if seen[t[i : i + 400]] > 1:
-                gone[i : i + 400] = b"\1" * 400
-        cut.append(bytes(c for c, g in zip(t, gone) if not g).decode())
-    assert sum(n for _, n, _, _ in brute_cut(data, 400)) >= 3 * 450
+        for i in range(len(t) - size + 1):
+            if seen[t[i : i + size]] > 1:
+                gone[i : i + size] = b"\1" * size
+        cut.append(bytes(c for c, g in zip(t, gone) if not g).decode("utf-8", "ignore"))
+    assert sum(n for _, n, _, _ in brute_cut(data, size)) >= 3 * 450
     docs = [(r[0], t, r[2], r[3], len(t)) for r, t in zip(docs, cut)]
     kept = {r["doc_id"] for r in mixing.mix(spark.createDataFrame(docs, schema)).where("kept").collect()}
     model = sentencepiece.SentencePieceProcessor(model_file=piece_scan.model_path())
