@@ -397,6 +397,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     comps = connected_components(links, "x", "y").withColumnRenamed("id", "node")
     named = nodes.join(comps, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("least").alias("least"))
     winners = tables.keep(named.select(F.col("least.row").alias(row)), "winners")
+    tables.drop("pairs", "edges", "sets", "near", "nodes")
     return held.join(winners, row, "left_semi").drop(fp, row)
 
 
