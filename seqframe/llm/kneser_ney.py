@@ -16,18 +16,23 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, documents
+from .common import Tables, documents, freeing
 
 ORDER = 5
 #: What comes before a text, and what ends each word of it. White space can't be part of a word.
 START, END = "\n", " "
-#: Bytes of text in a block of documents, about.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text in a block of documents, about: n-grams of a block are asked for once.
+BLOCK_BYTES = 64 << 20
+#: Bytes of text that are held as numbers at a time, about.
+SLICE_BYTES = 4 << 20
 #: Numbers below this are ranked by a table, others by sorting.
-TABLE = 1 << 25
+TABLE = 1 << 24
+#: Parts that a language's rows are dealt into when they meet their threshold.
+SALTS = 64
 #: Kept: perplexity up to this quantile of the trusted documents of the language, times the margin.
 QUANTILE, MARGIN = 0.99, 1.25
 
@@ -39,13 +44,13 @@ def lines(texts: pa.Array) -> list[str]:
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of BLOCK_BYTES of text, about; at least one row each."""
+    """The batches in slices of SLICE_BYTES of text, about; at least one row each."""
     for b in batches:
         sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
         a = 0
         while a < b.num_rows:
             z, total = a, 0
-            while z < b.num_rows and (z == a or total + sizes[z] <= BLOCK_BYTES):
+            while z < b.num_rows and (z == a or total + sizes[z] <= SLICE_BYTES):
                 total += int(sizes[z])
                 z += 1
             yield b.slice(a, z - a)
@@ -61,7 +66,7 @@ def ranked(x: np.ndarray) -> tuple[int, np.ndarray]:
     seen = np.zeros(top, bool)
     seen[x] = True
     place = np.cumsum(seen, dtype=np.int32)
-    return int(place[-1]) if top else 0, (place - 1)[x]
+    return int(place[-1]) if top else 0, place[x] - 1
 
 
 def grams_of(texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -84,6 +89,7 @@ def grams_of(texts: list[str]) -> tuple[list[str], np.ndarray]:
     return [joined[i : i + ORDER] for i in range(0, len(joined), ORDER)], ranks
 
 
+@freeing
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of n-grams in a task's texts."""
     total: Counter[str] = Counter()
@@ -130,6 +136,8 @@ def train(texts: DataFrame, tables: Tables) -> Model:
             model.rest[k] = tables.keep(sums.select("context", (F.col("left") / F.col("total")).alias("b")), f"b{k}")
             # Continuation counts: in how many different n-grams the shorter one ends.
             counts = tables.keep(counts.groupBy(F.substring("gram", 2, k - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"count{k - 1}")
+            tables.drop(f"count{k}", f"context{k}")
+            tables.tidy()
         else:
             row = sums.first()
             total, left = (float(row["total"]), float(row["left"])) if row else (1.0, 1.0)
@@ -149,58 +157,69 @@ def resolve(needed: DataFrame, model: Model, tables: Tables) -> DataFrame:
         w = wanted[k].select("gram", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("shorter"))
         w = w.join(model.prob[k], "gram", "left").join(model.rest[k], "context", "left").join(lower.select(F.col("gram").alias("shorter"), F.col("p").alias("q")), "shorter")
         lower = tables.keep(w.select("gram", (F.coalesce("p", F.lit(0.0)) + F.coalesce("b", F.lit(1.0)) * F.col("q")).alias("p")), f"known{k}")
+        tables.drop(f"known{k - 1}", f"wanted{k - 1}")
+        tables.tidy()
     return lower.select("gram", F.ln("p").alias("logp"))
 
 
 BLOCKS = "block long, kind int, gram string, number int, doc_id long, lang string, n_chars long, texts binary"
 
 
+@freeing
 def make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cuts a task's documents into blocks. A block is: its texts (kind 1: one row), its documents in the order of their
-    texts (kind 2, by number), and the n-grams that its texts need (kind 0, by number)."""
-    from pyspark import TaskContext
-
-    task = TaskContext.get().partitionId()
-    for k, part in enumerate(slices(batches)):
-        yield from one_block(part, (task << 32) | k)
-
-
-def one_block(part: pa.RecordBatch, block: int) -> Iterator[pa.RecordBatch]:
-    texts = lines(part.column("text").cast(pa.string()))
-    grams, _ = grams_of(texts)
-    packed = "".join(texts).encode("utf-8", "surrogatepass")
-    size = len(packed).to_bytes(8, "little")
-
-    def rows(n: int, kind: int, **columns) -> pa.RecordBatch:
-        made = {"block": pa.array([block] * n, pa.int64()), "kind": pa.array([kind] * n, pa.int32()), "number": pa.array(np.arange(n), pa.int32())}
-        kinds = (("gram", pa.string()), ("doc_id", pa.int64()), ("lang", pa.string()), ("n_chars", pa.int64()), ("texts", pa.binary()))
-        made |= {c: columns[c] if c in columns else pa.nulls(n, t) for c, t in kinds}
-        names = ["block", "kind", "gram", "number", "doc_id", "lang", "n_chars", "texts"]
-        return pa.record_batch([made[c] for c in names], names=names)
-
-    yield rows(1, 1, texts=pa.array([size + pa.Codec("zstd", compression_level=6).compress(packed, asbytes=True)], pa.binary()))
-    yield rows(part.num_rows, 2, doc_id=part.column("doc_id"), lang=part.column("lang"), n_chars=pa.array([len(t) for t in texts], pa.int64()))
-    if grams:
-        yield rows(len(grams), 0, gram=pa.array(grams, pa.string()))
+    """Cuts a task's documents into blocks of slices. A block is: the texts of each slice (kind 1: a row for a slice), its
+    documents in the order of their texts (kind 2, by number), and the distinct n-grams that its texts need (kind 0, numbered
+    in ascending order)."""
+    task, block = TaskContext.get().partitionId(), 0
+    needed: set[str] = set()
+    count = size = docs = 0
+    for part in slices(batches):
+        texts = lines(part.column("text").cast(pa.string()))
+        needed.update(grams_of(texts)[0])
+        packed = "".join(texts).encode("utf-8", "surrogatepass")
+        whole = len(packed).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(packed, asbytes=True)
+        at = (task << 32) | block
+        yield block_rows(at, 1, [count], texts=pa.array([whole], pa.binary()), n_chars=pa.array([len(texts)], pa.int64()))
+        lengths = pa.array([len(t) for t in texts], pa.int64())
+        yield block_rows(at, 2, range(docs, docs + len(texts)), doc_id=part.column("doc_id"), lang=part.column("lang"), n_chars=lengths)
+        count, size, docs = count + 1, size + len(packed), docs + len(texts)
+        if size >= BLOCK_BYTES:
+            yield block_rows(at, 0, range(len(needed)), gram=pa.array(sorted(needed), pa.string()))
+            needed, count, size, docs, block = set(), 0, 0, 0, block + 1
+    if needed:
+        yield block_rows((task << 32) | block, 0, range(len(needed)), gram=pa.array(sorted(needed), pa.string()))
+
+
+def block_rows(block: int, kind: int, numbers, **columns) -> pa.RecordBatch:
+    n = len(numbers)
+    made = {"block": pa.array(np.full(n, block, np.int64)), "kind": pa.array(np.full(n, kind, np.int32)), "number": pa.array(list(numbers), pa.int32())}
+    kinds = (("gram", pa.string()), ("doc_id", pa.int64()), ("lang", pa.string()), ("n_chars", pa.int64()), ("texts", pa.binary()))
+    made |= {c: columns[c] if c in columns else pa.nulls(n, t) for c, t in kinds}
+    names = ["block", "kind", "gram", "number", "doc_id", "lang", "n_chars", "texts"]
+    return pa.record_batch([made[c] for c in names], names=names)
 
 
 SCORES = "doc_id long, lang string, n_chars long, log_prob double"
 
 
 def score_block(key, block: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
-    data = block[block["kind"] == 1]["texts"].iloc[0]
-    joined = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True).decode("utf-8", "surrogatepass")
     docs = block[block["kind"] == 2].sort_values("number")
     lengths = docs["n_chars"].to_numpy(np.int64)
-    ends = np.cumsum(lengths)
-    _, ranks = grams_of([joined[z - n : z] for n, z in zip(lengths.tolist(), ends.tolist(), strict=True)])
-    logs = np.full(len(grams), np.nan)
+    parts, at = [], 0
+    for data, n in block[block["kind"] == 1].sort_values("number")[["texts", "n_chars"]].itertuples(index=False):
+        joined = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True).decode("utf-8", "surrogatepass")
+        ends = np.cumsum(lengths[at : at + int(n)])
+        texts = [joined[z - k : z] for k, z in zip(lengths[at : at + int(n)].tolist(), ends.tolist(), strict=True)]
+        parts.append((*grams_of(texts), ends - lengths[at : at + int(n)], ends))
+        at += int(n)
+    number = {g: i for i, g in enumerate(sorted(set().union(*(p[0] for p in parts))))}
+    logs = np.full(len(number), np.nan)
     logs[grams["number"].to_numpy()] = grams["logp"].to_numpy()
-    each = logs[ranks]
-    return pd.DataFrame({
-        "doc_id": docs["doc_id"].astype("Int64"), "lang": docs["lang"], "n_chars": lengths,
-        "log_prob": [float(each[z - n : z].sum()) for n, z in zip(lengths.tolist(), ends.tolist(), strict=True)],
-    })
+    sums = []
+    for distinct, ranks, starts, ends in parts:
+        each = logs[np.array([number[g] for g in distinct], np.int64)][ranks] if distinct else np.zeros(0)
+        sums.extend(float(each[a:z].sum()) for a, z in zip(starts.tolist(), ends.tolist(), strict=True))
+    return pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64"), "lang": docs["lang"], "n_chars": lengths, "log_prob": sums})
 
 
 def perplexities(docs: DataFrame, model: Model, tables: Tables) -> DataFrame:
@@ -213,6 +232,7 @@ def perplexities(docs: DataFrame, model: Model, tables: Tables) -> DataFrame:
     blocks = parts.where(F.col("kind") != 0).select("block", "kind", "number", "doc_id", "lang", "n_chars", "texts")
     # Answers are written first, so that their join's shuffle is gone when the blocks are dealt.
     answers = tables.keep(answers, "answers")
+    tables.drop(f"known{ORDER}", f"wanted{ORDER}")
     tables.tidy()
     return blocks.groupBy("block").cogroup(answers.groupBy("of")).applyInPandas(score_block, SCORES)
 
@@ -221,7 +241,8 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, ma
     """One row per document: doc_id, lang, n_chars, perplexity (of a character; null without words), threshold and kept.
 
     trusted: the doc_ids whose text trains the model. Null languages are one language of their own. A language without
-    trusted documents has the quantile over all trusted ones; without any trusted document everything is kept. Documents
+    trusted documents has the quantile over all trusted ones (quantiles are those of percentile_approx at an accuracy of
+    10,000: exact for fewer trusted documents); without any trusted document everything is kept. Documents
     without words (null, empty) are not kept. Null ids are scored like any other and are never trusted.
     """
     tables = Tables(docs.sparkSession, "kneser_ney")
@@ -238,7 +259,10 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, ma
     cuts = good.groupBy("_lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("_cut"))
     every = good.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
     limit = F.coalesce("_cut", F.lit(every * margin if every is not None else float("inf")))
-    out = scored.join(cuts, "_lang", "left").withColumn("threshold", limit)
+    # A language may hold most rows: they are dealt over SALTS keys, each with a copy of the threshold.
+    cuts = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = scored.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "log_prob"), F.lit(SALTS)).cast("int"))
+    out = salted.join(cuts, ["_lang", "_salt"], "left").withColumn("threshold", limit)
     return out.select("doc_id", "lang", "n_chars", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
 
 
