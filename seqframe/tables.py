@@ -32,6 +32,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.bucketed: dict[str, str] = {}
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and reads it back."""
@@ -39,10 +40,20 @@ class Tables:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
+    def keep_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """Writes df in buckets by the key, as many as a shuffle has partitions: joins on the key then don't move these rows again."""
+        path, parts = f"{self.at}/{name}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = re.sub(r"\W", "_", f"{self.at.rsplit('/', 1)[-1]}_{name}").lower()
+        df.repartition(parts, key).write.option("compression", "zstd").option("path", path).bucketBy(parts, key).sortBy(key).format("parquet").saveAsTable(table)
+        self.bucketed[name] = table
+        return self.spark.table(table)
+
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing reads any more."""
         sc = self.spark.sparkContext
         for name in names:
+            if name in self.bucketed:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.bucketed.pop(name)}")
             path = sc._jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}")
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
