@@ -7,12 +7,13 @@ import ctypes
 import json
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import Tables
 
-__all__ = ["Tables", "at", "count_at_most", "documents", "freeing", "fresh", "longs", "words_of"]
+__all__ = ["Tables", "at", "by_size", "count_at_most", "documents", "freeing", "fresh", "longs", "parts_of", "words_of"]
 
 #: Bytes that end a word: space and the control characters 0x09 to 0x0D.
 SPACES = " \t\n\x0b\f\r"
@@ -33,6 +34,30 @@ def freeing(run):
     return passing
 
 
+def by_size(batches, limit: int, column: str = "text"):
+    """The batches in slices of about so many bytes of a text column, of at least one row each."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_pylist()
+        a = 0
+        while a < b.num_rows:
+            z, total = a + 1, sizes[a]
+            while z < b.num_rows and total + sizes[z] <= limit:
+                total += sizes[z]
+                z += 1
+            yield b.slice(a, z - a)
+            a = z
+
+
+def parts_of(data: bytes, size: int = 1 << 20):
+    """Lists of the words of bytes that spaces divide, from a piece of about `size` bytes each."""
+    a = 0
+    while a < len(data):
+        z = data.find(b" ", a + size) if a + size < len(data) else -1
+        z = len(data) if z < 0 else z
+        yield data[a:z].split()
+        a = z
+
+
 def longs(values: list[int]) -> Column:
     """A constant array; one literal after constant folding."""
     return F.from_json(F.lit(json.dumps([int(x) for x in values])), "array<bigint>")
