@@ -14,6 +14,8 @@ from .decision_list import op3_decision_list, with_statistics
 from .kneser_ney import op8_kneser_ney
 from .mixing import op7_raking
 from .mixing import oracle as raking_sql
+from .phrase_automata import op11_phrase_automata
+from .phrase_automata import oracle as passages_sql
 from .piece_scan import op6_piece_scan
 from .sharding import op2_sampled_splitters
 from .simhash import op5_simhash_blocks
@@ -34,6 +36,7 @@ QUERIES = {
         op8_kneser_ney,
         op9_cover_tree,
         op10_suffix_array,
+        op11_phrase_automata,
         op12_spelling,
         op13_divergence,
     )
@@ -66,4 +69,4 @@ l AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.la
 walk AS (SELECT x, y FROM l UNION SELECT w.x, l.y FROM walk w JOIN l ON w.y = l.x), c AS (SELECT x, least(x, min(y)) AS component FROM walk GROUP BY x), n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
 SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept FROM embeddings LEFT JOIN n ON n.x = vec_id LEFT JOIN c ON c.x = vec_id"""
 
-ORACLES: dict[str, str] = {"op7_raking": raking_sql(), "op9_cover_tree": VECTORS_SQL, "quality_statistics": STATISTICS_SQL, "op12_spelling": spelling_sql(), "op13_divergence": divergence_sql()}
+ORACLES: dict[str, str] = {"op7_raking": raking_sql(), "op9_cover_tree": VECTORS_SQL, "quality_statistics": STATISTICS_SQL, "op11_phrase_automata": passages_sql(), "op12_spelling": spelling_sql(), "op13_divergence": divergence_sql()}
