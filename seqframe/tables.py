@@ -41,10 +41,11 @@ class Tables:
         return self.spark.read.schema(schema).parquet(path)
 
     def keep_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
-        """Writes df in buckets by the key, as many as a shuffle has partitions: joins on the key then don't move these rows again."""
-        path, parts = f"{self.at}/{name}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        """Writes df, whose rows lie together by the key already, in as many buckets as a shuffle has partitions. Joins and groups on
+        the key then don't move these rows again."""
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         table = re.sub(r"\W", "_", f"{self.at.rsplit('/', 1)[-1]}_{name}").lower()
-        df.repartition(parts, key).write.option("compression", "zstd").option("path", path).bucketBy(parts, key).sortBy(key).format("parquet").saveAsTable(table)
+        df.write.option("compression", "zstd").option("path", f"{self.at}/{name}").bucketBy(parts, key).format("parquet").saveAsTable(table)
         self.bucketed[name] = table
         return self.spark.table(table)
 
