@@ -110,3 +110,58 @@ def flag(test, seq: Column) -> Column:
         return pd.Series([None if x is None else test(x) for x in s], dtype="object")
 
     return run(seq)
+
+
+def complex_parts(seq: str, window: int, least: int | None = None) -> list[tuple[int, int]]:
+    """The parts [start, end) of a sequence without its windows of low complexity, which are centred; the first and the last window
+    take the rest with them. Without `least`, a sequence shorter than a window is one part, or none. With `least`, a sequence
+    that has fewer bases in such windows is left whole; one of under five windows is left whole, or not at all."""
+    n = len(seq)
+    many = n // window
+    if many < (1 if least is None else 5):
+        return [(0, n)] if n and not (low_complexity_long if least is None else low_complexity_windowed)(seq) else []
+    first = n % window // 2
+    low = [low_complexity_long(seq[first + i * window : first + (i + 1) * window]) for i in range(many)]
+    if least is not None and sum(low) * window < least:
+        return [(0, n)]
+    edge = np.diff(np.concatenate([[1], np.array(low, np.int8), [1]]))
+    runs = zip(np.flatnonzero(edge == -1).tolist(), np.flatnonzero(edge == 1).tolist(), strict=True)
+    return [(0 if a == 0 else first + a * window, n if z == many else first + z * window) for a, z in runs]
+
+
+def complex_ends(seq: str, window: int) -> str:
+    """The sequence without windows of low complexity at its ends; one good window between two low ones doesn't stop the cut."""
+
+    def cut(windows: list[str]) -> int:
+        taken, skipped = 0, False
+        for w in windows:
+            if low_complexity_long(w):
+                taken, skipped = taken + (2 if skipped else 1), False
+            elif skipped:
+                break
+            else:
+                skipped = True
+        return taken * window
+
+    n = len(seq)
+    start = cut([seq[i : i + window] for i in range(0, n - window + 1, window)])
+    end = n - cut([seq[i - window : i] for i in range(n, window - 1, -window)])
+    return seq[start:end] if start < end else ""
+
+
+def parts(seq: Column, window: int, least: int | None = None) -> Column:
+    """array<struct<start, end>> of complex_parts; null for null."""
+
+    @F.pandas_udf("array<struct<start: int, end: int>>")
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else [{"start": a, "end": z} for a, z in complex_parts(x, window, least)] for x in s], dtype="object")
+
+    return run(seq)
+
+
+def trimmed_ends(seq: Column, window: int) -> Column:
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else complex_ends(x, window) for x in s], dtype="object")
+
+    return run(seq)

@@ -26,7 +26,12 @@ def solid(reads: DataFrame) -> DataFrame:
 CX = ", x AS (SELECT ckmer, unnest(['A', 'C', 'G', 'T']) AS base FROM spectrum)"
 
 
-@query(KM + CX + f", e AS (SELECT ckmer, base, substring(ckmer, 2) || base AS m FROM x), f AS (SELECT ckmer, base, least(m, {RCS('m')}) AS nb FROM e) SELECT f.ckmer AS kmer, base, nb AS neighbour, cov FROM f JOIN spectrum s ON s.ckmer = nb")
+def made_sql(made: str, columns: str, where: str = "") -> str:
+    """Canonical k-mers joined to those that `made` makes of them; strands and results are materialized."""
+    return KM + CX + f", e AS MATERIALIZED (SELECT ckmer, base, {made} AS m FROM x), f AS MATERIALIZED (SELECT ckmer, base, least(m, {RCS('m')}) AS nb FROM e{where}), o AS MATERIALIZED (SELECT {columns} FROM f JOIN spectrum s ON s.ckmer = nb) SELECT * FROM o"
+
+
+@query(made_sql("substring(ckmer, 2) || base", "f.ckmer AS kmer, base, nb AS neighbour, cov"))
 def canonical_successors(reads):
     n = X.canonical_neighbours(kmers.code_spectrum(reads, K), K)
     return kmers.decoded(n.withColumn("base", F.substring(F.lit("ACGT"), C("base").cast("int") + 1, F.lit(1))), K, code="kmer", neighbour="neighbour")
@@ -37,12 +42,12 @@ def max_cov_canonical_predecessor(reads):
     return kmers.decoded(X.best_step(X.canonical_neighbours(kmers.code_spectrum(reads, K), K, forward=False)), K, code="kmer", best="best")
 
 
-@query(KM + CX + f", e AS (SELECT ckmer, left(ckmer, {K - 1}) || base AS m FROM x), f AS (SELECT ckmer, least(m, {RCS('m')}) AS v FROM e WHERE m <> ckmer) SELECT f.ckmer AS kmer, v AS variant, cov FROM f JOIN spectrum s ON s.ckmer = v")
+@query(made_sql(f"left(ckmer, {K - 1}) || base", "f.ckmer AS kmer, nb AS variant, cov", " WHERE m <> ckmer"))
 def canonical_right_variants(reads):
     return kmers.decoded(X.canonical_variants(kmers.code_spectrum(reads, K), K), K, code="kmer", variant="variant")
 
 
-@query(KM + CX + f", e AS (SELECT ckmer, base || substring(ckmer, 2) AS m FROM x), f AS (SELECT ckmer, least(m, {RCS('m')}) AS v FROM e WHERE m <> ckmer) SELECT f.ckmer AS kmer, v AS variant, cov FROM f JOIN spectrum s ON s.ckmer = v")
+@query(made_sql("base || substring(ckmer, 2)", "f.ckmer AS kmer, nb AS variant, cov", " WHERE m <> ckmer"))
 def canonical_left_variants(reads):
     return kmers.decoded(X.canonical_variants(kmers.code_spectrum(reads, K), K, right=False), K, code="kmer", variant="variant")
 

@@ -311,12 +311,16 @@ def named(rows: DataFrame) -> DataFrame:
     return kmers.decoded(rows.withColumn("base", letter), K, code="kmer", neighbour="neighbour")
 
 
-@query(SPEC_F + "SELECT x.kmer, base, fs.kmer AS neighbour, cov FROM x JOIN fs ON fs.kmer = substring(x.kmer, 2) || base")
+#: k-mers with the stems that they share with neighbours and variants, computed once; results are materialized.
+STEMS = f"WITH {DUCK_KMERS}, fs AS MATERIALIZED (SELECT kmer, count(*) AS cov, left(kmer, {K - 1}) AS l, substring(kmer, 2) AS r FROM kmers GROUP BY kmer), "
+
+
+@query(STEMS + "o AS MATERIALIZED (SELECT a.kmer, right(b.kmer, 1) AS base, b.kmer AS neighbour, b.cov FROM fs a JOIN fs b ON a.r = b.l) SELECT * FROM o")
 def kmer_successors(reads):
     return named(kmers.neighbours(kmers.code_spectrum(reads, K, stranded=True), K))
 
 
-@query(SPEC_F + f"SELECT x.kmer, base, fs.kmer AS neighbour, cov FROM x JOIN fs ON fs.kmer = base || substring(x.kmer, 1, {K - 1})")
+@query(STEMS + "o AS MATERIALIZED (SELECT a.kmer, left(b.kmer, 1) AS base, b.kmer AS neighbour, b.cov FROM fs a JOIN fs b ON a.l = b.r) SELECT * FROM o")
 def kmer_predecessors(reads):
     return named(kmers.neighbours(kmers.code_spectrum(reads, K, stranded=True), K, forward=False))
 
@@ -326,12 +330,12 @@ def branch_degree(reads):
     return kmers.decoded(kmers.degrees(kmers.code_spectrum(reads, K, stranded=True), K), K, code="kmer")
 
 
-@query(SPEC_F + f"SELECT a.kmer, b.kmer AS variant, b.cov FROM fs a JOIN fs b ON substring(a.kmer, 1, {K - 1}) = substring(b.kmer, 1, {K - 1}) AND a.kmer <> b.kmer")
+@query(STEMS + "o AS MATERIALIZED (SELECT a.kmer, b.kmer AS variant, b.cov FROM fs a JOIN fs b ON a.l = b.l WHERE a.kmer <> b.kmer) SELECT * FROM o")
 def right_variants(reads):
     return kmers.decoded(kmers.variants(kmers.code_spectrum(reads, K, stranded=True), K), K, code="kmer", variant="variant")
 
 
-@query(SPEC_F + "SELECT a.kmer, b.kmer AS variant, b.cov FROM fs a JOIN fs b ON substring(a.kmer, 2) = substring(b.kmer, 2) AND a.kmer <> b.kmer")
+@query(STEMS + "o AS MATERIALIZED (SELECT a.kmer, b.kmer AS variant, b.cov FROM fs a JOIN fs b ON a.r = b.r WHERE a.kmer <> b.kmer) SELECT * FROM o")
 def left_variants(reads):
     return kmers.decoded(kmers.variants(kmers.code_spectrum(reads, K, stranded=True), K, right=False), K, code="kmer", variant="variant")
 

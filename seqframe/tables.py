@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +60,7 @@ class Tables:
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
     def tidy(self) -> None:
-        """Lets the context cleaner remove shuffle files whose rows have been written out."""
+        """Lets the context cleaner remove shuffle files whose rows have been written out, and gives it a moment to do so."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
