@@ -13,12 +13,12 @@ from .queries import DUCK_PAIRS, KM, PAIR_DISTANCE, RC, query
 
 C = F.col
 RCS = RC.format
-#: Stranded k-mers of a coverage of three or more, and the steps between them.
-SOLID = f"WITH {DUCK_KMERS}, fs AS MATERIALIZED (SELECT kmer, count(*) AS cov FROM kmers GROUP BY kmer HAVING count(*) >= 3), st AS MATERIALIZED (SELECT a.kmer, a.cov AS own, b.kmer AS nb, b.cov FROM fs a JOIN fs b ON substring(a.kmer, 2) = left(b.kmer, {K - 1}))"
+#: Stranded k-mers, and the steps between them.
+STEPS = f"WITH {DUCK_KMERS}, fs AS MATERIALIZED (SELECT kmer, count(*) AS cov FROM kmers GROUP BY kmer), st AS MATERIALIZED (SELECT a.kmer, a.cov AS own, b.kmer AS nb, b.cov FROM fs a JOIN fs b ON substring(a.kmer, 2) = left(b.kmer, {K - 1}))"
 
 
-def solid(reads: DataFrame) -> DataFrame:
-    return kmers.code_spectrum(reads, K, stranded=True).where(C("cov") >= 3)
+def stranded(reads: DataFrame) -> DataFrame:
+    return kmers.code_spectrum(reads, K, stranded=True)
 
 
 # Canonical neighbours.
@@ -52,17 +52,17 @@ def canonical_left_variants(reads):
     return kmers.decoded(X.canonical_variants(kmers.code_spectrum(reads, K), K, right=False), K, code="kmer", variant="variant")
 
 
-@query(SOLID + ", ok AS (SELECT kmer FROM kmers GROUP BY kmer HAVING min(read_id) <> max(read_id)) SELECT kmer, nb AS neighbour, cov FROM st WHERE nb IN (SELECT kmer FROM ok)")
+@query(STEPS + ", ok AS (SELECT kmer FROM kmers GROUP BY kmer HAVING min(read_id) <> max(read_id)) SELECT kmer, nb AS neighbour, cov FROM st WHERE nb IN (SELECT kmer FROM ok)")
 def restricted_successors(reads):
     """Steps to k-mers that two reads hold."""
     rows = codes.kmer_codes(reads, K, text=False).select("read_id", "code")
-    steps = X.within(kmers.neighbours(solid(reads), K), kmers.held_elsewhere(rows, ["code"]))
+    steps = X.within(kmers.neighbours(stranded(reads), K), kmers.held_elsewhere(rows, ["code"]))
     return kmers.decoded(steps.select("code", "neighbour", "cov"), K, code="kmer", neighbour="neighbour")
 
 
-@query(SOLID + " SELECT nb AS kmer, arg_max(kmer, (own, kmer)) AS best, max(own) AS cov FROM st GROUP BY nb")
+@query(STEPS + " SELECT nb AS kmer, arg_max(kmer, (own, kmer)) AS best, max(own) AS cov FROM st GROUP BY nb")
 def max_cov_predecessor(reads):
-    return kmers.decoded(X.best_step(kmers.neighbours(solid(reads), K, forward=False)), K, code="kmer", best="best")
+    return kmers.decoded(X.best_step(kmers.neighbours(stranded(reads), K, forward=False)), K, code="kmer", best="best")
 
 
 # Lookahead, depth and extension.
@@ -71,65 +71,67 @@ AHEAD = ", f1 AS (SELECT kmer, cov AS a FROM fs), f2 AS (SELECT fs.kmer, least(a
 GREEDY = AHEAD + ", nx AS MATERIALIZED (SELECT st.kmer AS vertex, arg_max(nb, (a, cov, translate(nb, 'ACGT', 'TGCA'))) AS next FROM st JOIN f3 ON f3.kmer = nb GROUP BY st.kmer)"
 
 
-@query(SOLID + AHEAD + " SELECT kmer, a AS ahead FROM f3")
+@query(STEPS + AHEAD + " SELECT kmer, a AS ahead FROM f3")
 def lookahead_coverage(reads):
-    return kmers.decoded(X.lookahead(solid(reads), K, 3), K, code="kmer")
+    return kmers.decoded(X.lookahead(stranded(reads), K, 3), K, code="kmer")
 
 
-@query(SOLID + GREEDY + " SELECT vertex AS kmer, next FROM nx")
+@query(STEPS + GREEDY + " SELECT vertex AS kmer, next FROM nx")
 def greedy_successor(reads):
-    return kmers.decoded(X.greedy_steps(solid(reads), K, 3), K, vertex="kmer", next="next")
+    return kmers.decoded(X.greedy_steps(stranded(reads), K, 3), K, vertex="kmer", next="next")
 
 
 WALK = ", wk AS (SELECT kmer AS vertex, [kmer] AS path FROM fs UNION ALL SELECT w.vertex, list_append(path, next) FROM wk w JOIN nx ON nx.vertex = w.path[-1] WHERE len(path) <= {bound} AND NOT list_contains(path, next)), wl AS (SELECT vertex, arg_max(path, len(path)) AS path FROM wk GROUP BY vertex)"
 
 
-@query((SOLID + GREEDY + WALK.format(bound=8) + " SELECT vertex AS kmer, vertex || array_to_string(list_transform(path[2:], lambda x: right(x, 1)), '') AS seq FROM wl").replace("WITH ", "WITH RECURSIVE ", 1))
+@query((STEPS + GREEDY + WALK.format(bound=8) + " SELECT vertex AS kmer, vertex || array_to_string(list_transform(path[2:], lambda x: right(x, 1)), '') AS seq FROM wl").replace("WITH ", "WITH RECURSIVE ", 1))
 def greedy_extension(reads):
-    return kmers.decoded(X.spelled(X.greedy_extension(solid(reads), K, 3, 8), K), K, code="kmer")
+    return kmers.decoded(X.spelled(X.greedy_extension(stranded(reads), K, 3, 8), K), K, code="kmer")
 
 
 DEEP = ", d2 AS (SELECT DISTINCT kmer FROM st), d3 AS (SELECT DISTINCT st.kmer FROM st JOIN d2 ON d2.kmer = nb), d4 AS MATERIALIZED (SELECT DISTINCT st.kmer FROM st JOIN d3 ON d3.kmer = nb)"
 DEEP_LEFT = ", e2 AS (SELECT DISTINCT nb AS kmer FROM st), e3 AS (SELECT DISTINCT nb AS kmer FROM st JOIN e2 ON e2.kmer = st.kmer), e4 AS MATERIALIZED (SELECT DISTINCT nb AS kmer FROM st JOIN e3 ON e3.kmer = st.kmer)"
 
 
-@query(SOLID + DEEP + " SELECT kmer FROM d4")
+@query(STEPS + DEEP + " SELECT kmer FROM d4")
 def depth_right(reads):
-    return kmers.decoded(X.with_depth(solid(reads), K, 4), K, code="kmer")
+    return kmers.decoded(X.with_depth(stranded(reads), K, 4), K, code="kmer")
 
 
-@query(SOLID + DEEP_LEFT + " SELECT kmer FROM e4")
+@query(STEPS + DEEP_LEFT + " SELECT kmer FROM e4")
 def depth_left(reads):
-    return kmers.decoded(X.with_depth(solid(reads), K, 4, forward=False), K, code="kmer")
+    return kmers.decoded(X.with_depth(stranded(reads), K, 4, forward=False), K, code="kmer")
 
 
 PLAIN = DEEP_LEFT + ", one AS (SELECT kmer, min(nb) AS nb FROM st GROUP BY kmer HAVING count(*) = 1), bk AS (SELECT nb, count(*) AS n FROM st JOIN e4 USING (kmer) GROUP BY nb), nx AS MATERIALIZED (SELECT one.kmer AS vertex, one.nb AS next FROM one LEFT JOIN e4 USING (kmer) LEFT JOIN bk ON bk.nb = one.nb WHERE coalesce(bk.n, 0) - CASE WHEN e4.kmer IS NULL THEN 0 ELSE 1 END = 0)"
 
 
-@query(SOLID + PLAIN + " SELECT vertex AS kmer, next FROM nx")
+@query(STEPS + PLAIN + " SELECT vertex AS kmer, next FROM nx")
 def unambiguous_steps(reads):
-    return kmers.decoded(X.plain_steps(solid(reads), K, 4), K, vertex="kmer", next="next")
+    return kmers.decoded(X.plain_steps(stranded(reads), K, 4), K, vertex="kmer", next="next")
 
 
-@query((SOLID + PLAIN + WALK.format(bound=16) + " SELECT vertex AS kmer, vertex || array_to_string(list_transform(path[2:], lambda x: right(x, 1)), '') AS seq FROM wl").replace("WITH ", "WITH RECURSIVE ", 1))
+@query((STEPS + PLAIN + WALK.format(bound=16) + " SELECT vertex AS kmer, vertex || array_to_string(list_transform(path[2:], lambda x: right(x, 1)), '') AS seq FROM wl").replace("WITH ", "WITH RECURSIVE ", 1))
 def naive_extension(reads):
     """Unambiguous extension by up to 16 bases."""
-    return kmers.decoded(X.spelled(X.extended(solid(reads), X.plain_steps(solid(reads), K, 4), 16), K), K, code="kmer")
+    return kmers.decoded(X.spelled(X.extended(stranded(reads), X.plain_steps(stranded(reads), K, 4), 16), K), K, code="kmer")
 
 
 @query(
-    SOLID + DEEP + DEEP_LEFT + f", rs AS (SELECT left(kmer, {K - 1}) AS stem, min(kmer) AS lo, max(kmer) AS hi FROM d4 GROUP BY 1), ls AS (SELECT substring(kmer, 2) AS stem, min(kmer) AS lo, max(kmer) AS hi FROM e4 GROUP BY 1), "
+    STEPS + DEEP + DEEP_LEFT + f", rs AS (SELECT left(kmer, {K - 1}) AS stem, min(kmer) AS lo, max(kmer) AS hi FROM d4 GROUP BY 1), ls AS (SELECT substring(kmer, 2) AS stem, min(kmer) AS lo, max(kmer) AS hi FROM e4 GROUP BY 1), "
     f"b AS (SELECT read_id FROM kmers JOIN rs ON stem = left(kmer, {K - 1}) WHERE lo <> kmer OR hi <> kmer UNION ALL SELECT read_id FROM kmers JOIN ls ON stem = substring(kmer, 2) WHERE lo <> kmer OR hi <> kmer), n AS (SELECT read_id, count(*) AS n FROM b GROUP BY read_id) "
     "SELECT read_id, coalesce(n, 0) AS n_branches, n IS NULL AS branch_free FROM (SELECT DISTINCT read_id FROM kmers) LEFT JOIN n USING (read_id)"
 )
 def branch_free_reads(reads):
-    return X.branching(reads, solid(reads), K, 4)
+    return X.branching(reads, stranded(reads), K, 4)
 
 
 # Mates and gaps: the first and the last two fifths of a read, of which neither overlaps the other.
 
 ENDS = f"en AS (SELECT read_id, left(seq, CAST(floor(len * 0.4) AS BIGINT)) AS l, right(seq, CAST(floor(len * 0.4) AS BIGINT)) AS r FROM reads WHERE floor(len * 0.4) >= {K})"
-JOIN = f", {ENDS}, lw AS (SELECT vertex, path FROM wl SEMI JOIN (SELECT right(l, {K}) AS vertex FROM en) USING (vertex)), cn AS (SELECT en.*, CASE WHEN list_contains(path, left(r, {K})) THEN array_to_string(list_transform(path[2:list_position(path, left(r, {K}))], lambda x: right(x, 1)), '') END AS b FROM en LEFT JOIN lw ON vertex = right(l, {K}))"
+#: Walks from the ends alone.
+FROM_ENDS = f", {ENDS}" + WALK.format(bound=64).replace("FROM fs", f"FROM (SELECT DISTINCT right(l, {K}) AS kmer FROM en)")
+JOIN = f", cn AS (SELECT en.*, CASE WHEN list_contains(path, left(r, {K})) THEN array_to_string(list_transform(path[2:list_position(path, left(r, {K}))], lambda x: right(x, 1)), '') END AS b FROM en LEFT JOIN wl ON vertex = right(l, {K}))"
 
 
 def ends_of(reads: DataFrame) -> DataFrame:
@@ -137,19 +139,19 @@ def ends_of(reads: DataFrame) -> DataFrame:
     return reads.where(n >= K).select("read_id", F.left("seq", n).alias("left"), F.right("seq", n).alias("right"))
 
 
-@query((SOLID + GREEDY + WALK.format(bound=64) + JOIN + " SELECT read_id, b AS between FROM cn").replace("WITH ", "WITH RECURSIVE ", 1))
+@query((STEPS + GREEDY + FROM_ENDS + JOIN + " SELECT read_id, b AS between FROM cn").replace("WITH ", "WITH RECURSIVE ", 1))
 def connected_ends(reads):
-    return X.connect(ends_of(reads), solid(reads), K, 3, 64).select("read_id", "between")
+    return X.connect(ends_of(reads), stranded(reads), K, 3, 64).select("read_id", "between")
 
 
 @query(
     (
-        SOLID + GREEDY + WALK.format(bound=64) + JOIN + f", o AS (SELECT *, list_max(list_filter(range(5, len(l) + 1), lambda n: right(l, n) = left(r, n))) AS n FROM cn), s AS (SELECT read_id, CASE WHEN contains(l, r) THEN l WHEN contains(r, l) THEN r ELSE l || substring(r, n + 1) END AS over, l || b || substring(r, {K + 1}) AS path FROM o) "
+        STEPS + GREEDY + FROM_ENDS + JOIN + f", o AS (SELECT *, list_max(list_filter(range(5, len(l) + 1), lambda n: right(l, n) = left(r, n))) AS n FROM cn), s AS (SELECT read_id, CASE WHEN contains(l, r) THEN l WHEN contains(r, l) THEN r ELSE l || substring(r, n + 1) END AS over, l || b || substring(r, {K + 1}) AS path FROM o) "
         "SELECT read_id, coalesce(over, path) AS seq, CASE WHEN over IS NOT NULL THEN 'overlap' WHEN path IS NOT NULL THEN 'path' END AS how FROM s"
     ).replace("WITH ", "WITH RECURSIVE ", 1)
 )
 def joined_mates(reads):
-    return X.join_mates(ends_of(reads), solid(reads), K, 5, 3, 64).select("read_id", "seq", "how")
+    return X.join_mates(ends_of(reads), stranded(reads), K, 5, 3, 64).select("read_id", "seq", "how")
 
 
 # Pairs along reads.

@@ -11,6 +11,7 @@ from ..functions.codes import MAX_K, check, decode, encode, kmer_codes, mirrored
 from ..tables import Tables
 from .kmers import covered, neighbours, runs
 from .layout import walks
+from .walking import walks_from
 
 C = F.col
 
@@ -118,12 +119,14 @@ def branching(reads: DataFrame, spec: DataFrame, k: int, tip: int) -> DataFrame:
 
 def connect(ends: DataFrame, spec: DataFrame, k: int, depth: int, bound: int) -> DataFrame:
     """ends (id, left, right) are sequences of at least k bases. Adds `between`: the bases that lead from the last k-mer of the
-    left one to the first k-mer of the right one by greedy steps, at most `bound` of them; null if they don't. The joined
+    left one to the first k-mer of the right one by greedy steps, at most `bound` of them; null if they don't. Only ends are walked from. The joined
     sequence is left + between + the right one behind its first k-mer."""
     check(k)
-    paths = greedy_extension(spec, k, depth, bound)
+    tables = Tables(ends.sparkSession, "connect")
     met = ends.withColumn("_code", encode(F.right("left", F.lit(k)))).withColumn("_to", encode(F.left("right", F.lit(k))))
-    met = met.join(paths.select(C("code").alias("_code"), C("path").alias("_path")), "_code", "left")
+    starts = met.select(C("_code").alias("id"), C("_code").alias("code")).where(C("code").isNotNull()).distinct()
+    paths = walks_from(starts, greedy_steps(spec, k, depth), bound, tables)
+    met = met.join(paths.select(C("id").alias("_code"), C("path").alias("_path")), "_code", "left")
     n = F.array_position("_path", C("_to"))
     last = lambda c: F.substring(F.lit("ACGT"), c.bitwiseAND(F.lit(3).cast("long")).cast("int") + 1, F.lit(1))
     bases = F.array_join(F.transform(F.slice("_path", F.lit(2), F.greatest(F.lit(0), n.cast("int") - 1)), last), "")
