@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions import codes, complexity
 from .layout_queries import BE, DUCK_SEQ, RCD, best, sequences_of
-from .operators import guided, kmers, layout, overlaps, paths, screening
+from .operators import correction, guided, kmers, layout, overlaps, paths, screening
 from .operators.intervals import overlap_join
 from .plans.fixtures import K
 from .queries import PAF, PAIR_DISTANCE, READ, WINDOWS, query
@@ -151,3 +151,36 @@ def stitched_backbones(paf):
     """Middle parts are cut on both sides."""
     edges = best(paf)
     return layout.stitched(paths.backbones(edges), edges, sequences_of(paf))
+
+
+# Correction with insertions and deletions.
+
+LIMITS = {"indel": 2, "identity": 0.8, "most": 60}
+
+
+def strands(reads: DataFrame) -> DataFrame:
+    return correction.both_strands(kmers.code_spectrum(reads, K), K)
+
+
+@query()
+def corrected_gaps(reads):
+    return correction.correct(reads.select("read_id", "seq"), strands(reads), K, 2, least=3, **LIMITS)
+
+
+@query()
+def corrected_by_falls(reads):
+    """Each read by its own threshold: where its coverages fall by half."""
+    return correction.correct_reads(reads.select("read_id", "seq"), strands(reads), K, 2, 0.5, 0.1, **LIMITS)
+
+
+@query()
+def corrected_pairs(reads):
+    """The two halves of each read as mates."""
+    n = F.floor(C("len") / 2).cast("int")
+    pairs = reads.select("name", F.left("seq", n).alias("left"), F.substring(C("seq"), n + 1, C("len")).alias("right"))
+    return correction.correct_pairs(pairs, strands(reads), K, 2, 0.5, 0.1, **LIMITS)
+
+
+@query()
+def corrected_long_reads(reads):
+    return correction.correct_long(reads.select("read_id", "seq"), strands(reads), K, 2, 200, 0.5, 0.1, **LIMITS)
