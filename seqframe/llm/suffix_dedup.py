@@ -338,9 +338,10 @@ def text_class(text_col: str = "text"):
 
 
 def distinct_texts(docs: DataFrame, tables: Tables, length: int, text_col: str = "text") -> DataFrame:
-    """(cls, text, copies): the distinct texts of at least `length` bytes; shorter ones hold no string of it."""
+    """(cls, text, copies): the distinct texts of at least `length` bytes; shorter ones hold no string of it. They lie in buckets, so
+    that anchors and runs come to the texts."""
     long = docs.where(F.octet_length(text_col) >= length).select(text_class(text_col).alias("cls"), F.col(text_col).alias("text"))
-    texts = tables.keep(long.groupBy("cls").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), "texts")
+    texts = tables.keep_bucketed(long.groupBy("cls").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), "texts", "cls")
     tables.tidy()
     return texts
 
