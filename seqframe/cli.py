@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--forward", help="single reads")
     p.add_argument("--reverse", help="single reads of the other strand")
     p.add_argument("--long", help="long reads")
+    p.add_argument("--layout", action="store_true", help="lay long reads out by their overlaps")
     p.add_argument("--pool", help="a manifest: name and files of each sample")
     p.add_argument("--out", required=True, help="folder for the results")
     p.add_argument("--k", default="25", help="a size, or a list such as 25,27,30-40:5 of which the best is taken")
@@ -27,6 +29,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--length", type=int, default=200, help="least length of a transcript")
     p.add_argument("--quality", type=float, default=0.0, help="least mean quality of a read")
     p.add_argument("--stranded", action="store_true")
+    p.add_argument("--rounds", type=int, default=2, help="extensions of a fragment by pairs to either side, at most")
+    p.add_argument("--unmended", action="store_true", help="join mates without mending them")
     p.add_argument("--pacbio", action="store_true", help="long reads of high accuracy")
     p.add_argument("--uracil", action="store_true", help="write U for T")
     p.add_argument("--prefix", default="sf_", help="before the names of transcripts")
@@ -42,7 +46,7 @@ def settings(args: argparse.Namespace, reads: DataFrame) -> Config:
     base = (PACBIO if args.pacbio else LONG_READS) if args.long else Config()
     sizes = fastx.kmer_sizes(args.k)
     k = sizes[0] if len(sizes) == 1 else (choose_k(reads, sizes).where("chosen").first() or {"k": sizes[0]})["k"]
-    return Config(k, base.least_coverage if args.coverage is None else args.coverage, args.length)
+    return Config(k, base.least_coverage if args.coverage is None else args.coverage, args.length, args.rounds, not args.unmended)
 
 
 def mates(spark: SparkSession, left: str, right: str, least: float) -> DataFrame:
@@ -51,29 +55,46 @@ def mates(spark: SparkSession, left: str, right: str, least: float) -> DataFrame
     return fastx.read_pairs(l, r).select("name", F.upper("left").alias("left"), F.upper("right").alias("right"))
 
 
+def samples_of(spark: SparkSession, path: str, least: float) -> dict[str, tuple[DataFrame | None, DataFrame | None]]:
+    """Mates and single reads of each sample of a manifest, from all of its rows."""
+    rows = fastx.read_manifest(spark, path).collect()  # a row for each file
+    pairs, singles = {}, {}
+    lines: dict[tuple[str, int], dict[str, str]] = {}
+    for r in rows:
+        lines.setdefault((r["sample"], r["row"]), {})[r["column"]] = r["path"]
+    for (sample, _), files in lines.items():
+        if ("left" in files) != ("right" in files):
+            raise ValueError(f"{sample}: one mate's file only")
+        if "left" in files:
+            pairs.setdefault(sample, []).append(mates(spark, files["left"], files["right"], least))
+        for column, orientation in (("sef", "forward"), ("ser", "reverse")):
+            if column in files:
+                singles.setdefault(sample, []).append(fastx.read_reads(spark, {orientation: files[column]}, least).select(F.upper("seq").alias("seq")))
+    whole = lambda parts: functools.reduce(DataFrame.union, parts) if parts else None
+    return {s: (whole(pairs.get(s)), whole(singles.get(s))) for s in dict.fromkeys(r["sample"] for r in rows)}
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     """The transcripts that the arguments ask for."""
     if args.pool:
-        rows = fastx.read_manifest(spark, args.pool).collect()  # a row for each file
-        samples = {}
-        for sample in dict.fromkeys(r["sample"] for r in rows):
-            files = {r["column"]: r["path"] for r in rows if r["sample"] == sample}
-            turn = {"left": "forward", "sef": "forward", "right": "reverse", "ser": "reverse"}
-            parts = [fastx.read_reads(spark, {turn[c]: p}, args.quality).select("seq") for c, p in files.items()]
-            samples[sample] = numbered(parts[0] if len(parts) == 1 else parts[0].union(parts[1]))
-        return stages.pooled(samples, settings(args, next(iter(samples.values()))), args.stranded)
-    if args.left and args.right:
+        samples = samples_of(spark, args.pool, args.quality)
+        pairs, singles = next(iter(samples.values()))
+        return stages.pooled(samples, settings(args, pairs.select(F.col("left").alias("seq")) if singles is None else singles), args.stranded)
+    if bool(args.left) != bool(args.right):
+        raise SystemExit("give --left and --right together")
+    files = {k: p for k, p in (("forward", args.forward), ("reverse", args.reverse)) if p}
+    singles = fastx.read_reads(spark, files, args.quality).select(F.upper("seq").alias("seq")) if files else None
+    if args.left:
         pairs = mates(spark, args.left, args.right, args.quality)
-        return stages.paired_end(pairs, settings(args, pairs.select(F.col("left").alias("seq"))), args.stranded)
+        return stages.paired_end(pairs, settings(args, pairs.select(F.col("left").alias("seq"))), args.stranded, singles)
     if args.long:
         reads = numbered(fastx.read_reads(spark, {"forward": args.long}, args.quality))
         config = settings(args, reads)
-        return stages.single_end(stages.long_reads(reads, config), config, args.stranded)
-    files = {k: p for k, p in (("forward", args.forward), ("reverse", args.reverse)) if p}
-    if not files:
+        found = stages.long_reads(reads, config)
+        return stages.long_read_layout(found, least=config.least_length) if args.layout else stages.single_end(found, config, args.stranded)
+    if singles is None:
         raise SystemExit("give --left and --right, --forward or --reverse, --long, or --pool")
-    reads = numbered(fastx.read_reads(spark, files, args.quality))
-    return stages.single_end(reads, settings(args, reads), args.stranded)
+    return stages.single_end(singles, settings(args, singles), args.stranded)
 
 
 def main(argv: list[str] | None = None) -> None:

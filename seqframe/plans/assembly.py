@@ -18,6 +18,9 @@ class Config:
     k: int = 25
     least_coverage: int = 2
     least_length: int = 200
+    #: Extensions of a fragment by pairs to either side, at most; whether mates are mended before they are joined.
+    rounds: int = 2
+    mend: bool = True
 
 
 LONG_READS = Config(k=25, least_coverage=2, least_length=200)

@@ -81,12 +81,14 @@ def read_reads(spark: SparkSession, paths: dict[str, str], least_mean: float = 0
 
 
 def read_pairs(left: DataFrame, right: DataFrame, left_rc: bool = False, right_rc: bool = True) -> DataFrame:
-    """(name, left, right): mates by name; either side may be turned to the other strand."""
+    """(name, left, right): mates by name; either side may be turned to the other strand. A name that only one side has is an error."""
     from ..functions.sequence import reverse_complement as rc
 
     l = left.select("name", (rc(C("seq")) if left_rc else C("seq")).alias("left"))
     r = right.select("name", (rc(C("seq")) if right_rc else C("seq")).alias("right"))
-    return l.join(r, "name")
+    met = l.withColumn("_l", F.lit(True)).join(r.withColumn("_r", F.lit(True)), "name", "full")
+    alone = F.raise_error(F.concat(F.lit("no mate of "), F.coalesce("name", F.lit("a read without a name"))))
+    return met.select("name", F.when(C("_l") & C("_r"), C("left")).otherwise(alone).alias("left"), F.when(C("_l") & C("_r"), C("right")).otherwise(alone).alias("right"))
 
 
 def pair_segments(left: DataFrame, right: DataFrame, k: int, orientation: str = "FR", least: int | None = None) -> DataFrame:
@@ -127,20 +129,20 @@ def write_fasta(df: DataFrame, path: str, uracil: bool = False, prefix: str = ""
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(sample, column, path) of a pool manifest: a header `#name left right sef ser`, then white-space separated rows. Rows of
+    """(sample, column, path, row) of a pool manifest: a header `#name left right sef ser`, then white-space separated rows. Rows of
     one name belong together. Without a header the columns are name, left and right."""
     lines = [r["value"] for r in spark.read.text(path).where(F.trim("value") != "").collect()]  # a line for each file
     header = lines[0].lstrip("#").split() if lines and lines[0].startswith("#") else ["name", "left", "right"]
     if bad := set(header) - {"name", "left", "right", "sef", "ser"}:
         raise ValueError(f"unknown columns: {sorted(bad)}")
     out = []
-    for x in lines[lines[0].startswith("#") if lines else 0 :]:
+    for i, x in enumerate(lines[lines[0].startswith("#") if lines else 0 :]):
         values = x.split()
         if len(values) != len(header):
             raise ValueError(f"{len(values)} values for {len(header)} columns: {x}")
         row = dict(zip(header, values, strict=True))
-        out.extend((row["name"], c, p) for c, p in row.items() if c != "name")
-    return spark.createDataFrame(out, "sample string, column string, path string")
+        out.extend((row["name"], c, p, i) for c, p in row.items() if c != "name")
+    return spark.createDataFrame(out, "sample string, column string, path string, row int")
 
 
 def kmer_sizes(grammar: str) -> list[int]:
