@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from .functions import codes, complexity
 from .layout_queries import BE, DUCK_SEQ, RCD, best, sequences_of
-from .operators import correction, guided, kmers, layout, overlaps, paths, screening
+from .operators import correction, guided, kmers, layout, paths, screening, seeding
 from .operators.intervals import overlap_join
+from .plans import stages
 from .plans.fixtures import K
 from .queries import PAF, PAIR_DISTANCE, READ, WINDOWS, query
 
@@ -184,3 +185,17 @@ def corrected_pairs(reads):
 @query()
 def corrected_long_reads(reads):
     return correction.correct_long(reads.select("read_id", "seq"), strands(reads), K, 2, 200, 0.5, 0.1, **LIMITS)
+
+
+# Overlaps from the sequences themselves.
+
+
+@query()
+def seeded_overlaps(reads):
+    return seeding.seeded_overlaps(reads.select("name", "seq"), 15, 5, 200, 500, 3, 60)
+
+
+@query()
+def long_read_layout(reads):
+    """Reads laid out by their own overlaps."""
+    return stages.long_read_layout(reads.select("name", "seq"), 15, 5, 60, 20).select("name", "seq", "n_reads", F.array_join("path", ",").alias("path"))
