@@ -20,15 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, documents, freeing
+from .common import Tables, by_size, documents, freeing
 
 ORDER = 5
 #: What comes before a text, and what ends each word of it. White space can't be part of a word.
 START, END = "\n", " "
 #: Bytes of text in a block of documents, about: n-grams of a block are asked for once.
 BLOCK_BYTES = 64 << 20
-#: Bytes of text that are held as numbers at a time, about.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that are held as numbers at a time, about, and n-grams whose counts a task holds.
+SLICE_BYTES, HELD = 4 << 20, 500_000
 #: Numbers below this are ranked by a table, others by sorting.
 TABLE = 1 << 24
 #: Parts that a language's rows are dealt into when they meet their threshold.
@@ -43,20 +43,6 @@ def lines(texts: pa.Array) -> list[str]:
     return [t + END if t else "" for t in words.to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of SLICE_BYTES of text, about; at least one row each."""
-    for b in batches:
-        sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
-        a = 0
-        while a < b.num_rows:
-            z, total = a, 0
-            while z < b.num_rows and (z == a or total + sizes[z] <= SLICE_BYTES):
-                total += int(sizes[z])
-                z += 1
-            yield b.slice(a, z - a)
-            a = z
-
-
 def ranked(x: np.ndarray) -> tuple[int, np.ndarray]:
     """How many distinct numbers there are, and for each number how many distinct ones are smaller."""
     top = int(x.max()) + 1 if len(x) else 0
@@ -97,11 +83,11 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         return pa.record_batch([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
 
-    for b in slices(batches):
+    for b in by_size(batches, SLICE_BYTES):
         grams, ranks = grams_of(lines(b.column("text").cast(pa.string())))
         for g, n in zip(grams, np.bincount(ranks, minlength=len(grams)).tolist(), strict=True):
             total[g] += n
-        if len(total) > 2_000_000:
+        if len(total) > HELD:
             yield out()
             total.clear()
     yield out()
@@ -162,40 +148,39 @@ def resolve(needed: DataFrame, model: Model, tables: Tables) -> DataFrame:
     return lower.select("gram", F.ln("p").alias("logp"))
 
 
-BLOCKS = "block long, kind int, gram string, number int, doc_id long, lang string, n_chars long, texts binary"
+BLOCKS = "block long, kind int, gram string, number int, doc_id long, lang string, n_chars long, texts binary, needs binary"
 
 
 @freeing
 def make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cuts a task's documents into blocks of slices. A block is: the texts of each slice (kind 1: a row for a slice), its
-    documents in the order of their texts (kind 2, by number), and the distinct n-grams that its texts need (kind 0, numbered
-    in ascending order)."""
+    """Cuts a task's documents into blocks of slices. A block is: each slice's texts and the numbers of the distinct n-grams that
+    they need (kind 1: a row for a slice), its documents in the order of their texts (kind 2, by number), and its distinct
+    n-grams, numbered as they come (kind 0)."""
     task, block = TaskContext.get().partitionId(), 0
-    needed: set[str] = set()
+    number: dict[str, int] = {}
     count = size = docs = 0
-    for part in slices(batches):
-        texts = lines(part.column("text").cast(pa.string()))
-        needed.update(grams_of(texts)[0])
+    zipped = lambda x: len(x).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(x, asbytes=True)
+    for part in by_size(batches, SLICE_BYTES):
+        texts, at = lines(part.column("text").cast(pa.string())), (task << 32) | block
+        before, grams = len(number), grams_of(texts)[0]
+        numbers = np.array([number.setdefault(g, len(number)) for g in grams], np.int32)
+        new = [g for g, n in zip(grams, numbers.tolist(), strict=True) if n >= before]
+        yield block_rows(at, 0, range(before, len(number)), gram=pa.array(new, pa.string()))
         packed = "".join(texts).encode("utf-8", "surrogatepass")
-        whole = len(packed).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(packed, asbytes=True)
-        at = (task << 32) | block
-        yield block_rows(at, 1, [count], texts=pa.array([whole], pa.binary()), n_chars=pa.array([len(texts)], pa.int64()))
+        yield block_rows(at, 1, [count], texts=pa.array([zipped(packed)], pa.binary()), needs=pa.array([zipped(numbers.tobytes())], pa.binary()), n_chars=pa.array([len(texts)], pa.int64()))
         lengths = pa.array([len(t) for t in texts], pa.int64())
         yield block_rows(at, 2, range(docs, docs + len(texts)), doc_id=part.column("doc_id"), lang=part.column("lang"), n_chars=lengths)
         count, size, docs = count + 1, size + len(packed), docs + len(texts)
         if size >= BLOCK_BYTES:
-            yield block_rows(at, 0, range(len(needed)), gram=pa.array(sorted(needed), pa.string()))
-            needed, count, size, docs, block = set(), 0, 0, 0, block + 1
-    if needed:
-        yield block_rows((task << 32) | block, 0, range(len(needed)), gram=pa.array(sorted(needed), pa.string()))
+            number, count, size, docs, block = {}, 0, 0, 0, block + 1
 
 
 def block_rows(block: int, kind: int, numbers, **columns) -> pa.RecordBatch:
     n = len(numbers)
     made = {"block": pa.array(np.full(n, block, np.int64)), "kind": pa.array(np.full(n, kind, np.int32)), "number": pa.array(list(numbers), pa.int32())}
-    kinds = (("gram", pa.string()), ("doc_id", pa.int64()), ("lang", pa.string()), ("n_chars", pa.int64()), ("texts", pa.binary()))
+    kinds = (("gram", pa.string()), ("doc_id", pa.int64()), ("lang", pa.string()), ("n_chars", pa.int64()), ("texts", pa.binary()), ("needs", pa.binary()))
     made |= {c: columns[c] if c in columns else pa.nulls(n, t) for c, t in kinds}
-    names = ["block", "kind", "gram", "number", "doc_id", "lang", "n_chars", "texts"]
+    names = ["block", "kind", "gram", "number", "doc_id", "lang", "n_chars", "texts", "needs"]
     return pa.record_batch([made[c] for c in names], names=names)
 
 
@@ -203,34 +188,36 @@ SCORES = "doc_id long, lang string, n_chars long, log_prob double"
 
 
 def score_block(key, block: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
+    """Sums the logarithms of a block's n-grams by document, a slice at a time."""
     docs = block[block["kind"] == 2].sort_values("number")
     lengths = docs["n_chars"].to_numpy(np.int64)
-    parts, at = [], 0
-    for data, n in block[block["kind"] == 1].sort_values("number")[["texts", "n_chars"]].itertuples(index=False):
-        joined = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True).decode("utf-8", "surrogatepass")
-        ends = np.cumsum(lengths[at : at + int(n)])
-        texts = [joined[z - k : z] for k, z in zip(lengths[at : at + int(n)].tolist(), ends.tolist(), strict=True)]
-        parts.append((*grams_of(texts), ends - lengths[at : at + int(n)], ends))
-        at += int(n)
-    number = {g: i for i, g in enumerate(sorted(set().union(*(p[0] for p in parts))))}
-    logs = np.full(len(number), np.nan)
+    logs = np.full(len(grams), np.nan)
     logs[grams["number"].to_numpy()] = grams["logp"].to_numpy()
-    sums = []
-    for distinct, ranks, starts, ends in parts:
-        each = logs[np.array([number[g] for g in distinct], np.int64)][ranks] if distinct else np.zeros(0)
-        sums.extend(float(each[a:z].sum()) for a, z in zip(starts.tolist(), ends.tolist(), strict=True))
+    plain = lambda x: pa.Codec("zstd").decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True)
+    sums, at = [], 0
+    for texts, needs, n in block[block["kind"] == 1].sort_values("number")[["texts", "needs", "n_chars"]].itertuples(index=False):
+        joined = plain(texts).decode("utf-8", "surrogatepass")
+        own = lengths[at : at + int(n)]
+        ends = np.cumsum(own)
+        ranks = grams_of([joined[z - k : z] for k, z in zip(own.tolist(), ends.tolist(), strict=True)])[1]
+        each = logs[np.frombuffer(plain(needs), np.int32)][ranks]
+        sums.extend(float(each[z - k : z].sum()) for k, z in zip(own.tolist(), ends.tolist(), strict=True))
+        at += int(n)
     return pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64"), "lang": docs["lang"], "n_chars": lengths, "log_prob": sums})
 
 
 def perplexities(docs: DataFrame, model: Model, tables: Tables) -> DataFrame:
     """docs has doc_id, text and lang; each row gets n_chars (with word ends) and log_prob."""
-    parts = tables.keep(docs.select("doc_id", "text", "lang").mapInArrow(make_blocks, BLOCKS), "blocks")
+    # A task makes a block, or several: n-grams are asked for fewer times if small partitions make one together.
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(-(-size // BLOCK_BYTES), docs.sparkSession.sparkContext.defaultParallelism)
+    parts = tables.keep_bucketed(docs.select("doc_id", "text", "lang").coalesce(tasks).mapInArrow(make_blocks, BLOCKS), "blocks", "block")
     asked = parts.where(F.col("kind") == 0).select("block", "gram", "number")
     logs = resolve(tables.keep(asked.select("gram").distinct(), f"wanted{ORDER}"), model, tables)
     tables.tidy()
     answers = asked.join(logs, "gram").select(F.col("block").alias("of"), "number", "logp")
-    blocks = parts.where(F.col("kind") != 0).select("block", "kind", "number", "doc_id", "lang", "n_chars", "texts")
-    # Answers are written first, so that their join's shuffle is gone when the blocks are dealt.
+    blocks = parts.where(F.col("kind") != 0).select("block", "kind", "number", "doc_id", "lang", "n_chars", "texts", "needs")
+    # Answers are written first, so that their join's shuffle is gone when they are dealt to their blocks, which stay where they are.
     answers = tables.keep(answers, "answers")
     tables.drop(f"known{ORDER}", f"wanted{ORDER}")
     tables.tidy()
