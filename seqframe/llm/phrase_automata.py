@@ -7,8 +7,10 @@ neither automata nor texts grow beyond a slice. The slice's texts are streamed t
 word by word.
 
 Each occurrence is told by its surroundings, as far as a window around it reaches. Equal surroundings repeat all their
-windows, and a phrase that always has the same surroundings is settled by that. Only where a phrase recurs in different
-surroundings (at the ends of passages) are windows compared one by one, once for each of the surroundings.
+windows, and a phrase that always has the same surroundings is settled by that. Where a phrase recurs in different
+surroundings (at the ends of passages, and around changes), a window that recurs shares at least NEAR words with another
+occurrence on one side of the phrase. Only surroundings that share so many are spelled out, once each: the windows on that side for
+which the phrase stands, which are counted one by one.
 
 Words are told apart by 64-bit hashes, windows and surroundings by 128 bits.
 """
@@ -31,6 +33,8 @@ from .suffix_dedup import _mix, _powers, text_class
 WINDOW, PHRASE = 35, 12
 #: Words that a window goes on before or behind its phrase, at most.
 AROUND = WINDOW - PHRASE
+#: Words that a window has on one side of its phrase at least.
+NEAR = (AROUND + 1) // 2
 #: Bytes of text hashed at a time, words hashed at a time, and bytes of texts that share an automaton.
 PIECE, CHUNK, SLICE_BYTES = 1 << 20, 1 << 18, 1 << 21
 #: Symbols of one place of a word's code in an automaton.
@@ -89,9 +93,10 @@ def chunks(n: int) -> Iterator[tuple[int, int]]:
         yield a, min(n, a + CHUNK + WINDOW - 1)
 
 
-def standing(h: np.ndarray) -> np.ndarray:
-    """Hashes of the phrases that stand for the windows of a text, one for each place where such a phrase starts."""
-    out, w = [], AROUND + 1
+def stands(h: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For ranges of a text's windows: where the first one starts, the places of the phrases that stand for them, and all phrases' hashes
+    from there on."""
+    w = AROUND + 1
     for a, z in chunks(len(h)):
         g = phrases_at(h[a:z])
         m = len(g)
@@ -100,9 +105,17 @@ def standing(h: np.ndarray) -> np.ndarray:
         key[:m] = (g >> np.uint64(20) << np.uint64(20)) | np.arange(m, dtype=np.uint64)
         rows = key.reshape(-1, w)
         ahead, behind = np.minimum.accumulate(rows, axis=1).ravel(), np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-        least = np.minimum(behind[: m - w + 1], ahead[w - 1 : m])
-        least = least[np.concatenate([[True], least[1:] != least[:-1]])]
-        out.append(g[(least & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        yield a, (np.minimum(behind[: m - w + 1], ahead[w - 1 : m]) & np.uint64((1 << 20) - 1)).astype(np.int64) + a, g
+
+
+def standing(h: np.ndarray) -> np.ndarray:
+    """Hashes of the phrases that stand for the windows of a text, one for each place where such a phrase starts."""
+    out, last = [], -1
+    for a, places, g in stands(h):
+        new = np.unique(places)
+        new = new[new > last]
+        out.append(g[new - a])
+        last = int(places[-1])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -142,13 +155,13 @@ class Automaton:
         return (at[:, 0] + 1) // self.width - PHRASE, at[:, 1]
 
 
-HITS = "cls binary, place int, before int, behind int, phrase long, x long, y long"
+HITS = "cls binary, place int, before int, behind int, phrase long, x long, y long, left long, right long"
 
 
 @freeing
 def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All occurrences of recurring phrases in texts (cls, text, phrases): the place, the words before and behind it that a window
-    around it may reach, and the hash of these surroundings."""
+    around it may reach, the hash of these surroundings (x, y), and those of the NEAR words on either side (null: fewer)."""
     for b in by_size(batches, SLICE_BYTES):
         texts = [encoded(t) for t in b.column("text").to_pylist()]
         known: dict[tuple[bytes, ...], int] = {}
@@ -167,37 +180,48 @@ def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             before, behind = np.minimum(place, AROUND), np.minimum(len(words) - PHRASE - place, AROUND)
             h = word_hashes(data)
-            x, y = (Sums(h, salt).of(place - before, place + PHRASE + behind).view(np.int64) for salt in (1, 2))
-            ints = lambda v: pa.array(v.astype(np.int32))
-            yield pa.record_batch([pa.array([b.column("cls")[i].as_py()] * len(place), pa.binary()), ints(place), ints(before), ints(behind), pa.array(names[which]), pa.array(x), pa.array(y)], names=["cls", "place", "before", "behind", "phrase", "x", "y"])
+            plain = Sums(h)
+            x, y = Sums(h, 1).of(place - before, place + PHRASE + behind), Sums(h, 2).of(place - before, place + PHRASE + behind)
+            x = _mix(x + before.astype(np.uint64))
+            left, right = plain.of(np.maximum(place - NEAR, 0), place), plain.of(place + PHRASE, np.minimum(place + PHRASE + NEAR, len(words)))
+            ints, longs = (lambda v: pa.array(v.astype(np.int32))), (lambda v, mask=None: pa.array(v.view(np.int64), mask=mask))
+            yield pa.record_batch(
+                [pa.array([b.column("cls")[i].as_py()] * len(place), pa.binary()), ints(place), ints(before), ints(behind), pa.array(names[which]), longs(x), longs(y), longs(left, before < NEAR), longs(right, behind < NEAR)],
+                names=["cls", "place", "before", "behind", "phrase", "x", "y", "left", "right"],
+            )
 
 
-AROUND_KEY = ["phrase", "x", "y", "before", "behind"]
-WINDOWS = "phrase long, x long, y long, before int, behind int, at int, u long, v long"
+WINDOWS = "x long, y long, at int, u long, v long"
 
 
 @freeing
 def spell_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows around chosen occurrences in texts (cls, text, chosen): how many words they start before the phrase, and their hash."""
+    """The windows for which chosen occurrences in texts (cls, text, chosen) stand, on the sides that count: how many words they start
+    before the phrase, and the hash of the window and that number."""
     for b in by_size(batches, SLICE_BYTES):
         for text, chosen in zip(b.column("text").to_pylist(), b.column("chosen").to_pylist(), strict=True):
             h = word_hashes(encoded(text))
             u, v = Sums(h, 3), Sums(h, 4)
-            for c in chosen:
-                at = np.arange(max(0, AROUND - c["behind"]), c["before"] + 1)
-                start = c["place"] - at
-                same = [pa.array(np.full(len(at), c[k], t)) for k, t in (("phrase", np.int64), ("x", np.int64), ("y", np.int64), ("before", np.int32), ("behind", np.int32))]
-                yield pa.record_batch([*same, pa.array(at.astype(np.int32)), pa.array(u.of(start, start + WINDOW).view(np.int64)), pa.array(v.of(start, start + WINDOW).view(np.int64))], names=[*AROUND_KEY, "at", "u", "v"])
+            number = np.full(len(h), -1, np.int64)
+            number[[c["place"] for c in chosen]] = np.arange(len(chosen))
+            far, close = (np.array([c[k] for c in chosen], bool) for k in ("on_left", "on_right"))
+            x, y = (np.array([c[k] for c in chosen], np.int64) for k in "xy")
+            for a, places, _ in stands(h):
+                start = np.flatnonzero(number[places] >= 0)
+                which, at = number[places[start]], places[start] - a - start
+                good = np.where(at >= NEAR, far[which], close[which])
+                start, which, at = start[good] + a, which[good], at[good]
+                one, two = (s.of(start, start + WINDOW) for s in (u, v))
+                yield pa.record_batch([pa.array(x[which]), pa.array(y[which]), pa.array(at.astype(np.int32)), pa.array(_mix(one + at.astype(np.uint64)).view(np.int64)), pa.array(two.view(np.int64))], names=["x", "y", "at", "u", "v"])
 
 
 def cover(n: int, hits: list[tuple[int, int]]) -> np.ndarray:
     """Which of n words lie in windows: hits are places with a mask, whose bit i tells that the window from i words before counts."""
-    change = np.zeros(n + 1, np.int64)
-    for place, mask in hits:
-        starts = place - np.flatnonzero(np.array([mask >> i & 1 for i in range(AROUND + 1)]))
-        np.add.at(change, starts, 1)
-        np.add.at(change, starts + WINDOW, -1)
-    return np.cumsum(change[:n]) > 0
+    place, mask = np.array(hits, np.int64).reshape(-1, 2).T
+    back = np.arange(AROUND + 1)
+    starts = (place[:, None] - back)[(mask[:, None] >> back & 1).astype(bool)]
+    count = lambda at: np.bincount(at, minlength=n + 1)[: n + 1]
+    return np.cumsum(count(starts) - count(starts + WINDOW))[:n] > 0
 
 
 @freeing
@@ -226,21 +250,24 @@ def count_of_words(spaced_text: Column) -> Column:
 
 
 def settle(hits: DataFrame, texts: DataFrame, tables: Tables) -> DataFrame:
-    """AROUND_KEY and the mask of the windows around a phrase in these surroundings that start anywhere else too."""
-    groups = hits.groupBy(*AROUND_KEY).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("cls", "place")).alias("one"))
+    """(x, y, mask): of surroundings, the windows around the phrase that start anywhere else too."""
+    groups = hits.where(C("before") + C("behind") >= AROUND).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("cls", "place")).alias("one"), *[F.first(c).alias(c) for c in ("phrase", "before", "behind", "left", "right")])
     groups = tables.keep(groups, "groups")
     some = F.sequence(F.greatest(F.lit(0), F.lit(AROUND) - C("behind")), C("before"))
     every = F.aggregate(some, F.lit(0), lambda a, i: a + F.call_function("shiftleft", F.lit(1), i))
-    whole = groups.where((C("n") > 1) & (C("before") + C("behind") >= AROUND)).select(*AROUND_KEY, every.alias("mask"))
-    # Windows are spelled out for phrases that have several surroundings, once for each of them.
-    mixed = groups.groupBy("phrase").agg(F.count(F.lit(1)).alias("c")).where(C("c") > 1).select("phrase")
-    chosen = groups.where(C("before") + C("behind") >= AROUND).join(mixed, "phrase", "left_semi").select("one.cls", F.struct("one.place", *AROUND_KEY).alias("c"))
+    whole = groups.where(C("n") > 1).select("x", "y", every.alias("mask"))
+    shared = lambda side: groups.where(C(side).isNotNull()).groupBy("phrase", side).agg(F.count(F.lit(1)).alias("c")).where(C("c") > 1).select("phrase", side, F.lit(True).alias(f"on_{side}"))
+    chosen = groups.join(shared("left"), ["phrase", "left"], "left").join(shared("right"), ["phrase", "right"], "left").where(C("on_left") | C("on_right"))
+    flag = lambda side: F.coalesce(f"on_{side}", F.lit(False)).alias(f"on_{side}")
+    chosen = chosen.select("one.cls", F.struct("one.place", "x", "y", flag("left"), flag("right")).alias("c"))
     chosen = tables.keep(chosen.groupBy("cls").agg(F.collect_list("c").alias("chosen")), "chosen")  # of one text
+    tables.tidy()
     windows = tables.keep(texts.select("cls", "text").join(chosen, "cls").select("text", "chosen").mapInArrow(spell_windows, WINDOWS), "windows")
-    again = windows.groupBy("phrase", "at", "u", "v").agg(F.count(F.lit(1)).alias("c")).where(C("c") > 1).select("phrase", "at", "u", "v")
-    found = windows.join(again, ["phrase", "at", "u", "v"], "left_semi").groupBy(*AROUND_KEY).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), C("at"))).alias("mask"))
-    masks = whole.union(found).groupBy(*AROUND_KEY).agg(F.bit_or("mask").alias("mask"))
-    return tables.keep(masks, "masks")
+    again = tables.keep(windows.groupBy("u", "v").agg(F.count(F.lit(1)).alias("c")).where(C("c") > 1).select("u", "v"), "again_windows")
+    tables.drop("chosen")
+    tables.tidy()
+    found = windows.join(again, ["u", "v"], "left_semi").groupBy("x", "y").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), C("at"))).alias("mask"))
+    return tables.keep(whole.union(found).groupBy("x", "y").agg(F.bit_or("mask").alias("mask")), "masks")
 
 
 def repeated(docs: DataFrame, tables: Tables, text_col: str = "text") -> DataFrame:
@@ -258,9 +285,11 @@ def repeated(docs: DataFrame, tables: Tables, text_col: str = "text") -> DataFra
     tables.drop("again")
     tables.tidy()
     masks = settle(hits, texts, tables)
-    runs = hits.join(masks, AROUND_KEY).groupBy("cls").agg(F.collect_list(F.struct("place", "mask")).alias("hits"))  # of one text
+    tables.drop("groups", "windows", "again_windows")
+    tables.tidy()
+    runs = hits.select("cls", "place", "x", "y").join(masks, ["x", "y"]).groupBy("cls").agg(F.collect_list(F.struct("place", "mask")).alias("hits"))  # of one text
     runs = tables.keep(runs, "runs")
-    tables.drop("hits", "groups", "chosen", "windows", "masks")
+    tables.drop("hits", "masks")
     tables.tidy()
     cut = texts.where(C("copies") == 1).select("cls", "text").join(runs, "cls").mapInArrow(cut_words, CUT)
     n = count_of_words(spaced(C("text")))
