@@ -377,24 +377,16 @@ def repeated_runs(texts: DataFrame, tables: Tables, length: int) -> DataFrame:
     return runs
 
 
-def repeated(docs: DataFrame, tables: Tables, length: int = LENGTH, text_col: str = "text", texts: DataFrame | None = None) -> DataFrame:
+def repeated(docs: DataFrame, tables: Tables, length: int = LENGTH, text_col: str = "text") -> DataFrame:
     """One row per distinct text that loses bytes: cls, n_removed, n_spans, kept_sha256, kept_text (undecodable rests of
-    cut characters left out). Only texts of at least `length` bytes can lose any; copies lose everything. `texts`: what
-    distinct_texts has made of docs, with this or a smaller length."""
-    texts = distinct_texts(docs, tables, length, text_col) if texts is None else texts
+    cut characters left out). Only texts of at least `length` bytes can lose any; copies lose everything."""
+    texts = distinct_texts(docs, tables, length, text_col)
     runs = repeated_runs(texts, tables, length)
     copied = texts.where((F.col("copies") > 1) & (F.octet_length("text") >= length)).select("cls", F.octet_length("text").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(EMPTY_SHA).alias("kept_sha256"), F.lit("").alias("kept_text"))
     cut = texts.where(F.col("copies") == 1).select("cls", "text").join(runs, "cls").mapInArrow(cut_texts, CUT)
-    return tables.keep(cut.union(copied), "cut")
-
-
-def covered_bytes(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """(cls, n): how many bytes of each distinct text lie in runs; all of them for texts that come several times."""
-    step = lambda a, r: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), r["b"] - F.greatest(a["end"], r["a"]))).alias("n"), F.greatest(a["end"], r["b"]).alias("end"))
-    zero = F.lit(0).cast("long")
-    some = runs.select("cls", F.aggregate(F.array_sort("runs"), F.struct(zero.alias("n"), zero.alias("end")), step, lambda a: a["n"]).alias("n"))
-    whole = texts.where((F.col("copies") > 1) & (F.octet_length("text") >= length)).select("cls", F.octet_length("text").cast("long").alias("n"))
-    return some.union(whole).groupBy("cls").agg(F.max("n").alias("n"))
+    made = tables.keep(cut.union(copied), "cut")
+    tables.drop("texts", f"runs_{length}")
+    return made
 
 
 def without_repeats(docs: DataFrame, length: int = PASSAGE) -> DataFrame:
@@ -412,15 +404,10 @@ def without_repeats(docs: DataFrame, length: int = PASSAGE) -> DataFrame:
 
 
 def op10_suffix_array(spark, sf_dir: str) -> DataFrame:
-    """What every document loses and the hash of what is left. n_in_passages: bytes covered by the shorter strings of PASSAGE
-    bytes that also start elsewhere, which shows passages that the law of LENGTH bytes leaves alone."""
+    """What every document loses and the hash of what is left."""
     tables = Tables(spark, "suffix")
     docs = documents(spark, sf_dir)
     slim = docs.select("doc_id", text_class().alias("cls"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    texts = distinct_texts(docs, tables, PASSAGE)
-    cut = repeated(docs, tables, texts=texts).drop("kept_text")
-    shorter = tables.keep(covered_bytes(texts, repeated_runs(texts, tables, PASSAGE), PASSAGE), "shorter")
+    cut = repeated(docs, tables).drop("kept_text")
     long = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return slim.join(cut, "cls", "left").join(shorter.withColumnRenamed("n", "n_in_passages"), "cls", "left").select(
-        "doc_id", "n_bytes", long("n_removed"), long("n_spans"), F.coalesce("kept_sha256", F.lower(F.hex("cls"))).alias("kept_sha256"), long("n_in_passages"),
-    )
+    return slim.join(cut, "cls", "left").select("doc_id", "n_bytes", long("n_removed"), long("n_spans"), F.coalesce("kept_sha256", F.lower(F.hex("cls"))).alias("kept_sha256"))
