@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+import seqframe.assembly_queries
 import seqframe.graph_queries
 import seqframe.layout_queries
 import seqframe.read_queries  # noqa: F401
@@ -16,7 +17,7 @@ SOME = [
     "gapped_segments", "kmer_spectrum", "weak_split", "dovetail", "resolve_junctions", "interval_merge", "effective_intervals", "coverage_histogram", "length_parameters",
     "min_med_max_coverage", "kmer_pairs", "contains_all_kmers", "minimizers", "branch_degree", "unitigs", "edit_identity", "low_complexity_reads", "packed_reads", "mate_overlap",
     "strobemers", "seen_kmers", "bloom_filter_rate", "longest_covered_run", "aligned_blocks", "inverted_artefacts", "widened_islands", "binomial_edges", "stitched_paths",
-    "canonical_successors", "lookahead_coverage", "greedy_extension", "joined_mates", "corrected_mismatches",
+    "kmer_successors", "left_variants", "canonical_successors", "canonical_left_variants", "complex_parts", "complex_parts_of_long", "backbone_paths", "stitched_backbones", "lookahead_coverage", "greedy_extension", "joined_mates", "corrected_mismatches",
 ]
 
 
