@@ -7,7 +7,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,8 +129,10 @@ def supported(edges: DataFrame, counts: DataFrame, lengths: DataFrame, least: fl
     the larger count (name, n_reads) of its ends, are less likely than `least`. Overlaps of the longest read's size or more
     stay. The sample has a row for each length."""
     total = lengths.agg(F.sum("n").alias("total"), F.max("length").alias("longest"))
-    sizes = edges.select("size").distinct()
-    share = sizes.join(F.broadcast(lengths), C("length") <= C("size"), "left").groupBy("size").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("shorter"))
+    # Reads up to each size by a running sum over sizes and lengths together, of which there is a row for each different one.
+    both = lengths.select(C("length").alias("at"), "n", F.lit(0).alias("asked")).union(edges.select(C("size").alias("at"), F.lit(0).cast("long"), F.lit(1)).distinct())
+    upto = Window.orderBy("at", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    share = both.withColumn("shorter", F.sum("n").over(upto)).where(C("asked") == 1).select(C("at").alias("size"), "shorter")
     met = edges.join(share, "size").join(F.broadcast(total))
     for side in ("src", "dst"):
         met = met.join(counts.select(C("name").alias(f"_{side}"), C("n_reads").alias(f"n_{side}")), name_of(C(side)) == C(f"_{side}"), "left")

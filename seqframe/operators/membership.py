@@ -60,13 +60,6 @@ def bloom_words(rows: DataFrame, hashes: list[str], size: int) -> DataFrame:
     return bits.groupBy(F.floor(C("bit") / 64).alias("word")).agg(F.bit_or(one).alias("bits"))
 
 
-def bloom_contains(rows: DataFrame, words: DataFrame, hashes: list[str], size: int, id_cols: list[str]) -> DataFrame:
-    """id_cols and `present`: whether all bits of a row's hashes are set."""
-    each = rows.select(*id_cols, F.explode(F.array(*[bit_of(C(h), size) for h in hashes])).alias("bit")).withColumn("word", F.floor(C("bit") / 64))
-    met = each.join(words, "word", "left").withColumn("on", F.coalesce(F.expr("shiftrightunsigned(bits, cast(bit % 64 AS INT))").bitwiseAND(F.lit(1)), F.lit(0)))
-    return met.groupBy(*id_cols).agg((F.min("on") == 1).alias("present"))
-
-
 def valley(hist: DataFrame, multiplier: int) -> DataFrame:
     """(threshold): of (multiplicity, n_kmers), the first multiplicity whose count times the multiplier exceeds the count before
     it, gaps counting as 0. One row; null without one."""
