@@ -200,28 +200,29 @@ def strand_vertices(paf):
     return layout.vertices(paf.select(C("tname").alias("name")).distinct())
 
 
+FLIP = "left({0}, length({0}) - 1) || CASE WHEN right({0}, 1) = '+' THEN '-' ELSE '+' END"
+#: How often two targets follow each other with an overlap in a read; an order's lines are the hits of one read.
+SUPPORT = "h AS (SELECT oid, tname || strand AS v, qstart AS s, qend AS e FROM paf), pp AS (SELECT a.v AS v1, b.v AS v2 FROM h a JOIN h b ON a.oid = b.oid AND a.s < b.s AND a.e < b.e AND a.e > b.s), " + f"sp AS (SELECT src, dst, count(*) AS support FROM (SELECT v1 AS src, v2 AS dst FROM pp UNION ALL SELECT {FLIP.format('v2')}, {FLIP.format('v1')} FROM pp) GROUP BY ALL)"
 LEN = "lg AS (SELECT qend - qstart AS length, count(*) AS n FROM paf GROUP BY ALL)"
 
 
 @query(
-    PAF + f", {BE}, {LEN}, wt AS (SELECT tname AS name, CAST(count(*) AS DOUBLE) / 8 AS w FROM paf GROUP BY tname), t AS (SELECT sum(n) AS total, max(length) AS longest FROM lg), sz AS (SELECT size, coalesce(sum(n), 0) AS shorter FROM (SELECT DISTINCT size FROM ce) LEFT JOIN lg ON length <= size GROUP BY size), "
-    "m AS (SELECT src, dst, ce.size, size % 30 AS support, floor(greatest(coalesce(a.w, 0), coalesce(b.w, 0))) AS trials, 1 - shorter / total AS q, longest FROM ce JOIN sz USING (size) CROSS JOIN t LEFT JOIN wt a ON a.name = left(src, length(src) - 1) LEFT JOIN wt b ON b.name = left(dst, length(dst) - 1)), "
+    PAF + f", {BE}, {LEN}, {SUPPORT}, wt AS (SELECT tname AS name, CAST(count(*) AS DOUBLE) / 8 AS w FROM paf GROUP BY tname), t AS (SELECT sum(n) AS total, max(length) AS longest FROM lg), sz AS (SELECT size, coalesce(sum(n), 0) AS shorter FROM (SELECT DISTINCT size FROM ce) LEFT JOIN lg ON length <= size GROUP BY size), "
+    "m AS (SELECT ce.src, ce.dst, ce.size, coalesce(sp.support, 0) AS support, floor(greatest(coalesce(a.w, 0), coalesce(b.w, 0))) AS trials, 1 - shorter / total AS q, longest FROM ce JOIN sz USING (size) CROSS JOIN t LEFT JOIN sp ON sp.src = ce.src AND sp.dst = ce.dst LEFT JOIN wt a ON a.name = left(ce.src, length(ce.src) - 1) LEFT JOIN wt b ON b.name = left(ce.dst, length(ce.dst) - 1)), "
     "p AS (SELECT *, CASE WHEN size < longest AND support < trials THEN CASE WHEN q <= 0 THEN 1.0 WHEN q >= 1 THEN 0.0 ELSE list_sum(list_transform(range(0, support + 1), lambda i: exp(lgamma(trials + 1) - lgamma(i + 1) - lgamma(trials - i + 1) + i * ln(q) + (trials - i) * ln(1 - q)))) END END AS chance FROM m) "
     "SELECT src, dst, CAST(support AS INT) AS support, round(chance, 6) AS chance, coalesce(chance >= 0.001, true) AS kept FROM p",
     "paf",
 )
 def binomial_edges(paf):
-    """Edges against the number of reads that should span them; the fixture's support is its size modulo 30."""
-    edges = best(paf).select("src", "dst", layout.size().alias("size")).withColumn("support", C("size") % 30)
+    """Edges against the number of reads that should span them; their support is that of the orders' lines."""
+    edges = best(paf).select("src", "dst", layout.size().alias("size")).join(layout.dovetail_support(paf, "oid"), ["src", "dst"], "left")
+    edges = edges.withColumn("support", F.coalesce("support", F.lit(0)).cast("int"))
     counts = paf.groupBy(C("tname").alias("name")).agg((F.count(F.lit(1)) / 8).alias("n_reads"))
     lengths = paf.groupBy((C("qend") - C("qstart")).alias("length")).agg(F.count(F.lit(1)).alias("n"))
     out = layout.supported(edges, counts, lengths)
     return out.select("src", "dst", "support", F.round("chance", 6).alias("chance"), "kept")
 
 
-FLIP = "left({0}, length({0}) - 1) || CASE WHEN right({0}, 1) = '+' THEN '-' ELSE '+' END"
-
-
 @query(
     PAF + ", h AS (SELECT oid, tname || strand AS v, qstart AS s, qend AS e, row_number() OVER () AS id FROM paf), p AS (SELECT a.v AS v1, b.v AS v2 FROM h a JOIN h b ON a.oid = b.oid AND a.s < b.s AND a.e < b.e AND a.e > b.s) "
     f"SELECT src, dst, count(*) AS support FROM (SELECT v1 AS src, v2 AS dst FROM p UNION ALL SELECT {FLIP.format('v2')}, {FLIP.format('v1')} FROM p) GROUP BY ALL",
