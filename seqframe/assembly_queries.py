@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import codes, complexity
-from .layout_queries import BE, DUCK_SEQ, RCD, best, sequences_of
-from .operators import correction, guided, kmers, layout, paths, screening, seeding
+from .layout_queries import BE, DUCK_SEQ, FLIP, RCD, best, sequences_of
+from .operators import clusters, correction, guided, kmers, layout, paths, screening, seeding, tail_scores
 from .operators.intervals import overlap_join
 from .plans import stages
 from .plans.fixtures import K
-from .queries import PAF, PAIR_DISTANCE, READ, WINDOWS, query
+from .queries import CLIP, PAF, PAIR_DISTANCE, READ, WINDOWS, query
 
 C = F.col
 FAR = 40
@@ -199,3 +199,76 @@ def seeded_overlaps(reads):
 def long_read_layout(reads):
     """Reads laid out by their own overlaps."""
     return stages.long_read_layout(reads.select("name", "seq"), 15, 5, 60, 20).select("name", "seq", "n_reads", F.array_join("path", ",").alias("path"))
+
+
+# Clusters of bounded size.
+
+DUCK_NEAR = "nr AS (SELECT a, b, max(s) AS score FROM (SELECT name, other, max(nmatch) AS s, least(name, other) AS a, greatest(name, other) AS b, row_number() OVER (PARTITION BY name ORDER BY max(nmatch) DESC, other) AS k FROM (SELECT qname AS name, tname AS other, nmatch FROM paf WHERE qname <> tname UNION ALL SELECT tname, qname, nmatch FROM paf WHERE qname <> tname) GROUP BY name, other) WHERE k <= 2 GROUP BY a, b)"
+
+
+@query(PAF + f", {DUCK_NEAR} SELECT a, b, score FROM nr", "paf")
+def best_pairs(paf):
+    return clusters.best_pairs(paf, 2)
+
+
+@query(source="paf")
+def read_clusters(paf):
+    """Sequences clustered by their two best neighbours, at most 20 where clusters meet."""
+    return clusters.bounded_clusters(clusters.best_pairs(paf, 2), 20)
+
+
+@query(source="intervals")
+def interval_clusters(intervals):
+    """The same of intervals by how far they overlap."""
+    e = interval_edges(intervals)
+    pairs = e.select(layout.name_of(C("src")).alias("a"), layout.name_of(C("dst")).alias("b"), layout.size().alias("score"))
+    return clusters.bounded_clusters(pairs, 12)
+
+
+# Tails: the overlaps of an order with one query are those of one read; every second order has a tail. Every third target has a tail,
+# every fifth a head, and every seventh lacks its reverse, the one behind it its forward strand.
+
+NUMBER = "CAST(substring({0}, 2, length({0}) - 2) AS INT)"
+DUCK_TAILS = f"""vx AS (SELECT v FROM (SELECT src AS v FROM ce UNION SELECT dst FROM ce) WHERE {NUMBER.format('v')} % 7 <> CASE WHEN right(v, 1) = '-' THEN 0 ELSE 1 END),
+st AS (SELECT left(v, length(v) - 1) AS tname, count(*) AS k, bool_or(right(v, 1) = '+') AS fw FROM vx GROUP BY 1),
+hs AS (SELECT paf.*, qname || ':' || oid AS rd, CAST(substring(tname, 2) AS INT) AS x, k, fw FROM paf LEFT JOIN st USING (tname) WHERE oid % 2 = 0),
+lost AS (SELECT DISTINCT rd FROM hs WHERE ((qstart <= {CLIP} AND qlen - qend <= {CLIP}) OR (tstart <= {CLIP} AND tlen - tend <= {CLIP})) AND qend >= qlen AND CASE WHEN k = 1 THEN x % 3 = 0 AND tend < tlen - 40 WHEN fw THEN true ELSE x % 3 <> 0 OR x % 5 = 0 END),
+ss AS (SELECT * FROM hs ANTI JOIN lost USING (rd) WHERE qstart <= {CLIP} AND CASE WHEN strand = '+' THEN tstart > qstart AND tlen - tend < qlen - qend AND tlen - tend <= {CLIP} ELSE qlen - qend > tstart AND tlen - tend > qstart AND tstart <= {CLIP} END),
+ts AS (SELECT tname AS name, coalesce(max((tend - tstart) / tlen) FILTER (strand = '+'), 0) AS forward, coalesce(max((tend - tstart) / tlen) FILTER (strand = '-'), 0) AS reverse FROM ss GROUP BY tname)"""
+
+
+def scores_of(paf: DataFrame, edges: DataFrame) -> DataFrame:
+    reads = paf.withColumn("qname", F.concat("qname", F.lit(":"), C("oid").cast("string")))
+    tailed = reads.where(C("oid") % 2 == 0).select(C("qname").alias("name"))
+    v = edges.select(F.explode(F.array("src", "dst")).alias("vertex")).distinct()
+    x = F.substring(layout.name_of(C("vertex")), 2, 9).cast("int")
+    v = v.where(x % 7 != F.when(F.right("vertex", F.lit(1)) == "-", 0).otherwise(1))
+    y, names = F.substring("name", 2, 9).cast("int"), paf.select(C("tname").alias("name"), C("tlen").alias("n")).distinct()
+    region = lambda has, a, b: F.when(has, F.struct(a.alias("start"), b.alias("end")))
+    info = names.select("name", region(y % 3 == 0, C("n") - 40, C("n")).alias("tail"), region(y % 5 == 0, F.lit(0), F.lit(40)).alias("head"))
+    return tail_scores.tail_scores(reads, tailed, v, info, CLIP)
+
+
+@query(PAF + f", {BE}, {DUCK_TAILS} SELECT name, round(forward, 6) AS forward, round(reverse, 6) AS reverse FROM ts", "paf")
+def tail_scores_of_targets(paf):
+    return scores_of(paf, best(paf)).select("name", F.round("forward", 6).alias("forward"), F.round("reverse", 6).alias("reverse"))
+
+
+@query(
+    PAF + f", {BE}, {DUCK_TAILS}, gone AS (SELECT name || CASE WHEN forward > 0 THEN '-' ELSE '+' END AS v FROM ts WHERE (forward > 0) <> (reverse > 0)), kept AS (SELECT src, dst, size FROM ce WHERE src NOT IN (SELECT v FROM gone) AND dst NOT IN (SELECT v FROM gone)), single AS (SELECT {FLIP.format('v')} AS v FROM gone) "
+    "SELECT src, dst, size FROM kept WHERE NOT (src IN (SELECT v FROM single) AND dst NOT IN (SELECT v FROM single))",
+    "paf",
+)
+def tail_oriented_edges(paf):
+    """Edges pruned by the scores of tails."""
+    edges = best(paf)
+    return layout.oriented(edges, scores_of(paf, edges)).select("src", "dst", layout.size().alias("size"))
+
+
+@query()
+def tails_of_reads(reads):
+    """Every third read with a tail of its own: 30 bases of A behind its last ones (checked by tests)."""
+    tail = F.when(C("read_id") % 3 == 0, F.lit("A" * 30)).otherwise(F.lit(""))
+    found = tail_scores.tail_info(reads.select("name", F.concat("seq", tail).alias("seq")))
+    ends = [C(f"{x}.{e}").alias(f"{x}_{e}") for x in ("tail", "head") for e in ("start", "end")]
+    return found.select("name", *ends, "has_signal", "has_signal_rc")
