@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions import codes, complexity
 from .layout_queries import BE, DUCK_SEQ, FLIP, RCD, best, sequences_of
-from .operators import clusters, correction, guided, kmers, layout, paths, screening, seeding, tail_scores
+from .operators import artefacts, clusters, correction, guided, kmers, layout, paths, screening, seeding, tail_scores
 from .operators.intervals import overlap_join
 from .plans import stages
 from .plans.fixtures import K
@@ -272,3 +272,43 @@ def tails_of_reads(reads):
     found = tail_scores.tail_info(reads.select("name", F.concat("seq", tail).alias("seq")))
     ends = [C(f"{x}.{e}").alias(f"{x}_{e}") for x in ("tail", "head") for e in ("start", "end")]
     return found.select("name", *ends, "has_signal", "has_signal_rc")
+
+
+# Artefacts: reads that fold back (every second one gets the mirror of its last half), the first half of a read with the last one of the next
+# read, and the first three fifths of a read with the start of the next one's mirror.
+
+DUCK_FOLDED = f"""fd AS (SELECT read_id, seq || {RCD.format('right(seq, len // 2)')} AS seq FROM reads WHERE read_id % 2 = 0 UNION ALL SELECT read_id, seq FROM reads WHERE read_id % 2 <> 0),
+fn AS MATERIALIZED (SELECT read_id, i, substring(seq, i + 1, {K}) AS x, (len(seq) - {K - 1}) // 2 AS half FROM (SELECT *, unnest(range(0, len(seq) - {K - 1})) AS i FROM fd)),
+fl AS (SELECT DISTINCT read_id, {RCD.format('x')} AS x FROM fn WHERE i < half),
+fm AS (SELECT read_id, any_value(half) AS half, min(i) AS least, min(i) FILTER (i >= half) AS first, count(*) FILTER (i >= half) AS n FROM fn SEMI JOIN fl USING (read_id, x) GROUP BY read_id)"""
+
+
+@query(READ + f", {DUCK_FOLDED}, fs AS (SELECT read_id, n, CASE WHEN first = half THEN least ELSE first END AS start FROM fm WHERE n >= {K}) SELECT read_id, CAST(start AS INT) AS start, n AS n_matched, substring(seq, start + 1) AS seq FROM fs JOIN fd USING (read_id)")
+def mirrored_halves(reads):
+    mirror = F.reverse(F.translate(F.right("seq", F.floor(C("len") / 2).cast("int")), "ACGT", "TGCA"))
+    folded = reads.select("read_id", F.when(C("read_id") % 2 == 0, F.concat("seq", mirror)).otherwise(C("seq")).alias("seq"))
+    return artefacts.mirrored_halves(folded, K)
+
+
+def known_of(reads: DataFrame) -> DataFrame:
+    return kmers.held_elsewhere(codes.kmer_codes(reads, K, text=False).where(C("code").isNotNull()), ["code"])
+
+
+@query()
+def chimeric_reads(reads):
+    """Known are the k-mers that the reads hold."""
+    half = F.floor(C("len") / 2).cast("int")
+    other = reads.select((C("read_id") - 1).alias("read_id"), F.substring(C("seq"), half + 1, C("len")).alias("rest"))
+    joined = reads.join(other, "read_id").select("read_id", F.concat(F.left("seq", half), "rest").alias("seq"))
+    spec = kmers.code_spectrum(reads, K, stranded=True)
+    return artefacts.chimeras(joined, spec, spec.select("code"), K, 3)
+
+
+@query()
+def blunt_reads(reads):
+    """Known are the k-mers that two reads hold."""
+    n = F.floor(C("len") * 0.6).cast("int")
+    other = reads.select((C("read_id") - 1).alias("read_id"), F.reverse(F.translate(F.left("seq", F.lit(10)), "ACGT", "TGCA")).alias("rest"))
+    joined = reads.join(other, "read_id").select("read_id", F.concat(F.left("seq", n), "rest").alias("seq"))
+    spec = kmers.code_spectrum(reads.select("seq").union(joined.select("seq")), K, stranded=True)
+    return artefacts.blunt_ends(joined, spec, known_of(reads), K, 8, PAIR_DISTANCE)

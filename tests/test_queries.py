@@ -18,7 +18,7 @@ SOME = [
     "min_med_max_coverage", "kmer_pairs", "contains_all_kmers", "minimizers", "branch_degree", "unitigs", "edit_identity", "low_complexity_reads", "packed_reads", "mate_overlap",
     "strobemers", "seen_kmers", "bloom_filter_rate", "longest_covered_run", "aligned_blocks", "inverted_artefacts", "widened_islands", "binomial_edges", "stitched_paths",
     "kmer_successors", "left_variants", "canonical_successors", "canonical_left_variants", "complex_parts", "complex_parts_of_long", "backbone_paths", "stitched_backbones", "lookahead_coverage", "greedy_extension", "joined_mates", "corrected_mismatches",
-    "best_pairs", "tail_scores_of_targets", "tail_oriented_edges",
+    "best_pairs", "tail_scores_of_targets", "tail_oriented_edges", "mirrored_halves",
 ]
 
 
