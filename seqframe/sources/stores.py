@@ -29,6 +29,18 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("value")).where(C("value") != "")
 
 
+def write_numbers(df: DataFrame, column: str, path: str) -> None:
+    """The numbers of a column, one a line, ascending; nulls are left out. Large tables make several files, in order."""
+    df.select(C(column).alias("_n")).where(C("_n").isNotNull()).orderBy("_n").select(C("_n").cast("string").alias("value")).write.text(path)
+
+
+def read_numbers(spark: SparkSession, path: str, kind: str = "int") -> DataFrame:
+    """(value): such a list as numbers of a type; an error if a line isn't one. Empty lines are skipped."""
+    value = C("value").try_cast(kind)
+    wrong = F.raise_error(F.concat(F.lit("not a number: "), C("value"))).cast(kind)
+    return lines(spark, path).select(F.when(value.isNotNull(), value).otherwise(wrong).alias("value"))
+
+
 def write_packed(df: DataFrame, path: str) -> None:
     """Sequences (name, seq) of A, C, G and T as Parquet with two bits a base."""
     df.select("name", F.length("seq").alias("length"), pack(C("seq")).alias("data")).write.parquet(path)

@@ -71,3 +71,16 @@ def test_stores(spark, tmp_path):
     table, k, stranded = stores.load_kmers(spark, at("kmers"))
     assert (k, stranded, table.first()["cov"]) == (11, True, 2)
     assert stores.has_one_record(df.limit(1)) and not stores.has_one_record(df) and not stores.has_one_record(df.where(F.lit(False)))
+
+
+def test_numbers(spark, tmp_path):
+    df = spark.createDataFrame([(5,), (None,), (-3,), (5,), (2000000000,)], "n int")
+    stores.write_numbers(df, "n", str(tmp_path / "n"))
+    assert sorted(r["value"] for r in stores.read_numbers(spark, str(tmp_path / "n")).collect()) == [-3, 5, 5, 2000000000]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "x.txt").write_text("1.5\n\n 2 \n")
+    assert [r["value"] for r in stores.read_numbers(spark, str(tmp_path / "d"), "double").collect()] == [1.5, 2.0]
+    with pytest.raises(Exception, match="not a number"):
+        stores.read_numbers(spark, str(tmp_path / "d")).collect()
+    stores.write_numbers(df.limit(0), "n", str(tmp_path / "none"))
+    assert stores.read_numbers(spark, str(tmp_path / "none")).count() == 0
