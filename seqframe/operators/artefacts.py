@@ -49,14 +49,16 @@ def chimeras(reads: DataFrame, spec: DataFrame, assembled: DataFrame, k: int, de
     2k apart at most, and `bound` greedy steps forward from the one and backward from the other share no k-mer. spec holds stranded
     k-mers (code, cov)."""
     tables = Tables(reads.sparkSession, "chimeras")
-    rows = tables.keep(places_of(reads, k), "places")
+    rows = tables.keep(places_of(reads, k), "places", merge=True)
+    spec = tables.keep(spec.select("code", "cov"), "spec", merge=True)
+    assembled = tables.keep(assembled.select("code").distinct(), "assembled", merge=True)
     found = tables.keep(gaps(rows, assembled), "gaps")
     outside = found.where((C("start") == 0) | (C("end") == C("n_places") - 1)).select("read_id").distinct()
     inner = found.join(outside, "read_id", "left_anti")
     at = lambda place, name: rows.select("read_id", C("pos").alias(place), C("code").alias(name))
     inner = inner.withColumn("before", C("start") - 1).withColumn("after", C("end") + 1)
     inner = tables.keep(inner.join(at("before", "left"), ["read_id", "before"]).join(at("after", "right"), ["read_id", "after"]), "inner")
-    steps = [tables.keep(greedy_steps(spec, k, depth, forward, assembled), f"steps{forward}") for forward in (True, False)]
+    steps = [tables.keep(greedy_steps(spec, k, depth, forward, assembled), f"steps{forward}", merge=True) for forward in (True, False)]
     short = inner.where(C("end") - C("start") + 1 <= 2 * k)
     walked = both_ways(short, steps, 2 * k, tables, "short")
     # A path of as many steps at most as the gap has places; both walks may meet on the way.
@@ -79,17 +81,19 @@ def both_ways(ends: DataFrame, steps: list[DataFrame], bound: int, tables: Table
     out = ends
     for side, into, s in (("left", "ahead", steps[0]), ("right", "back", steps[1])):
         starts = ends.select(C(side).alias("id"), C(side).alias("code")).distinct()
-        walks = tables.keep(walks_from(starts, s, bound, tables, f"{name}_{into}"), f"{name}_{into}_walks")
+        walks = tables.keep(walks_from(starts, s, bound, tables, f"{name}_{into}"), f"{name}_{into}_walks", merge=True)
+        tables.drop(f"{name}_{into}_rows0")
+        tables.tidy()
         out = out.join(walks.select(C("id").alias(side), C("path").alias(into)), side)
     return out
 
 
 def reach(spec: DataFrame, k: int, most: int, tables: Tables, forward: bool = True, name: str = "reach") -> DataFrame:
     """(code, steps): how many steps lead on from each k-mer, at most `most`; one join a step, each over the k-mers that are still left."""
-    edges = tables.keep(neighbours(spec, k, forward).select("code", "neighbour"), f"{name}_edges")
+    edges = tables.keep(neighbours(spec, k, forward).select("code", "neighbour"), f"{name}_edges", merge=True)
     now, out = spec.select("code"), spec.select("code", F.lit(0).alias("steps"))
     for i in range(1, most + 1):
-        now = tables.keep(edges.join(now.select(C("code").alias("neighbour")), "neighbour", "left_semi").select("code").distinct(), f"{name}{i}")
+        now = tables.keep(edges.join(now.select(C("code").alias("neighbour")), "neighbour", "left_semi").select("code").distinct(), f"{name}{i}", merge=True)
         out = out.union(now.select("code", F.lit(i).alias("steps")))
     return out.groupBy("code").agg(F.max("steps").alias("steps"))
 
@@ -109,7 +113,7 @@ def blunt_ends(reads: DataFrame, spec: DataFrame, assembled: DataFrame, k: int,
     known = assembled.select("code").distinct().withColumn("known", F.lit(True))
     rows = cov.join(known, "code", "left").select("read_id", "pos", "code", "cov", F.coalesce("known", F.lit(False)).alias("known"))
     rows = rows.join(reads.select("read_id", (F.length("seq") - k + 1).alias("n")), "read_id")
-    rows = tables.keep(rows, "rows")
+    rows = tables.keep(rows, "rows", merge=True)
     last = C("n") - 1
     seen = rows.groupBy("read_id", "n").agg(
         F.max(F.when(C("pos") == 0, C("known"))).alias("head"), F.max(F.when(C("pos") == last, C("known"))).alias("tail"),

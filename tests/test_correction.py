@@ -5,6 +5,7 @@ from statistics import median
 
 from pyspark.sql import functions as F
 
+from seqframe import tables
 from seqframe.operators import correction
 from seqframe.operators.kmers import code_spectrum
 
@@ -116,3 +117,21 @@ def test_thresholds(spark):
     df = spark.createDataFrame(rows, "read_id long, cov long")
     assert {r["read_id"]: r["least"] for r in correction.thresholds(df, 0.5, 0.0).collect()} == {1: 7, 3: 90}
     assert {r["read_id"]: r["least"] for r in correction.thresholds(df, 0.5, 0.25).collect()} == {1: 7, 3: 9}
+
+
+def test_large_tables_are_merged(spark, monkeypatch):
+    """Written tables of codes above the bound don't become broadcasts, however small their files are for the planner."""
+    df = spark.range(3000).selectExpr("id AS code", "id % 7 AS cov")
+    for bound, merged in ((0, True), (1 << 30, False)):
+        monkeypatch.setattr(tables, "BROADCAST", bound)
+        kept = tables.Tables(spark, "merged").keep(df, "codes", merge=True)
+        met = df.join(kept.select("code", F.col("cov").alias("other")), "code", "left")
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" not in plan) == merged and met.where("cov = other").count() == 3000
+
+
+def test_coverages_of_weak_runs(spark):
+    """Coverages and runs come from one array for each read; a run at an end, one inside, and a read of weak k-mers only."""
+    df = spark.createDataFrame([(1, [1, 5, 1, 1, 6]), (2, [1, 1]), (3, [7, 8])], "read_id long, covs array<long>").withColumn("least", F.lit(3))
+    got = {(r["read_id"], r["a"], r["z"], tuple(sorted(r["covs"]))) for r in correction.weak_runs(df).collect()}
+    assert got == {(1, 0, 0, (1,)), (1, 2, 3, (1, 1)), (2, 0, 1, (1, 1))}
