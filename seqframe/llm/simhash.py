@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,10 +26,14 @@ from ..operators.components import connected_components
 from .common import Tables, documents, freeing, fresh
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
-#: Near copies: words in a shingle of the wide fingerprint, bits that differ at most, sets of blocks; words in a shingle of
-#: the sets that are compared, and their least Jaccard similarity.
-NEAR_WORDS, NEAR_BITS, NEAR_KEYS = 2, 20, 64
+#: Near copies: words in a shingle of the sets that are compared, and their least Jaccard similarity.
 SIMILAR_WORDS, SIMILAR = 5, 0.8
+#: One in so many texts tells which shingles are frequent: at most so many, which come at least so often in these texts.
+HOT_SHARE, HOT, HOT_LEAST = 16, 1 << 17, 4
+#: Rows of a large group that each row meets at first.
+BEFORE = 16
+#: Parts of a large group that meet its rows apart.
+SALTS = 16
 #: A group of more distinct fingerprints than this is divided again.
 GROUP = 1024
 #: Bytes of a text that are hashed at a time.
@@ -184,14 +188,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(components_of(rows, tables), "fp").select("id", "fp", "component")
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    """64 more bits of each hash."""
-    x = h + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingles(text: str | None, n: int, digest=None) -> np.ndarray:
     """The distinct hashes of the text's shingles of n words, ascending. A-Z count as a-z; a text of fewer words is one
     shingle, one without words has none. `digest` is updated with the words."""
@@ -215,134 +211,104 @@ def shingles(text: str | None, n: int, digest=None) -> np.ndarray:
     return np.unique(np.concatenate(held)) if held else np.zeros(0, "<u8")
 
 
-def wide_print(hashes: np.ndarray) -> tuple[int, int]:
-    """128 bits, as two signed numbers: a bit is 1 if set in over half of the hashes; 0 without any."""
-    ones = np.zeros(128, np.int64)
-    for i in range(0, len(hashes), 1 << 15):
-        part = hashes[i : i + (1 << 15)]
-        both = np.stack([part, mix(part)], axis=1)
-        ones += np.unpackbits(both.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    a, b = np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")
-    return int(a), int(b)
-
+def near_prints(hot: np.ndarray):
+    """A column's class (a digest of its words), how many shingles its text has, and the prefix of them: the first ones in an order of all
+    shingles, of which two texts of enough similarity share one. Rare ones come first; `hot` are the others, by falling rank."""
+    order = np.argsort(hot)
+    known = hot[order]
 
-@F.pandas_udf(T.StructType([T.StructField("cls", T.BinaryType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
-def near_prints(texts: pd.Series) -> pd.DataFrame:
-    out = []
-    for t in texts:
-        digest = hashlib.blake2b(digest_size=16)
-        prints = wide_print(shingles(t, NEAR_WORDS, digest))
-        out.append((digest.digest(), *prints))
-    return pd.DataFrame(out, columns=["cls", "a", "b"])
+    @F.pandas_udf(T.StructType([T.StructField("cls", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+    def prints(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            digest = hashlib.blake2b(digest_size=16)
+            h = shingles(t, SIMILAR_WORDS, digest)
+            if len(known) and len(h):
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                rank = np.where(known[at] == h, len(known) - order[at], 0)
+                h = h[np.argsort(rank, kind="stable")]
+            # Of n shingles, SIMILAR * n are in the other text too: of the rest and one more, one is.
+            first = h[: len(h) - math.ceil(SIMILAR * len(h) - 1e-6) + 1]
+            out.append((digest.digest(), len(h), first.view("<i8")))
+        return pd.DataFrame(out, columns=["cls", "n", "keys"])
 
+    return prints
 
-def block_sets(size: int, many: int) -> list[tuple[int, ...]]:
-    """`many` sets of `size` of the 16 blocks of eight bits, spread evenly: no two blocks are together much more often than others."""
-    together, every = np.zeros((16, 16), int), list(itertools.combinations(range(16), size))
-    out = []
-    for _ in range(min(many, len(every))):
-        best = min(every, key=lambda c: (sum(int(together[i, j]) ** 2 for i, j in itertools.combinations(c, 2)) + sum(int(together[i, i]) for i in c), c))
-        every.remove(best)
-        for i in best:
-            for j in best:
-                together[i, j] += 1
-        out.append(best)
-    return out
 
+@freeing
+def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for t in b.column("text").to_pylist():
+            yield pa.record_batch([pa.array(shingles(t, SIMILAR_WORDS).view("<i8"))], names=["key"])
 
-def near_keys(sets: list[tuple[int, ...]]):
-    """One row for each fingerprint and set of blocks: the key is the set's number and its blocks' bits."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, z, node = (b.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "node"))
-            blocks = np.stack([a, z], axis=1).astype("<i8").view(np.uint8).reshape(-1, 16)
-            for i, chosen in enumerate(sets):
-                key = np.full(len(a), i, np.int64)
-                for c in chosen:
-                    key = (key << 8) | blocks[:, c]
-                yield pa.record_batch([pa.array(key), pa.array(a), pa.array(z), pa.array(node)], names=["key", "a", "b", "node"])
-
-    return run
-
-
-def nearest_first(prints: np.ndarray) -> list[tuple[int, int]]:
-    """A forest of least distances among fingerprints (rows of two numbers), of links up to NEAR_BITS."""
-    n = len(prints)
-    best, parent = np.full(n, 255, np.int64), np.full(n, -1, np.int64)
-    todo, i, out = np.ones(n, bool), 0, []
-    while True:
-        todo[i] = False
-        d = np.bitwise_count(prints ^ prints[i]).sum(axis=1, dtype=np.int64)
-        closer = todo & (d < best)
-        best[closer], parent[closer] = d[closer], i
-        if not todo.any():
-            return out
-        i = int(np.where(todo, best, 256).argmin())
-        if best[i] <= NEAR_BITS:
-            out.append((int(parent[i]), i))
+def hot_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
+    """The most frequent shingles of one in HOT_SHARE texts, by falling frequency, HOT at most. They only order shingles: links are
+    the same with any."""
+    some = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(HOT_SHARE)) == 0).distinct()
+    counts = some.mapInArrow(shingle_rows, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_LEAST)
+    return counts.orderBy(F.desc("n"), "key").limit(HOT).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)
 
 
-PAIRS = "x long, y long, part int, key long"
+def may_be_similar(n, i, m, j):
+    """Whether sets of n and m keys may be similar enough if places i and j hold their first common key (columns or arrays)."""
+    least = F.least if isinstance(n, Column) else np.minimum
+    return (1 + SIMILAR) * least(n - i, m - j) >= SIMILAR * (n + m) - 1e-6
 
 
 @freeing
 def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes from rows ordered by key. A group of more than GROUP rows is taken in pieces, each together with the
-    group's first row here. The first rows of the first and the last group come along with their key, for groups that go
-    on in the next range."""
-    part = TaskContext.get().partitionId()
-    key = np.zeros(0, np.int64)
-    prints, node = np.zeros((0, 2), np.uint64), key
-    hub: tuple[int, np.ndarray, int] | None = None
-    first = last = None
-
-    def groups(key, prints, node):
-        nonlocal hub, first, last
-        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-        ends = np.append(cuts[1:], len(key)) if len(cuts) else cuts
-        x, y = [], []
-        for a, z in zip(cuts[ends - cuts > 1].tolist(), ends[ends - cuts > 1].tolist()):
-            if z - a == 2:
-                if int(np.bitwise_count(prints[a] ^ prints[a + 1]).sum()) <= NEAR_BITS:
-                    x.append(int(node[a]))
-                    y.append(int(node[a + 1]))
-            for s in range(a, z, GROUP) if z - a > 2 else ():
-                which = np.arange(s, min(z, s + GROUP))
-                if s > a:
-                    which = np.append(which, a)
-                found = nearest_first(prints[which])
-                x.extend(int(node[which[i]]) for i, _ in found)
-                y.extend(int(node[which[j]]) for _, j in found)
-        if len(cuts):
-            if hub is not None and hub[0] == key[0] and int(np.bitwise_count(prints[0] ^ hub[1]).sum()) <= NEAR_BITS:
-                x.append(hub[2])
-                y.append(int(node[0]))
-            if hub is None or hub[0] != key[-1]:
-                at = cuts[-1]
-                hub = (int(key[at]), prints[at], int(node[at]))
-            if first is None:
-                first = (int(key[0]), int(node[0]))
-            last = (hub[0], hub[2])
-        return pairs(x, y)
-
-    def pairs(x, y, keys=None):
-        return pa.record_batch([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array([part] * len(x), pa.int32()), pa.array(keys or [None] * len(x), pa.int64())], names=["x", "y", "part", "key"])
+    """Pairs of nodes (x < y) that a key brings together, from rows ordered by key. Of a group of more than GROUP rows only the pairs with
+    the BEFORE rows before come, and a row with the key, so that the others can be looked at later."""
+    names = ["key", "node", "n", "i"]
+    held = {c: np.zeros(0, np.int64) for c in names}
+    large: int | None = None
+    before = np.zeros((4, 0), np.int64)
+
+    def found(a, z):
+        fine = may_be_similar(a[2], a[3], z[2], z[3])
+        return np.minimum(a[1], z[1])[fine], np.maximum(a[1], z[1])[fine]
+
+    def made(x, y, keys=()):
+        x, y = np.concatenate(x) if x else np.zeros(0, np.int64), np.concatenate(y) if y else np.zeros(0, np.int64)
+        key = pa.array([None] * len(x) + list(keys), pa.int64())
+        return pa.record_batch([pa.array(np.append(x, [0] * len(keys)).astype(np.int64)), pa.array(np.append(y, [0] * len(keys)).astype(np.int64)), key], names=["x", "y", "key"])
 
-    for b in batches:
-        key = np.concatenate([key, b.column("key").to_numpy(zero_copy_only=False)])
-        node = np.concatenate([node, b.column("node").to_numpy(zero_copy_only=False)])
-        both = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")], axis=1).astype(np.int64).view(np.uint64)
-        prints = np.concatenate([prints, both])
-        # All but the last group, which may go on; of a large group, whole pieces.
-        start = int(np.searchsorted(key, key[-1])) if len(key) else 0
-        done = start + (len(key) - start) // GROUP * GROUP
-        if done:
-            yield groups(key[:done], prints[:done], node[:done])
-            key, prints, node = key[done:], prints[done:], node[done:]
-    yield groups(key, prints, node)
-    if first is not None:
-        yield pairs([first[1], last[1]], [first[1], last[1]], [first[0], last[0]])
+    for b in itertools.chain(batches, [None]):
+        new = {c: b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names} if b is not None else {c: np.zeros(0, np.int64) for c in names}
+        rows = np.stack([np.concatenate([held[c], new[c]]) for c in names])
+        key, count = rows[0], rows.shape[1]
+        if not count:
+            continue
+        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(cuts, count))
+        big = (sizes > GROUP) | (key[cuts] == large if large is not None else np.zeros(len(cuts), bool))
+        # The last group may go on; a large one isn't held.
+        done = count if b is None or big[-1] else int(cuts[-1])
+        x, y, keys = [], [], []
+        r = np.flatnonzero(np.repeat(~big & (sizes > 1), sizes) & (np.arange(count) < done))
+        for d in range(1, GROUP):
+            r = r[r + d < done]
+            r = r[key[r + d] == key[r]]
+            if not len(r):
+                break
+            u, v = found(rows[:, r], rows[:, r + d])
+            x.append(u)
+            y.append(v)
+        for g in np.flatnonzero(big).tolist():
+            part = rows[:, cuts[g] : cuts[g] + sizes[g]]
+            if part[0, 0] != large:
+                large, before = int(part[0, 0]), part[:, :0]
+                keys.append(large)
+            on = np.concatenate([before, part], axis=1)
+            for d in range(1, BEFORE + 1):
+                start = max(before.shape[1], d)
+                u, v = found(on[:, start - d : max(start, on.shape[1]) - d], on[:, start:])
+                x.append(u)
+                y.append(v)
+            before = on[:, -BEFORE:]
+        held = {c: rows[k, done:] for k, c in enumerate(names)}
+        yield made(x, y, keys)
 
 
 @freeing
@@ -354,27 +320,62 @@ def near_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column("node"), pa.array(made, pa.list_(pa.int64()))], names=["node", "hashes"])
 
 
+def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """The pairs of nodes (x, y) whose texts have a Jaccard similarity of SIMILAR or more."""
+    met = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(nodes.select("node", "cls"), "node")
+    one = texts.join(met, "cls").groupBy("node").agg(F.first("text").alias("text"))
+    sets = tables.keep(one.mapInArrow(near_sets, "node long, hashes array<long>"), f"{name}_sets")
+    tables.tidy()
+    both = pairs.join(sets.select(F.col("node").alias("x"), F.col("hashes").alias("p")), "x").join(sets.select(F.col("node").alias("y"), F.col("hashes").alias("q")), "y")
+    shared = F.size(F.array_intersect("p", "q"))
+    out = both.select("x", "y", shared.alias("n"), (F.size("p") + F.size("q")).alias("m")).where(F.col("n") >= SIMILAR * (F.col("m") - F.col("n"))).select("x", "y")
+    kept = tables.keep(out, name)
+    tables.drop(f"{name}_sets")
+    tables.tidy()
+    return kept
+
+
+def apart_in_large(rows: DataFrame, comps: DataFrame, tables: Tables) -> DataFrame:
+    """Pairs (x, y) of different components in large groups (key, node, n, i). A group's greatest component meets the others only."""
+    rows = rows.join(comps, "node", "left").withColumn("of", F.coalesce("of", "node"))
+    rows = tables.keep(rows, "large_rows")
+    sizes = rows.groupBy("key", "of").agg(F.count(F.lit(1)).alias("many"))
+    mixed = sizes.groupBy("key").agg(F.max_by("of", F.struct("many", "of")).alias("main"), F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).drop("c")
+    rows = rows.join(mixed, "key")
+    side = lambda x: [F.col(c).alias(f"{c}{x}") for c in ("node", "n", "i", "of")]
+    few = rows.where(F.col("of") != F.col("main")).select("key", "main", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), *side(1))
+    all_ = rows.select("key", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"), *side(2))
+    met = few.join(all_, ["key", "salt"]).where((F.col("of1") != F.col("of2")) & ((F.col("of2") == F.col("main")) | (F.col("node1") < F.col("node2"))))
+    met = met.where(may_be_similar(F.col("n1"), F.col("i1"), F.col("n2"), F.col("i2")))
+    return met.select(F.least("node1", "node2").alias("x"), F.greatest("node1", "node2").alias("y"))
+
+
 def near_copies(nodes: DataFrame, texts: DataFrame, tables: Tables) -> DataFrame:
-    """(x, y): links between nodes (node, cls, a, b) whose texts (cls, text) have a Jaccard similarity of SIMILAR or more."""
+    """(x, y): links between nodes (node, cls, n, keys) whose texts (cls, text) have a Jaccard similarity of SIMILAR or more, enough
+    of them to join all nodes that such links join. Every pair that shares a key is looked at, unless other links have joined
+    it before: first each node with the one that it shares most keys with, then those that are still apart."""
     spark = nodes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = next(k for k in (3, 4, 5, 6) if 8 * k >= math.log2(max(1, nodes.count())) or k == 6)
-    keyed = nodes.select("node", "a", "b").mapInArrow(near_keys(block_sets(size, NEAR_KEYS)), "key long, a long, b long, node long")
-    turned = F.when(F.col("key").bitwiseAND(F.lit(1 << (8 * size))) == 0, F.col("a")).otherwise(F.col("b"))
-    dealt = keyed.withColumn("turned", turned).repartitionByRange(parts, "key", "turned", "node").sortWithinPartitions("key", "turned", "node")
-    found = tables.keep(dealt.drop("turned").mapInArrow(near_pairs, PAIRS), "pairs")
+    keyed = nodes.select("node", "n", F.posexplode("keys").alias("i", "key"))
+    dealt = keyed.repartition(parts, "key").sortWithinPartitions("key", "n", "node")
+    found = tables.keep(dealt.mapInArrow(near_pairs, "x long, y long, key long"), "pairs")
     tables.tidy()
-    ends = sorted(found.where(F.col("key").isNotNull()).collect(), key=lambda r: r["part"])  # two rows a range
-    on = [(p["x"], q["x"]) for p, q in zip(ends[1::2], ends[2::2]) if p["key"] == q["key"] and p["x"] != q["x"]]
-    edges = found.where(F.col("key").isNull()).select("x", "y").union(spark.createDataFrame(on, "x long, y long"))
-    edges = tables.keep(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "edges")
-    met = edges.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(nodes.select("node", "cls"), "node")
-    one = texts.join(met, "cls").groupBy("node").agg(F.first("text").alias("text"))
-    sets = tables.keep(one.mapInArrow(near_sets, "node long, hashes array<long>"), "sets")
-    tables.tidy()
-    both = edges.join(sets.select(F.col("node").alias("x"), F.col("hashes").alias("p")), "x").join(sets.select(F.col("node").alias("y"), F.col("hashes").alias("q")), "y")
-    shared = F.size(F.array_intersect("p", "q"))
-    return tables.keep(both.select("x", "y", shared.alias("n"), (F.size("p") + F.size("q")).alias("m")).where(F.col("n") >= SIMILAR * (F.col("m") - F.col("n"))).select("x", "y"), "near")
+    large = found.where(F.col("key").isNotNull()).select("key")
+    edges = tables.keep(found.where(F.col("key").isNull()).groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared")), "edges")
+    most = edges.select(F.posexplode(F.array("x", "y")).alias("side", "node"), "x", "y", "shared").groupBy("node").agg(F.max_by(F.struct("x", "y"), F.struct("shared", -F.col("x"), -F.col("y"))).alias("e"))
+    tried = tables.keep(most.select("e.*").distinct(), "tried")
+    first = similar(tried, nodes, texts, tables, "near")
+    named = lambda links, name: tables.keep(connected_components(links, "x", "y").select(F.col("id").alias("node"), F.col("component").alias("of")), name)
+    comps = named(first, "comps")
+    of = lambda x: comps.select(F.col("node").alias(x), F.col("of").alias(f"of_{x}"))
+    apart = edges.join(of("x"), "x", "left").join(of("y"), "y", "left").where(F.coalesce("of_x", "x") != F.coalesce("of_y", "y")).select("x", "y")
+    apart = tables.keep(apart.join(tried, ["x", "y"], "left_anti"), "apart")
+    links = first.union(similar(apart, nodes, texts, tables, "more"))
+    if not large.take(1):
+        return links
+    rows = keyed.join(large, "key", "left_semi")
+    rest = tables.keep(apart_in_large(rows, named(links, "comps_of_more"), tables).distinct().join(edges, ["x", "y"], "left_anti"), "apart_in_large")
+    return links.union(similar(rest, nodes, texts, tables, "in_large"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -383,21 +384,20 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Texts whose words are equal without regard to A-Z and white space (null, empty and wordless ones too) are copies. Other
     texts are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more, and groups follow links.
-    Candidates come from 128-bit fingerprints of two-word shingles, NEAR_BITS apart at most, that agree on one of NEAR_KEYS
-    sets of blocks; in each set of blocks a text meets its nearest ones. Every link is verified; a pair that no set brings
-    together is missed, unless other texts link it.
+    Candidates share one of the first shingles of each in an order of all shingles (prefix filtering), which every pair of this
+    similarity does. Every link is verified, and none is missed that joins groups.
     """
     tables = Tables(docs.sparkSession, "near")
     fp, row = fresh(docs, "_fp"), fresh(docs, "_row")
-    held = tables.keep(docs.withColumn(fp, near_prints(F.col(text_col))).withColumn(row, F.monotonically_increasing_id()), "held")
+    held = tables.keep(docs.withColumn(fp, near_prints(hot_shingles(docs, text_col))(F.col(text_col))).withColumn(row, F.monotonically_increasing_id()), "held")
     ids = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
-    nodes = held.groupBy(F.col(f"{fp}.cls").alias("cls")).agg(F.min(ids).alias("least"), F.first(f"{fp}.a").alias("a"), F.first(f"{fp}.b").alias("b"))
+    nodes = held.groupBy(F.col(f"{fp}.cls").alias("cls")).agg(F.min(ids).alias("least"), F.first(f"{fp}.n").alias("n"), F.first(f"{fp}.keys").alias("keys"))
     nodes = tables.keep(nodes.withColumn("node", F.col("least.row")), "nodes")
     links = near_copies(nodes, held.select(F.col(f"{fp}.cls").alias("cls"), F.col(text_col).alias("text")), tables)
     comps = connected_components(links, "x", "y").withColumnRenamed("id", "node")
     named = nodes.join(comps, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("least").alias("least"))
     winners = tables.keep(named.select(F.col("least.row").alias(row)), "winners")
-    tables.drop("pairs", "edges", "sets", "near", "nodes")
+    tables.drop("pairs", "edges", "tried", "comps", "comps_of_more", "large_rows", "apart", "apart_in_large", "near", "more", "in_large", "nodes")
     return held.join(winners, row, "left_semi").drop(fp, row)
 
 

@@ -215,6 +215,27 @@ def test_near_copies(spark, monkeypatch, group):
     assert want <= got and len(texts) - len(got) >= 0.95 * (len(texts) - len(want))  # a pair may be missed
 
 
+@pytest.mark.parametrize("group", [2, 5, 1024])
+def test_near_copies_are_whole(spark, monkeypatch, group):
+    """No link is missed: not at the threshold, not in large groups, and not between texts whose only links lead through others."""
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rng = random.Random(group)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(3, 6)))
+    line = [word() for _ in range(12)]
+    texts = ["one", "one two", "one two three four", "", None, "One  two"]
+    for _ in range(25):
+        first = [word() for _ in range(rng.randint(5, 90))]
+        for _ in range(rng.choice([1, 2, 4, 12])):
+            # A chain of copies, each near the limit: words at one end change step by step.
+            texts.append(" ".join(first + (line if rng.random() < 0.5 else [])))
+            n = rng.randint(1, max(1, len(first) // 6))
+            first = first[n:] + [word() for _ in range(rng.randint(0, n))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = set(near_groups({i: tuple((t or "").encode().lower().split()) for i, t in enumerate(texts)}).values())
+    assert {r["doc_id"] for r in simhash.one_of_each(df).collect()} == want
+    assert len(want) < len(texts) - 20
+
+
 def test_simhash(docs, texts, empty):
     rows = simhash.near_duplicates(docs).collect()
     prints = {i: brute_print(t) for i, t in enumerate(texts)}
