@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .operators import alignments as A
 from .operators import coverage, layout, overlaps
 from .queries import CLIP, EDGES, PAF, query
+from .tables import Tables
 
 C = F.col
 GAP = 25
@@ -126,7 +127,8 @@ BE = f"{EDGES}, ce AS (SELECT * FROM (SELECT *, CAST(floor(((s_end - s_start) +
 
 
 def best(paf: DataFrame) -> DataFrame:
-    return overlaps.best_edges(overlaps.edges(paf, CLIP))
+    """Written once: what follows reads the edges up to nine times, and would compare all records each time."""
+    return Tables(paf.sparkSession, "best").keep(overlaps.best_edges(overlaps.edges(paf, CLIP)), "edges")
 
 
 NEXT = "nx AS (SELECT src AS vertex, dst AS next, size FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY size DESC, dst) AS r FROM ce) WHERE r = 1)"

@@ -133,3 +133,32 @@ def test_files(spark, tmp_path):
     (tmp_path / "m.txt").write_text("#name left right\ns1 a b\ns1 c d\n")
     assert fastx.read_manifest(spark, str(tmp_path / "m.txt")).count() == 4
     assert fastx.kmer_sizes("25,26,30-55:5") == [25, 26, 30, 35, 40, 45, 50, 55]
+
+
+def test_best_edges_are_hashed_once(spark):
+    """The longest edge of each pair, ties by coordinates, against a loop; the plan doesn't sort the records, and each record is read once."""
+    rng = random.Random(3)
+    rows = []
+    for _ in range(3000):
+        qs, ts, n = rng.randrange(0, 90), rng.randrange(0, 90), rng.choice([60, 80, 80, 100])
+        rows.append((f"s{rng.randrange(5)}", rng.choice([180, 190]), qs, qs + n, rng.choice("+-"), f"s{rng.randrange(5)}", 185, ts, ts + n + rng.randrange(2)))
+    paf = spark.createDataFrame(rows, "qname string, qlen int, qstart int, qend int, strand string, tname string, tlen int, tstart int, tend int")
+    other, want = {"+": "-", "-": "+"}, {}
+    for q, ql, a, b, strand, t, tl, c, d in rows:
+        (head, tail), (th, tt) = (a, ql - b), (c, tl - d)
+        if q == t:
+            continue
+        near, far = (th, tt) if strand == "+" else (tt, th)
+        if head > near and tail < far and near <= 50 and tail <= 50:
+            made = [(q + "+", t + strand, a, b, c, d), (t + other[strand], q + "-", c, d, a, b)]
+        elif near > head and far < tail and head <= 50 and far <= 50:
+            made = [(t + strand, q + "+", c, d, a, b), (q + "-", t + other[strand], a, b, c, d)]
+        else:
+            continue
+        for src, dst, *x in made:
+            size = x[1] - x[0] + x[3] - x[2]
+            want[src, dst] = max(want.get((src, dst), ((-1,), None)), ((size, -x[0], -x[2], x[1]), (*x, size)))
+    best = overlaps.best_edges(overlaps.edges(paf, 50))
+    assert {(r["src"], r["dst"]): tuple(r)[2:] for r in best.collect()} == {k: v[1] for k, v in want.items()} and len(want) > 30
+    plan = best._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert "SortAggregate" not in plan and plan.count("Scan") == 1
