@@ -34,6 +34,8 @@ HOT_SHARE, HOT, HOT_LEAST = 16, 1 << 17, 4
 BEFORE = 16
 #: Parts of a large group that meet its rows apart.
 SALTS = 16
+#: Pairs whose sets are compared at a time, at least; and into how many parts all pairs are divided at most.
+SLICE, SLICES = 1 << 14, 6
 #: A group of more distinct fingerprints than this is divided again.
 GROUP = 1024
 #: Bytes of a text that are hashed at a time.
@@ -324,15 +326,20 @@ def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, tables: Tables
     """The pairs of nodes (x, y) whose texts have a Jaccard similarity of SIMILAR or more."""
     met = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(nodes.select("node", "cls"), "node")
     one = texts.join(met, "cls").groupBy("node").agg(F.first("text").alias("text"))
-    sets = tables.keep(one.mapInArrow(near_sets, "node long, hashes array<long>"), f"{name}_sets")
+    # In buckets: of the sets only one of each pair is moved, for some of the pairs at a time.
+    sets = tables.keep_bucketed(one.mapInArrow(near_sets, "node long, hashes array<long>"), f"{name}_sets", "node")
     tables.tidy()
-    both = pairs.join(sets.select(F.col("node").alias("x"), F.col("hashes").alias("p")), "x").join(sets.select(F.col("node").alias("y"), F.col("hashes").alias("q")), "y")
-    shared = F.size(F.array_intersect("p", "q"))
-    out = both.select("x", "y", shared.alias("n"), (F.size("p") + F.size("q")).alias("m")).where(F.col("n") >= SIMILAR * (F.col("m") - F.col("n"))).select("x", "y")
-    kept = tables.keep(out, name)
+    side = lambda node, into: sets.select(F.col("node").alias(node), F.col("hashes").alias(into)).hint("merge")
+    slices, out = max(1, min(SLICES, pairs.count() // SLICE)), None
+    for i in range(slices):
+        some = pairs.where(F.pmod(F.xxhash64("x", "y"), F.lit(slices)) == i)
+        both = some.join(side("x", "p"), "x").join(side("y", "q"), "y")
+        shared = both.select("x", "y", F.size(F.array_intersect("p", "q")).alias("n"), (F.size("p") + F.size("q")).alias("m"))
+        now = tables.keep(shared.where(F.col("n") >= SIMILAR * (F.col("m") - F.col("n"))).select("x", "y"), f"{name}/{i}")
+        out = now if out is None else out.union(now)
+        tables.tidy()
     tables.drop(f"{name}_sets")
-    tables.tidy()
-    return kept
+    return out
 
 
 def apart_in_large(rows: DataFrame, comps: DataFrame, tables: Tables) -> DataFrame:
