@@ -36,6 +36,8 @@ BEFORE = 16
 SALTS = 16
 #: Pairs whose sets are compared at a time, at least; and into how many parts all pairs are divided at most.
 SLICE, SLICES = 1 << 14, 6
+#: Keys that are moved at a time, at least.
+KEYS = 1 << 20
 #: A group of more distinct fingerprints than this is divided again.
 GROUP = 1024
 #: Bytes of a text that are hashed at a time.
@@ -314,31 +316,36 @@ def near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 @freeing
-def near_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def near_shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (x, y) of rows (x, y, p, q) whose texts p and q are similar. Rows of one y follow each other, so its set is made once."""
+    last, held = None, np.zeros(0, "<u8")
     for b in batches:
-        for i in range(0, b.num_rows, 256):
-            part = b.slice(i, 256)
-            made = [shingles(t, SIMILAR_WORDS).view("<i8") for t in part.column("text").to_pylist()]
-            yield pa.record_batch([part.column("node"), pa.array(made, pa.list_(pa.int64()))], names=["node", "hashes"])
+        x, y = b.column("x").to_numpy(), b.column("y").to_numpy()
+        fine = np.zeros(b.num_rows, bool)
+        for i in range(b.num_rows):
+            if y[i] != last:
+                last, held = y[i], shingles(b.column("q")[i].as_py(), SIMILAR_WORDS)
+            own = shingles(b.column("p")[i].as_py(), SIMILAR_WORDS)
+            shared = len(np.intersect1d(own, held, assume_unique=True))
+            fine[i] = shared >= SIMILAR * (len(own) + len(held) - shared)
+        yield pa.record_batch([pa.array(x[fine]), pa.array(y[fine])], names=["x", "y"])
 
 
 def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, tables: Tables, name: str) -> DataFrame:
-    """The pairs of nodes (x, y) whose texts have a Jaccard similarity of SIMILAR or more."""
-    met = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(nodes.select("node", "cls"), "node")
-    one = texts.join(met, "cls").groupBy("node").agg(F.first("text").alias("text"))
-    # In buckets: of the sets only one of each pair is moved, for some of the pairs at a time.
-    sets = tables.keep_bucketed(one.mapInArrow(near_sets, "node long, hashes array<long>"), f"{name}_sets", "node")
+    """The pairs of nodes (x, y) whose texts have a Jaccard similarity of SIMILAR or more. texts (cls, text) holds a text of each class once."""
+    cls = lambda node, into: nodes.select(F.col("node").alias(node), F.col("cls").alias(into))
+    named = tables.keep(pairs.join(cls("x", "a"), "x").join(cls("y", "b"), "y"), f"{name}_named")
     tables.tidy()
-    side = lambda node, into: sets.select(F.col("node").alias(node), F.col("hashes").alias(into)).hint("merge")
-    slices, out = max(1, min(SLICES, pairs.count() // SLICE)), None
+    # Texts are moved, which take less than their sets: one of each pair, for some of the pairs at a time.
+    side = lambda key, into: texts.select(F.col("cls").alias(key), F.col("text").alias(into)).hint("merge")
+    slices, out = max(1, min(SLICES, named.count() // SLICE)), None
     for i in range(slices):
-        some = pairs.where(F.pmod(F.xxhash64("x", "y"), F.lit(slices)) == i)
-        both = some.join(side("x", "p"), "x").join(side("y", "q"), "y")
-        shared = both.select("x", "y", F.size(F.array_intersect("p", "q")).alias("n"), (F.size("p") + F.size("q")).alias("m"))
-        now = tables.keep(shared.where(F.col("n") >= SIMILAR * (F.col("m") - F.col("n"))).select("x", "y"), f"{name}/{i}")
+        some = named.where(F.pmod(F.xxhash64("x", "y"), F.lit(slices)) == i)
+        both = some.join(side("a", "p"), "a").join(side("b", "q"), "b")
+        now = tables.keep(both.select("x", "y", "p", "q").mapInArrow(near_shares, "x long, y long"), f"{name}/{i}")
         out = now if out is None else out.union(now)
         tables.tidy()
-    tables.drop(f"{name}_sets")
+    tables.drop(f"{name}_named")
     return out
 
 
@@ -364,9 +371,13 @@ def near_copies(nodes: DataFrame, texts: DataFrame, tables: Tables) -> DataFrame
     spark = nodes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = nodes.select("node", "n", F.posexplode("keys").alias("i", "key"))
-    dealt = keyed.repartition(parts, "key").sortWithinPartitions("key", "n", "node")
-    found = tables.keep(dealt.mapInArrow(near_pairs, "x long, y long, key long"), "pairs")
-    tables.tidy()
+    # Keys are moved in parts, so that only one part's shuffle is on disk.
+    slices, found = max(1, min(SLICES, (nodes.agg(F.sum(F.size("keys"))).first()[0] or 0) // KEYS)), None
+    for i in range(slices):
+        dealt = keyed.where(F.pmod("key", F.lit(slices)) == i).repartition(parts, "key").sortWithinPartitions("key", "n", "node")
+        now = tables.keep(dealt.mapInArrow(near_pairs, "x long, y long, key long"), f"pairs/{i}")
+        found = now if found is None else found.union(now)
+        tables.tidy()
     large = found.where(F.col("key").isNotNull()).select("key")
     edges = tables.keep(found.where(F.col("key").isNull()).groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared")), "edges")
     most = edges.select(F.posexplode(F.array("x", "y")).alias("side", "node"), "x", "y", "shared").groupBy("node").agg(F.max_by(F.struct("x", "y"), F.struct("shared", -F.col("x"), -F.col("y"))).alias("e"))
@@ -400,11 +411,17 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ids = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
     nodes = held.groupBy(F.col(f"{fp}.cls").alias("cls")).agg(F.min(ids).alias("least"), F.first(f"{fp}.n").alias("n"), F.first(f"{fp}.keys").alias("keys"))
     nodes = tables.keep(nodes.withColumn("node", F.col("least.row")), "nodes")
-    links = near_copies(nodes, held.select(F.col(f"{fp}.cls").alias("cls"), F.col(text_col).alias("text")), tables)
+    tables.tidy()
+    # In buckets, a text of each class: the pairs' texts are met there, and copies aren't moved again.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = held.select(F.col(f"{fp}.cls").alias("cls"), F.col(text_col).alias("text")).repartition(parts, "cls")
+    texts = tables.keep_bucketed(texts.groupBy("cls").agg(F.first("text").alias("text")), "texts", "cls")
+    tables.tidy()
+    links = near_copies(nodes, texts, tables)
     comps = connected_components(links, "x", "y").withColumnRenamed("id", "node")
     named = nodes.join(comps, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("least").alias("least"))
     winners = tables.keep(named.select(F.col("least.row").alias(row)), "winners")
-    tables.drop("pairs", "edges", "tried", "comps", "comps_of_more", "large_rows", "apart", "apart_in_large", "near", "more", "in_large", "nodes")
+    tables.drop("pairs", "edges", "tried", "comps", "comps_of_more", "large_rows", "apart", "apart_in_large", "near", "more", "in_large", "nodes", "texts")
     return held.join(winners, row, "left_semi").drop(fp, row)
 
 
