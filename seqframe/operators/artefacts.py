@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import kmer_codes, mirrored
 from ..tables import Tables
-from .extension import greedy_steps
-from .kmers import covered, neighbours, runs
+from .extension import dead_ends, greedy_steps
+from .kmers import covered, runs
 from .walking import median_of, walks_from
 
 C = F.col
@@ -89,13 +89,9 @@ def both_ways(ends: DataFrame, steps: list[DataFrame], bound: int, tables: Table
 
 
 def reach(spec: DataFrame, k: int, most: int, tables: Tables, forward: bool = True, name: str = "reach") -> DataFrame:
-    """(code, steps): how many steps lead on from each k-mer, at most `most`; one join a step, each over the k-mers that are still left."""
-    edges = tables.keep(neighbours(spec, k, forward).select("code", "neighbour"), f"{name}_edges", merge=True)
-    now, out = spec.select("code"), spec.select("code", F.lit(0).alias("steps"))
-    for i in range(1, most + 1):
-        now = tables.keep(edges.join(now.select(C("code").alias("neighbour")), "neighbour", "left_semi").select("code").distinct(), f"{name}{i}", merge=True)
-        out = out.union(now.select("code", F.lit(i).alias("steps")))
-    return out.groupBy("code").agg(F.max("steps").alias("steps"))
+    """(code, steps): how many steps lead on from each k-mer, at most `most`."""
+    ended = dead_ends(spec, k, most, tables, forward, name)
+    return spec.select("code").join(ended, "code", "left").select("code", F.coalesce("steps", F.lit(most)).alias("steps"))
 
 
 def blunt_ends(reads: DataFrame, spec: DataFrame, assembled: DataFrame, k: int, edge: int, distance: int) -> DataFrame:
@@ -109,8 +105,9 @@ def blunt_ends(reads: DataFrame, spec: DataFrame, assembled: DataFrame, k: int,
     if edge <= 0:
         return reads.select("read_id", F.lit("right").alias("side"), F.lit(0).alias("n_unknown")).limit(0)
     tables = Tables(reads.sparkSession, "blunt")
+    spec, assembled = tables.keep(spec.select("code", "cov"), "spec", merge=True), tables.keep(assembled.select("code").distinct(), "assembled", merge=True)
     cov = covered(reads, k, spec, stranded=True, text=False).select("read_id", "pos", "code", "cov")
-    known = assembled.select("code").distinct().withColumn("known", F.lit(True))
+    known = assembled.withColumn("known", F.lit(True))
     rows = cov.join(known, "code", "left").select("read_id", "pos", "code", "cov", F.coalesce("known", F.lit(False)).alias("known"))
     rows = rows.join(reads.select("read_id", (F.length("seq") - k + 1).alias("n")), "read_id")
     rows = tables.keep(rows, "rows", merge=True)
@@ -137,7 +134,7 @@ def blunt_ends(reads: DataFrame, spec: DataFrame, assembled: DataFrame, k: int,
         F.max(F.when(C("pos") == end, C("code"))).alias("end"), F.max(F.when(C("pos") == stop, C("code"))).alias("stop"),
     )
     judged = tables.keep(judged.where(C("run_cov") > C("rest_cov")), "judged")
-    among = spec.join(assembled.select("code").distinct(), "code", "left_semi")
+    among = tables.keep(spec.join(assembled, "code", "left_semi"), "among", merge=True)
     parts = []
     for side, forward in (("right", True), ("left", False)):
         on = reach(spec, k, max(1, edge - 1), tables, forward, f"on_{side}").select(C("code").alias("end"), C("steps").alias("end_steps"))

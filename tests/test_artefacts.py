@@ -6,7 +6,8 @@ from collections import Counter
 import pytest
 
 from seqframe.functions.codes import encode
-from seqframe.operators import artefacts
+from seqframe.operators import artefacts, extension
+from seqframe.tables import Tables
 
 K = 5
 
@@ -169,3 +170,29 @@ def test_blunt_ends(spark, seed, edge, distance):
     assert artefacts.blunt_ends(df, spec, assembled, K, 0, distance).count() == 0
     assert artefacts.blunt_ends(df.limit(0), spec, assembled, K, edge, distance).count() == 0
     assert artefacts.chimeras(df.limit(0), spec, assembled, K, 3).count() == 0 and artefacts.mirrored_halves(df.limit(0), K).count() == 0
+
+
+@pytest.mark.parametrize("forward", [True, False])
+def test_dead_ends(spark, forward, monkeypatch):
+    """Steps that lead on, against a loop; k-mers that go on are written once, not in each round."""
+    rng = random.Random(4)
+    cycle = "ACGTTGCATC"
+    spec = {x for s in ["".join(rng.choices("ACGT", k=20)) for _ in range(2)] for x in parts(s)} | set(parts(cycle + cycle[: K - 1])) | {"A" * K}
+    written, plain = [], Tables.keep
+
+    def watched(self, df, name, **named):
+        written.append(name)
+        return plain(self, df, name, **named)
+
+    df = spark.createDataFrame([(x, 1) for x in sorted(spec)], "kmer string, cov long").select(encode("kmer").alias("code"), "cov")
+    coded = {r["kmer"]: r["code"] for r in spark.createDataFrame([(x,) for x in spec], "kmer string").select("kmer", encode("kmer").alias("code")).collect()}
+    now, steps = set(spec), dict.fromkeys(spec, 0)
+    for i in range(1, 8):
+        now = {x for x in spec if any((x[1:] + b if forward else b + x[:-1]) in now for b in "ACGT")}
+        steps |= dict.fromkeys(now, i)
+    got = {r["code"]: r["steps"] for r in extension.dead_ends(df, K, 7, Tables(spark, "test"), forward).collect()}
+    assert got == {coded[x]: n for x, n in steps.items() if n < 7} and max(got.values()) > 2
+    assert {r["code"] for r in extension.with_depth(df, K, 5, forward).collect()} == {coded[x] for x, n in steps.items() if n >= 4}
+    monkeypatch.setattr(Tables, "keep", watched)
+    endless = df.where(df.code.isin([coded[x] for x in parts(cycle + cycle[: K - 1])]))
+    assert not extension.dead_ends(endless, K, 50, Tables(spark, "test"), forward).take(1) and written == ["ends_0"]
