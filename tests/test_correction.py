@@ -135,3 +135,24 @@ def test_coverages_of_weak_runs(spark):
     df = spark.createDataFrame([(1, [1, 5, 1, 1, 6]), (2, [1, 1]), (3, [7, 8])], "read_id long, covs array<long>").withColumn("least", F.lit(3))
     got = {(r["read_id"], r["a"], r["z"], tuple(sorted(r["covs"]))) for r in correction.weak_runs(df).collect()}
     assert got == {(1, 0, 0, (1,)), (1, 2, 3, (1, 1)), (2, 0, 1, (1, 1))}
+
+
+def test_windows(spark):
+    """Each window of a long read has its own threshold: a fall, else the median; the windows of a second round begin elsewhere."""
+    covs = [20, 21, 22, 3, 20, 20, 4, 4, 5, 1, 4, 4, 6, 6, 6]
+    df = spark.createDataFrame([(1, covs), (2, []), (3, [9, 9])], "read_id long, covs array<long>")
+    rows = lambda shifted: {(r["read_id"], r["begin"], tuple(r["covs"])): r["least"] for r in correction.windows_of(df, 6, 2, 0.5, 0.0, shifted).collect()}
+    assert rows(False) == {(1, 0, tuple(covs[:6])): 20, (1, 6, tuple(covs[6:])): 4, (3, 0, (9, 9)): 9}
+    assert rows(True) == {(1, 0, tuple(covs[:9])): 20, (1, 9, tuple(covs[9:])): 4, (3, 0, (9, 9)): 9}
+
+
+def test_thresholds_along_a_long_read(spark):
+    """An error that several reads hold is mended where coverage is high, although the read's other window has a lower threshold."""
+    rng = random.Random(8)
+    deep, thin = ("".join(rng.choices("ACGT", k=120)) for _ in range(2))
+    wrong = lambda s, i: s[:i] + ("A" if s[i] != "A" else "C") + s[i + 1 :]
+    reads = [deep] * 30 + [wrong(deep, 60)] * 5 + [thin] * 4 + [wrong(deep, 60) + wrong(thin, 60)]
+    df = spark.createDataFrame(list(enumerate(reads)), "read_id long, seq string")
+    spec = correction.both_strands(code_spectrum(df, K), K).cache()
+    got = {r["read_id"]: (r["seq"], r["n_fixed"]) for r in correction.correct_long(df, spec, K, FLOOR, 120, indel=INDEL, identity=IDENTITY, most=MOST).collect()}
+    assert got == {i: (deep, 1) for i in range(30, 35)} | {39: (deep + thin, 2)}
